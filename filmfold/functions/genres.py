@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 from filmfold import fixed
@@ -15,13 +13,17 @@ def split_genres(genres: Column) -> Column:
     return F.filter(parts, lambda g: g != "")
 
 
+def _names() -> Column:
+    return F.array(*[F.lit(g) for g in fixed.GENRES])
+
+
 def genre_mask(genres: Column) -> Column:
-    """Array of names to mask; unknown names set no bit."""
-    bits = [
-        F.when(F.array_contains(genres, name), F.lit(1 << bit)).otherwise(F.lit(0))
-        for bit, name in enumerate(fixed.GENRES)
-    ]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+    """Array of names to mask; unknown names set no bit, repeats set it once."""
+    known = F.filter(_names(), lambda name: F.array_contains(genres, name))
+    bits = F.transform(known, lambda name: F.array_position(_names(), name) - 1)
+    return F.aggregate(bits, F.lit(0), lambda mask, bit: mask.bitwiseOR(
+        F.call_function("shiftleft", F.lit(1), bit.cast("int"))
+    ))
 
 
 def wanted_mask(genres: Column) -> Column:
@@ -29,10 +31,6 @@ def wanted_mask(genres: Column) -> Column:
     return F.when(F.size(genres) > 0, genre_mask(genres)).otherwise(F.lit(fixed.ALL_GENRES_MASK))
 
 
-def has_bit(mask: Column, bit: int) -> Column:
-    return mask.bitwiseAND(F.lit(1 << bit)) != 0
-
-
 def any_genre(mask: Column, wanted: Column) -> Column:
     """True when the masks share a genre; an empty mask never matches."""
     return mask.bitwiseAND(wanted) != 0
@@ -40,16 +38,19 @@ def any_genre(mask: Column, wanted: Column) -> Column:
 
 def mask_bits(mask: Column) -> Column:
     """Positions of the set bits, ascending: the equi-join form of a mask."""
-    return F.array_compact(
-        F.array(*[F.when(has_bit(mask, bit), F.lit(bit)) for bit in range(len(fixed.GENRES))])
-    )
+    every = F.sequence(F.lit(0), F.lit(len(fixed.GENRES) - 1))
+    return F.filter(every, lambda bit: F.call_function("getbit", mask, bit) == 1)
 
 
 def mask_genres(mask: Column) -> Column:
     """Names of the set bits in bit order."""
-    return F.array_compact(
-        F.array(*[F.when(has_bit(mask, bit), F.lit(g)) for bit, g in enumerate(fixed.GENRES)])
-    )
+    return F.filter(_names(), lambda name, bit: F.call_function("getbit", mask, bit) == 1)
+
+
+def chosen_bits(mask: Column) -> Column:
+    """One value per genre: 1.0 where the bit is set, else 0.0."""
+    every = F.sequence(F.lit(0), F.lit(len(fixed.GENRES) - 1))
+    return F.transform(every, lambda bit: F.call_function("getbit", mask, bit).cast("double"))
 
 
 def mood_genres(mood: Column) -> Column:
@@ -69,9 +70,6 @@ def genre_fit(mask: Column, affinity: Column) -> Column:
     when that exceeds 1. A film without genres fits 0.
     """
     top = F.greatest(F.lit(1.0), F.array_max(affinity))
-    scaled = [
-        F.when(has_bit(mask, bit), affinity[bit] / top) for bit in range(len(fixed.GENRES))
-    ]
-    n = F.bit_count(mask)
-    total = reduce(lambda a, b: a + b, [F.coalesce(s, F.lit(0.0)) for s in scaled])
-    return F.when(n > 0, (F.greatest(*scaled) + total / n) / 2).otherwise(F.lit(0.0))
+    mine = F.transform(mask_bits(mask), lambda bit: affinity[bit] / top)
+    mean = F.aggregate(mine, F.lit(0.0), lambda total, a: total + a) / F.size(mine)
+    return F.when(mask != 0, (F.array_max(mine) + mean) / 2).otherwise(F.lit(0.0))

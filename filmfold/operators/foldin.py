@@ -8,14 +8,14 @@ out once per distinct choice and joined to the requests, however many share it.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from filmfold import fixed
 from filmfold.functions import genres as G, labels as L, numbers as N, ranges as R
 from filmfold.functions.solver import fold_in_solver
 from filmfold.operators import films as films_op, scoring
+from filmfold.operators.skew import salted_join
+from filmfold.session import materialise
 
 CHOICE = ["wanted", "era"]
 
@@ -82,7 +82,8 @@ def anchors(
     choices = choices.select(*CHOICE).distinct()
     candidates = (
         choices.select(*CHOICE, F.explode(G.mask_bits(F.col("wanted"))).alias("bit"))
-        .join(genre_leaders(films, tiers, size), ["bit", "era"])
+        # bounded: 18 genres x 4 eras x tiers x size rows at most
+        .join(F.broadcast(genre_leaders(films, tiers, size)), ["bit", "era"])
         .groupBy(*CHOICE, "tier", "movieId")
         .agg(F.first("score").alias("score"), F.first("cnt").alias("cnt"),
              F.first("features").alias("features"))
@@ -115,7 +116,7 @@ def fold_in_rows(prepared: DataFrame, reactions: DataFrame, films: DataFrame, **
     films. A film that is both counts twice."""
     rated = rated_films(reactions, films).select("reqId", "movieId", F.col("r").cast("double").alias("r"))
     counts = rated.groupBy("reqId").agg(F.count(F.lit(1)).alias("n_rated"))
-    chosen = prepared.join(anchors(prepared, films, **ladder), CHOICE).join(counts, "reqId", "left")
+    chosen = salted_join(prepared, anchors(prepared, films, **ladder), CHOICE).join(counts, "reqId", "left")
     anchor_rows = chosen.select(
         "reqId",
         F.lit("anchor").alias("source"),
@@ -131,43 +132,37 @@ def _upper(rank: int) -> list[tuple[int, int]]:
     return [(a, c) for a in range(rank) for c in range(a, rank)]
 
 
-def _sums(v: Column, r: Column, rank: int) -> list[Column]:
+def _sums(v: str, r: str, rank: int) -> list[Column]:
     """Upper triangle of sum(v v^T) and sum(r v) as plain sums: they combine in
     each task before the shuffle, however many films one request has."""
-    gram = [F.sum(v[a] * v[c]).alias(f"g_{a}_{c}") for a, c in _upper(rank)]
-    return gram + [F.sum(r * v[a]).alias(f"b_{a}") for a in range(rank)]
+    gram = [F.expr(f"sum({v}[{a}] * {v}[{c}]) AS g_{a}_{c}") for a, c in _upper(rank)]
+    return gram + [F.expr(f"sum({r} * {v}[{a}]) AS b_{a}") for a in range(rank)]
 
 
-def _gram(rank: int) -> Column:
-    return F.array(*[F.col(f"g_{a}_{c}") for a, c in _upper(rank)])
+def _gram(rank: int, name: str) -> Column:
+    return F.expr("array(" + ", ".join(f"g_{a}_{c}" for a, c in _upper(rank)) + f") AS {name}")
 
 
-def _rhs(rank: int) -> Column:
-    return F.array(*[F.col(f"b_{a}") for a in range(rank)])
+def _rhs(rank: int, name: str) -> Column:
+    return F.expr("array(" + ", ".join(f"b_{a}" for a in range(rank)) + f") AS {name}")
 
 
-def _affinity_gain(mask: Column, r: Column) -> list[Column]:
-    half = (r - 3) / 2
-    return [
-        F.sum(F.when(G.has_bit(mask, bit), half).otherwise(F.lit(0.0))).alias(f"t_{bit}")
-        for bit in range(len(fixed.GENRES))
-    ]
+BITS = range(len(fixed.GENRES))
 
 
 def rated_sums(rated: DataFrame, rank: int = fixed.RANK) -> DataFrame:
     """Per request, from its rated films: count, Gram matrix, right-hand side and
     genre gains, all in one aggregation."""
-    r = F.col("r").cast("double")
-    gains = F.array(*[F.col(f"t_{bit}") for bit in range(len(fixed.GENRES))])
+    gains = [
+        F.expr(f"sum(IF(mask & {1 << bit} != 0, (r - 3) / 2.0D, 0.0D)) AS t_{bit}") for bit in BITS
+    ]
     return (
         rated.groupBy("reqId")
-        .agg(
-            F.count(F.lit(1)).alias("n_rated"),
-            *_sums(F.col("features"), r, rank),
-            *_affinity_gain(F.col("mask"), r),
+        .agg(F.count(F.lit(1)).alias("n_rated"), *_sums("features", "r", rank), *gains)
+        .select(
+            "reqId", "n_rated", _gram(rank, "rated_gram"), _rhs(rank, "rated_rhs"),
+            F.expr("array(" + ", ".join(f"t_{bit}" for bit in BITS) + ") AS gains"),
         )
-        .select("reqId", "n_rated", _gram(rank).alias("rated_gram"), _rhs(rank).alias("rated_rhs"),
-                gains.alias("gains"))
     )
 
 
@@ -177,8 +172,8 @@ def anchor_sums(choice_anchors: DataFrame, rank: int = fixed.RANK) -> DataFrame:
     return (
         spread.groupBy(*CHOICE)
         .agg(F.count(F.lit(1)).alias("n_anchors"),
-             *_sums(F.col("a.features"), F.lit(float(fixed.ANCHOR_STARS)), rank))
-        .select(*CHOICE, "n_anchors", _gram(rank).alias("anchor_gram"), _rhs(rank).alias("anchor_rhs"))
+             *_sums("a.features", str(fixed.ANCHOR_STARS), rank))
+        .select(*CHOICE, "n_anchors", _gram(rank, "anchor_gram"), _rhs(rank, "anchor_rhs"))
     )
 
 
@@ -191,8 +186,12 @@ def normal_equations(
     reg_param: float = fixed.REG_PARAM, rank: int = fixed.RANK, **ladder,
 ) -> DataFrame:
     """One row per request: Gram matrix (upper triangle), right-hand side, ridge
-    term and genre affinity. The ridge scales with the sum of weights."""
-    shared = anchor_sums(anchors(prepared, films, **ladder), rank)
+    term and genre affinity. The ridge scales with the sum of weights.
+
+    Runs a job: the sums shared by all requests with the same choice are
+    computed and written when this is called."""
+    # one row per distinct choice; written, so that its size decides how it is joined
+    shared = materialise(anchor_sums(anchors(prepared, films, **ladder), rank), "choices")
     own = rated_sums(rated_films(reactions, films), rank)
     w = F.col("anchor_w")
 
@@ -200,11 +199,8 @@ def normal_equations(
         rated_part = F.coalesce(F.col(rated), _zeros(n))
         return F.zip_with(F.transform(F.col(anchor), lambda x: x * w), rated_part, lambda a, b: a + b)
 
-    chosen = F.array(*[
-        F.when(G.has_bit(F.col("wanted"), bit), F.lit(1.0)).otherwise(F.lit(0.0))
-        for bit in range(len(fixed.GENRES))
-    ])
-    gains = F.coalesce("gains", _zeros(len(fixed.GENRES)))
+    chosen = G.chosen_bits(F.col("wanted"))
+    gains = F.coalesce("gains", _zeros(len(BITS)))
     n_rated = F.coalesce("n_rated", F.lit(0))
     return (
         prepared.join(shared, CHOICE, "left").join(own, "reqId", "left")
@@ -223,11 +219,9 @@ def normal_equations(
 
 def gram_cells(equations: DataFrame, rank: int = fixed.RANK) -> DataFrame:
     """Gram matrix in long form, cells with a <= c, without the ridge term."""
-    cells = F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(c).alias("c"), F.col("gram")[i].alias("value"))
-        for i, (a, c) in enumerate(_upper(rank))
-    ])
-    return equations.select("reqId", F.inline(cells))
+    at = F.expr("array(" + ", ".join(f"named_struct('a', {a}, 'c', {c})" for a, c in _upper(rank)) + ")[cell]")
+    cells = equations.select("reqId", F.posexplode("gram").alias("cell", "value"))
+    return cells.select("reqId", at.alias("at"), "value").select("reqId", "at.a", "at.c", "value")
 
 
 def rhs_cells(equations: DataFrame) -> DataFrame:
@@ -249,9 +243,9 @@ def request_affinity(equations: DataFrame) -> DataFrame:
 
 def genre_fit(equations: DataFrame, pairs: DataFrame, films: DataFrame) -> DataFrame:
     """Fit of given (reqId, movieId) pairs."""
+    with_mask = pairs.join(films.select("movieId", "mask"), "movieId")
     return (
-        pairs.join(films.select("movieId", "mask"), "movieId")
-        .join(equations.select("reqId", "affinity"), "reqId")
+        salted_join(with_mask, equations.select("reqId", "affinity"), ["reqId"])
         .select("reqId", "movieId", G.genre_fit(F.col("mask"), F.col("affinity")).alias("fit"))
     )
 
@@ -276,7 +270,7 @@ def candidate_counts(prepared: DataFrame, films: DataFrame, reach: dict = fixed.
         .groupBy(*keys, "mask").agg(F.first("n").alias("n"))
         .groupBy(*keys).agg(F.sum("n").alias("n_candidates"))
     )
-    return prepared.join(met, keys, "left").select(
+    return salted_join(prepared, met, keys, "left").select(
         "reqId", *keys, F.coalesce("n_candidates", F.lit(0)).alias("n_candidates")
     )
 

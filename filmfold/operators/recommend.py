@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from filmfold import fixed
 from filmfold.functions import genres as G, numbers as N, titles as T
 from filmfold.operators import scoring
+from filmfold.operators.skew import salted_join
 
 KEYS = ["userId", "movieId"]
 
@@ -18,8 +19,9 @@ def rated_pairs(ratings: DataFrame) -> DataFrame:
 
 
 def user_history(ratings: DataFrame, users: DataFrame) -> DataFrame:
-    """Ratings of the given users; one equality filter per user as a semi join."""
-    return ratings.join(users.select("userId"), "userId", "left_semi")
+    """Ratings of the given users; one equality filter per user as a semi join.
+    Users may repeat, and one user may hold much of the ratings."""
+    return salted_join(ratings, users.select("userId").distinct(), ["userId"], "left_semi")
 
 
 def exclude_rated(picks: DataFrame, ratings: DataFrame) -> DataFrame:
@@ -51,7 +53,7 @@ def with_default_metadata(picks: DataFrame, movies: DataFrame) -> DataFrame:
 
 def lookup_movies(movies: DataFrame, ids: DataFrame) -> DataFrame:
     """Catalogue rows of the given ids."""
-    return movies.join(ids.select("movieId"), "movieId", "left_semi")
+    return movies.join(ids.select("movieId").distinct(), "movieId", "left_semi")
 
 
 def known_users(users: DataFrame, user_factors: DataFrame) -> DataFrame:

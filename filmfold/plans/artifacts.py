@@ -12,24 +12,22 @@ from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import DataFrame, SparkSession
 
 from filmfold.operators import films, model, recommend
-from filmfold.session import scratch_path
+from filmfold.session import materialise, scratch_path
 from filmfold.sources import views
 
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+_DONE: dict[tuple[str, str, str], object] = {}
 
 
-def _path(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]):
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _WRITTEN:
-        path = scratch_path(spark, name)
-        write(path)
-        _WRITTEN[key] = path
-    return _WRITTEN[key]
+    if key not in _DONE:
+        _DONE[key] = make()
+    return _DONE[key]
 
 
 def written(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table ``build`` describes, from Parquet."""
-    return spark.read.parquet(_path(spark, sf_dir, name, lambda p: build().write.parquet(p)))
+    return _once(spark, sf_dir, name, lambda: materialise(build(), name))
 
 
 def film_table(spark: SparkSession, sf_dir: str, min_ratings: int) -> DataFrame:
@@ -68,11 +66,13 @@ def ratings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_path(spark: SparkSession, sf_dir: str) -> str:
     """Folder of the model trained on the 80 % hash split, trained on first use."""
-    def write(path: str) -> None:
+    def make() -> str:
+        path = scratch_path(spark, "als-model")
         train_set, _ = model.hash_split(ratings_table(spark, sf_dir))
         model.save(model.train(train_set), path)
+        return path
 
-    return _path(spark, sf_dir, "als-model", write)
+    return _once(spark, sf_dir, "als-model", make)
 
 
 def trained_model(spark: SparkSession, sf_dir: str) -> ALSModel:

@@ -55,11 +55,13 @@ VIEWS = {
     "posters": "SELECT CAST(page_id AS INTEGER) AS movieId, url FROM pages",
     "external": """
         SELECT CAST(p_partkey + 100000 AS INTEGER) AS ext_id,
-               CASE WHEN p_partkey % 4 = 0 THEN 'The ' ELSE '' END
-               || array_to_string(list_transform(string_split(p_name, ' '),
-                   lambda w: upper(w[1]) || lower(w[2:])), ' ') AS name,
+               CASE WHEN p_name LIKE 'hot %' AND p_partkey % 11 = 0 THEN 'ALT NAME' ELSE
+                   CASE WHEN p_partkey % 4 = 0 THEN 'The ' ELSE '' END
+                   || array_to_string(list_transform(string_split(p_name, ' '),
+                       lambda w: upper(w[1]) || lower(w[2:])), ' ') END AS name,
                CAST(1930 + p_partkey % 71 + [0, -1, 1, NULL][p_partkey % 4 + 1] AS INTEGER) AS year,
-               CASE WHEN p_size % 5 = 0 THEN NULL ELSE '/' || p_partkey || '.jpg' END AS poster_path
+               CASE WHEN p_size % 5 = 0 OR (p_name LIKE 'hot %' AND p_partkey % 11 <> 0) THEN NULL
+                    ELSE '/' || p_partkey || '.jpg' END AS poster_path
         FROM part""",
     "links": """
         SELECT CAST(p_partkey AS INTEGER) AS movieId,

@@ -63,7 +63,7 @@ def _customers(spark, sf):
 
 def _visitors(spark, sf):
     """User ids seen in the event log."""
-    return V.table(spark, sf, "events").select(F.col("user_id").cast("int").alias("userId")).distinct()
+    return V.table(spark, sf, "events").select(F.col("user_id").cast("int").alias("userId"))
 
 
 def _order_ids(spark, sf):
@@ -726,18 +726,16 @@ def foldin_solve(spark, sf):
     solved = foldin.solve(_equations(spark, sf))
     k = fixed.RANK
     cell = {pair: i for i, pair in enumerate((a, c) for a in range(k) for c in range(a, k))}
-    u, gram = F.col("vector"), F.col("gram")
+    u = F.col("vector")
     gaps = []
     for a in range(k):
-        row = sum(
-            (gram[cell[min(a, c), max(a, c)]] * u[c] for c in range(k)), F.col("ridge") * u[a]
-        )
-        gaps.append(F.when(u[a] > 0, F.abs(row - F.col("rhs")[a])).otherwise(F.lit(0.0)))
+        row = " + ".join(f"gram[{cell[min(a, c), max(a, c)]}] * vector[{c}]" for c in range(k))
+        gaps.append(f"IF(vector[{a}] > 0, abs({row} + ridge * vector[{a}] - rhs[{a}]), 0.0D)")
     return solved.select(
         "reqId",
         F.size(u).alias("n_values"),
         (F.array_min(u) >= 0).alias("non_negative"),
-        (F.greatest(*gaps) < 1e-8).alias("solved"),
+        F.expr(f"greatest({', '.join(gaps)}) < 1e-8").alias("solved"),
     )
 
 

@@ -2,6 +2,16 @@
 
 from pyspark.sql import types as T
 
+GIVEN = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_quantity double",
+    "part": "p_partkey bigint, p_name string, p_size int",
+    "embeddings": "vec_id bigint, embedding array<float>",
+    "pages": "page_id bigint, url string",
+    "events": "user_id bigint",
+}
+
 RATINGS = T.StructType([
     T.StructField("userId", T.IntegerType()),
     T.StructField("movieId", T.IntegerType()),

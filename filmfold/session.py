@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -57,6 +57,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and go on from the files.
+
+    Cuts the lineage durably, and tells the planner the table's real size: a
+    small one is then broadcast without a shuffle, a large one is not.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scale_settings(input_bytes: float, partition_bytes: int = 128 << 20) -> dict[str, str]:
+    """Settings that follow the input size: shuffle partitions of about 128 MB,
+    merged again by adaptive execution where a stage turns out smaller."""
+    partitions = max(200, int(input_bytes / partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Give iterative training somewhere durable to cut its lineage."""
     if spark.sparkContext.getCheckpointDir() is None:
