@@ -37,11 +37,11 @@ def prepare_requests(requests: DataFrame) -> DataFrame:
 
 
 def rated_films(reactions: DataFrame, films: DataFrame) -> DataFrame:
-    """Reactions that count: known reaction, film in the table. One film row per
-    id, so a film everybody reacted to is a skewed side that can be split."""
-    stars = reactions.withColumn("r", L.reaction_stars(F.col("reaction"))).filter("r IS NOT NULL")
-    return stars.select("reqId", "movieId", "r").join(
-        films.select("movieId", "mask", "features"), "movieId"
+    """Reactions that count, as (reqId, movieId, r) with r in stars: the reaction
+    is known and the film is in the table."""
+    stars = reactions.select("reqId", "movieId", L.reaction_stars(F.col("reaction")).alias("r"))
+    return stars.filter("r IS NOT NULL").join(films.select("movieId"), "movieId", "left_semi").select(
+        "reqId", "movieId", "r"
     )
 
 
@@ -111,10 +111,10 @@ def anchor_weight(n_rated: Column) -> Column:
     return F.lit(fixed.ANCHOR_WEIGHT * fixed.ANCHOR_HALF_LIFE) / (fixed.ANCHOR_HALF_LIFE + n_rated)
 
 
-def fold_in_rows(prepared: DataFrame, reactions: DataFrame, films: DataFrame, **ladder) -> DataFrame:
+def fold_in_rows(prepared: DataFrame, rated: DataFrame, films: DataFrame, **ladder) -> DataFrame:
     """Every (reqId, movieId, r, w) that enters the fold-in: anchors, then rated
     films. A film that is both counts twice."""
-    rated = rated_films(reactions, films).select("reqId", "movieId", F.col("r").cast("double").alias("r"))
+    rated = rated.select("reqId", "movieId", F.col("r").cast("double").alias("r"))
     counts = rated.groupBy("reqId").agg(F.count(F.lit(1)).alias("n_rated"))
     chosen = salted_join(prepared, anchors(prepared, films, **ladder), CHOICE).join(counts, "reqId", "left")
     anchor_rows = chosen.select(
@@ -150,9 +150,10 @@ def _rhs(rank: int, name: str) -> Column:
 BITS = range(len(fixed.GENRES))
 
 
-def rated_sums(rated: DataFrame, rank: int = fixed.RANK) -> DataFrame:
+def rated_sums(rated: DataFrame, films: DataFrame, rank: int = fixed.RANK) -> DataFrame:
     """Per request, from its rated films: count, Gram matrix, right-hand side and
     genre gains, all in one aggregation."""
+    rated = rated.join(films.select("movieId", "mask", "features"), "movieId")
     gains = [
         F.expr(f"sum(IF(mask & {1 << bit} != 0, (r - 3) / 2.0D, 0.0D)) AS t_{bit}") for bit in BITS
     ]
@@ -182,7 +183,7 @@ def _zeros(n: int) -> Column:
 
 
 def normal_equations(
-    prepared: DataFrame, reactions: DataFrame, films: DataFrame,
+    prepared: DataFrame, rated: DataFrame, films: DataFrame,
     reg_param: float = fixed.REG_PARAM, rank: int = fixed.RANK, **ladder,
 ) -> DataFrame:
     """One row per request: Gram matrix (upper triangle), right-hand side, ridge
@@ -192,7 +193,7 @@ def normal_equations(
     computed and written when this is called."""
     # one row per distinct choice; written, so that its size decides how it is joined
     shared = materialise(anchor_sums(anchors(prepared, films, **ladder), rank), "choices")
-    own = rated_sums(rated_films(reactions, films), rank)
+    own = rated_sums(rated, films, rank)
     w = F.col("anchor_w")
 
     def weighted(anchor: str, rated: str, n: int) -> Column:
@@ -308,8 +309,9 @@ def recommend_for_requests(
     requests: DataFrame, reactions: DataFrame, films: DataFrame, k: int = fixed.TOP_N,
     reach: dict = fixed.REACH, **ladder,
 ) -> DataFrame:
-    """The whole path: anchors, fold-in, filters, ranking."""
+    """The whole path: anchors, fold-in, filters, ranking. The reactions that
+    count are used twice, so they are worked out once and written."""
     prepared = prepare_requests(requests)
-    equations = normal_equations(prepared, reactions, films, **ladder)
-    seen = rated_films(reactions, films).select("reqId", "movieId")
-    return rank_for_requests(solve(equations), films, seen, k, reach, counted=requests)
+    rated = materialise(rated_films(reactions, films), "rated")
+    equations = normal_equations(prepared, rated, films, **ladder)
+    return rank_for_requests(solve(equations), films, rated, k, reach, counted=requests)

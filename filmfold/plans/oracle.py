@@ -23,6 +23,7 @@ VIEWS = {
     "genre_bits": f"""
         SELECT genre, CAST(row_number() OVER () - 1 AS INTEGER) AS bit
         FROM (SELECT unnest({GENRES}) AS genre)""",
+    "bits": "SELECT CAST(range AS INTEGER) AS bit FROM range(18)",
     "movies": f"""
         SELECT CAST(p_partkey AS INTEGER) AS movieId,
                array_to_string(list_transform(string_split(p_name, ' '),
@@ -217,13 +218,14 @@ VIEWS = {
         UNION ALL
         SELECT reqId, 'rated', movieId, CAST(r AS DOUBLE), CAST(1 AS DOUBLE), features FROM rated""",
     "affinities": """
-        SELECT p.reqId, g.bit, g.genre,
-               CASE WHEN (p.wanted & (1 << g.bit)) <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+        SELECT p.reqId, b.bit,
+               CASE WHEN (p.wanted & (1 << b.bit)) <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
                + coalesce(a.gain, 0) AS affinity
-        FROM prepared p CROSS JOIN genre_bits g
+        FROM (SELECT reqId, wanted FROM prepared) p CROSS JOIN bits b
         LEFT JOIN (SELECT r.reqId, b.bit, sum((r.r - 3) / 2.0::DOUBLE) AS gain
-                   FROM rated r JOIN genre_bits b ON (r.mask & (1 << b.bit)) <> 0 GROUP BY ALL) a
-               ON a.reqId = p.reqId AND a.bit = g.bit""",
+                   FROM (SELECT reqId, r, mask FROM rated) r
+                   JOIN bits b ON (r.mask & (1 << b.bit)) <> 0 GROUP BY r.reqId, b.bit) a
+               ON a.reqId = p.reqId AND a.bit = b.bit""",
     "mask_fits": """
         SELECT s.reqId, k.mask, (max(s.scaled) + avg(s.scaled)) / 2 AS fit
         FROM (SELECT reqId, bit,
@@ -496,10 +498,12 @@ ORACLES = {
         SELECT f.reqId, a.i AS a, round(sum(f.w * f.r * f.features[a.i + 1]), 6) AS value
         FROM fold_rows f, (SELECT CAST(range AS INTEGER) AS i FROM range(10)) a GROUP BY f.reqId, a.i""",
     "foldin_solve": "SELECT reqId, 10 AS n_values, true AS non_negative, true AS solved FROM prepared",
-    "genre_affinity": "SELECT reqId, genre, round(affinity, 6) AS affinity FROM affinities",
+    "genre_affinity": """
+        SELECT reqId, genre, round(affinity, 6) AS affinity FROM affinities JOIN genre_bits USING (bit)""",
     "genre_fit": """
         SELECT r.reqId, r.movieId, round(m.fit, 6) AS fit
-        FROM reactions r JOIN films f USING (movieId) JOIN mask_fits m ON m.reqId = r.reqId AND m.mask = f.mask""",
+        FROM (SELECT DISTINCT userId AS reqId, movieId FROM ratings) r
+        JOIN (SELECT movieId, mask FROM films) f USING (movieId) JOIN mask_fits m ON m.reqId = r.reqId AND m.mask = f.mask""",
     "mood_rank": """
         SELECT reqId, CAST(rank AS INTEGER) AS rank, movieId, floor(p * 100 + 0.5) / 100 AS predictedRating,
                round(rank_score, 6) AS rank_score

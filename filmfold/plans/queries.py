@@ -50,9 +50,15 @@ def _prepared(spark, sf):
     return foldin.prepare_requests(_requests(spark, sf))
 
 
+def _rated(spark, sf):
+    return A.written(
+        spark, sf, "rated", lambda: foldin.rated_films(V.request_reactions(spark, sf), _films(spark, sf))
+    )
+
+
 def _equations(spark, sf):
     return foldin.normal_equations(
-        _prepared(spark, sf), V.request_reactions(spark, sf), _scored_films(spark, sf), tiers=TIERS
+        _prepared(spark, sf), _rated(spark, sf), _scored_films(spark, sf), tiers=TIERS
     )
 
 
@@ -684,7 +690,7 @@ def rating_pool(spark, sf):
 
 @query
 def request_ratings(spark, sf):
-    return foldin.rated_films(V.request_reactions(spark, sf), _films(spark, sf)).select("reqId", "movieId", "r")
+    return foldin.rated_films(V.request_reactions(spark, sf), _films(spark, sf))
 
 
 @query
@@ -703,7 +709,7 @@ def anchor_ladder(spark, sf):
 @query
 def foldin_rows(spark, sf):
     rows = foldin.fold_in_rows(
-        _prepared(spark, sf), V.request_reactions(spark, sf), _scored_films(spark, sf), tiers=TIERS
+        _prepared(spark, sf), _rated(spark, sf), _scored_films(spark, sf), tiers=TIERS
     )
     return rows.withColumn("w", F.round("w", 6))
 
@@ -756,9 +762,9 @@ def mood_rank(spark, sf):
     """Ranking with given user vectors, so that every value can be checked."""
     users = V.user_factors(spark, sf).select(F.col("id").alias("reqId"), F.col("features").alias("vector"))
     vectors = _equations(spark, sf).join(users, "reqId")
-    films = _films(spark, sf)
-    seen = foldin.rated_films(V.request_reactions(spark, sf), films).select("reqId", "movieId")
-    ranked = foldin.rank_for_requests(vectors, films, seen, reach=REACH, counted=users)
+    ranked = foldin.rank_for_requests(
+        vectors, _films(spark, sf), _rated(spark, sf), reach=REACH, counted=users
+    )
     return ranked.select(
         "reqId", "rank", "movieId", "predictedRating", F.round("rank_score", 6).alias("rank_score")
     )
@@ -771,7 +777,7 @@ def mood_recommend(spark, sf):
     films = _scored_films(spark, sf)
     picks = foldin.recommend_for_requests(requests, reactions, films, reach=REACH, tiers=TIERS)
     prepared = _prepared(spark, sf)
-    seen = foldin.rated_films(reactions, films).select("reqId", "movieId", F.lit(True).alias("seen"))
+    seen = _rated(spark, sf).select("reqId", "movieId", F.lit(True).alias("seen"))
     known = films.select("movieId", "mask", "year", "cnt")
     checked = picks.join(known, "movieId").join(prepared, "reqId").join(seen, ["reqId", "movieId"], "left")
     fits = (
