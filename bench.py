@@ -14,8 +14,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from filmfold.operators import model, recommend  # noqa: E402
 from filmfold.plans import artifacts, queries  # noqa: E402
 from filmfold.session import build_session  # noqa: E402
@@ -32,10 +30,11 @@ HEADLINE = [
 
 def one_user(spark, sf_dir):
     """A single known user asks the trained model, history removed, titles attached."""
-    user = spark.createDataFrame([(1,)], "userId int")
-    top = recommend.picks_from_model(artifacts.trained_model(spark, sf_dir), users=user)
-    kept = recommend.exclude_rated(top, artifacts.ratings_table(spark, sf_dir))
-    return recommend.with_metadata(kept, queries.V.movies(spark, sf_dir)).orderBy(F.desc("score"))
+    trained = artifacts.trained_model(spark, sf_dir)
+    return recommend.recommend_user(
+        trained.userFactors, trained.itemFactors, artifacts.ratings_table(spark, sf_dir),
+        queries.V.movies(spark, sf_dir), 1,
+    )
 
 
 def one_user_stored(spark, sf_dir):

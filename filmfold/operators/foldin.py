@@ -80,28 +80,31 @@ def anchors(
     """
     tiers = tiers or fixed.ANCHOR_TIERS
     choices = choices.select(*CHOICE).distinct()
-    candidates = (
+    hit = F.struct("tier", (-F.col("score")).alias("s"), (-F.col("cnt")).alias("c"), "movieId", "features")
+    hits = (
         choices.select(*CHOICE, F.explode(G.mask_bits(F.col("wanted"))).alias("bit"))
         # bounded: 18 genres x 4 eras x tiers x size rows at most
         .join(F.broadcast(genre_leaders(films, tiers, size)), ["bit", "era"])
-        .groupBy(*CHOICE, "tier", "movieId")
-        .agg(F.first("score").alias("score"), F.first("cnt").alias("cnt"),
-             F.first("features").alias("features"))
+        # at most 18 x tiers x size entries per choice; the set drops films met through two genres
+        .groupBy(*CHOICE).agg(F.collect_set(hit).alias("hits"))
     )
-    place = F.row_number().over(Window.partitionBy(*CHOICE, "tier").orderBy(*_by_score()))
-    entry = F.struct(F.col("pos"), "movieId", "features")
-    ladder = (
-        candidates.withColumn("pos", place).filter(F.col("pos") <= size)
-        .groupBy(*CHOICE, "tier")
-        .agg(F.array_sort(F.collect_list(entry)).alias("anchors"))
-        .filter(F.size("anchors") >= enough)
-        .groupBy(*CHOICE)
-        .agg(F.min_by("anchors", "tier").alias("anchors"), F.min("tier").alias("tier"))
+
+    def best_of(tier: int) -> Column:
+        return F.slice(F.array_sort(F.filter("hits", lambda h: h["tier"] == tier)), 1, size)
+
+    enough_at = [F.when(F.size(best_of(t)) >= enough, best_of(t)) for t in range(len(tiers))]
+    chosen = hits.select(*CHOICE, F.coalesce(*enough_at).alias("best")).select(
+        *CHOICE,
+        F.col("best")[0]["tier"].alias("tier"),
+        F.transform("best", lambda h, i: F.struct(
+            (i + 1).alias("pos"), h["movieId"].alias("movieId"), h["features"].alias("features")
+        )).alias("anchors"),
     )
     head = films.orderBy(F.desc("cnt"), "movieId").limit(size)
     by_count = F.row_number().over(Window.orderBy(F.desc("cnt"), "movieId"))  # size rows
+    entry = F.struct("pos", "movieId", "features")
     fallback = head.withColumn("pos", by_count).agg(F.array_sort(F.collect_list(entry))).scalar()
-    return choices.join(ladder, CHOICE, "left").select(
+    return choices.join(chosen, CHOICE, "left").select(
         *CHOICE, "tier", F.coalesce("anchors", fallback).alias("anchors")
     )
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from filmfold import fixed
 from filmfold.functions import numbers as N
@@ -46,6 +46,12 @@ def _pieces(df: DataFrame, rows: int, parallelism: int = 1) -> Column:
     return df.agg(F.greatest(F.lit(1), F.ceil(n / rows), spread).cast("int")).scalar()
 
 
+def _task_count(spark: SparkSession) -> int:
+    """Tasks to score with: a few per core, within the configured shuffle width."""
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(width, 4 * spark.sparkContext.defaultParallelism))
+
+
 def _block_scorer(k: int, filtered: bool, bonus: float):
     """Arrow function scoring one chunk of queries against one block of films."""
     genre_bits = np.arange(len(fixed.GENRES))
@@ -166,9 +172,9 @@ def top_k(
     Ties go to the higher count, then the lower id. ``counted`` may name a
     cheaper table with as many rows as ``queries``.
     """
-    cores = queries.sparkSession.sparkContext.defaultParallelism
+    tasks = _task_count(queries.sparkSession)
     n_blocks = _pieces(items, block_rows)
-    n_chunks = _pieces(counted if counted is not None else queries, chunk_rows, cores)
+    n_chunks = _pieces(counted if counted is not None else queries, chunk_rows, tasks)
 
     def block_of(col: str) -> Column:
         return F.pmod(F.xxhash64(col), F.col("n_blocks")).cast("int")
@@ -192,9 +198,11 @@ def top_k(
         .drop("n_blocks")
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), n_chunks - 1)))
     )
+    # fixed partitions: merging them by size would put few bytes but much scoring into one task
+    cut = ["chunk", "block"]
     best = (
-        left.groupBy("chunk", "block")
-        .cogroup(right.groupBy("chunk", "block"))
+        left.repartition(tasks, *cut).groupBy(*cut)
+        .cogroup(right.repartition(tasks, *cut).groupBy(*cut))
         .applyInArrow(_block_scorer(k, filtered, bonus), OUTPUT)
     )
     order = Window.partitionBy("qid").orderBy(F.desc("rank_score"), F.desc("cnt"), "id")

@@ -179,6 +179,19 @@ def test_model_end_to_end(spark):
     unknown = spark.createDataFrame([(999, 1, 3, 0)], RATINGS)
     assert model.predict(fitted, data.unionByName(unknown)).count() == len(rows)
     picks = recommend.picks_from_model(fitted, 5, spark.createDataFrame([(1,), (999,)], "userId int"))
+    asked = picks.orderBy("rank").collect()
+    everyone = recommend.picks_from_model(fitted, 5).filter("userId = 1").orderBy("rank").collect()
+    alone = recommend.picks_for_user(fitted.userFactors, fitted.itemFactors, 1, 5).collect()
+    # equal scores may come in another order from the model's own single-precision method
+    assert [r.movieId for r in everyone] == [r.movieId for r in alone]
+    assert [r.score for r in everyone] == pytest.approx([r.score for r in alone])
+    assert [r.score for r in everyone] == pytest.approx([r.score for r in asked], rel=1e-5)
+    films = [r.movieId for r in alone]
+    assert recommend.picks_for_user(fitted.userFactors, fitted.itemFactors, 999).count() == 0
+    movies = spark.createDataFrame([(films[1], "T", "War")], "movieId int, title string, genres string")
+    seen = spark.createDataFrame([(1, films[0], 5, 0)] * 3, RATINGS)
+    answer = recommend.recommend_user(fitted.userFactors, fitted.itemFactors, seen, movies, 1, 5).collect()
+    assert [r.movieId for r in answer] == films[1:] and answer[0].title == "T" and answer[1].title is None
     got = picks.orderBy("rank").collect()
     assert [r["rank"] for r in got] == [1, 2, 3, 4, 5] and {r.userId for r in got} == {1}
     assert [r.score for r in got] == sorted((r.score for r in got), reverse=True)
