@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from filmfold import fixed
 from filmfold.functions import genres as G, numbers as N, titles as T
@@ -205,7 +205,5 @@ def genre_mix(picks: DataFrame, key: str = "userId") -> DataFrame:
         key, F.explode("names").alias("genre"), (F.lit(1.0) / F.size("names")).alias("weight")
     )
     per_genre = weighted.groupBy(key, "genre").agg(F.sum("weight").alias("weight"))
-    totals = per_genre.groupBy(key).agg(F.sum("weight").alias("total"))
-    return per_genre.join(totals, key).select(
-        key, "genre", (F.col("weight") / F.col("total")).alias("share")
-    )
+    total = F.sum("weight").over(Window.partitionBy(key))
+    return per_genre.select(key, "genre", (F.col("weight") / total).alias("share"))
