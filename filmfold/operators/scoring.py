@@ -54,99 +54,110 @@ def _task_count(spark: SparkSession) -> int:
 
 def _block_scorer(k: int, filtered: bool, bonus: float):
     """Arrow function scoring one chunk of queries against one block of films."""
-    genre_bits = np.arange(len(fixed.GENRES))
-    cells = CELLS
+    bits = np.arange(len(fixed.GENRES))
+    cells, ranges = CELLS, FILTER_COLUMNS[:-1]
+    names = ["qid", "id", "cnt", "score", "rank_score"]
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
 
     def matrix(table, name):
-        return np.asarray(
-            table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=float
-        ).reshape(table.num_rows, -1)
+        flat = table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return np.asarray(flat, dtype=float).reshape(table.num_rows, -1)
 
     def numbers(table, name):
         return table.column(name).to_numpy()
 
+    def film_arrays(films):
+        """Film columns in tie order: more ratings first, then the lower id."""
+        ids = numbers(films, "id")
+        cnt = numbers(films, "cnt") if filtered else np.zeros(len(ids), dtype=np.int32)
+        order = np.lexsort((ids, -cnt))
+        out = {"id": ids[order], "cnt": cnt[order], "vector": matrix(films, "vector")[order]}
+        if filtered:
+            out |= {"mask": numbers(films, "mask")[order], "year": numbers(films, "year")[order]}
+        return out
+
+    def groups(queries, f):
+        """(query rows, films they may get): queries with equal filters share one cut."""
+        if not filtered:
+            yield np.arange(queries.num_rows), f
+            return
+        keys = np.stack([numbers(queries, c) for c in ranges], axis=1)
+        distinct, group_of = np.unique(keys, axis=0, return_inverse=True)
+        by_group = np.argsort(group_of.ravel(), kind="stable")
+        ends = np.cumsum(np.bincount(group_of.ravel(), minlength=len(distinct)))
+        for (wanted, y0, y1, c0, c1), start, end in zip(distinct, [0, *ends[:-1]], ends):
+            fits = (
+                ((f["mask"] & wanted) != 0)
+                & (f["year"] >= y0) & (f["year"] <= y1) & (f["cnt"] >= c0) & (f["cnt"] <= c1)
+            )
+            if fits.any():
+                yield by_group[start:end], {name: column[fits] for name, column in f.items()}
+
+    def genre_fits(affinity, masks):
+        """Fit of every query row to every distinct mask."""
+        member = (masks[:, None] >> bits) & 1 == 1
+        taste = affinity / np.maximum(1.0, affinity.max(axis=1))[:, None]
+        best = np.full((len(taste), len(masks)), -np.inf)
+        for bit in bits:
+            best = np.where(member[:, bit], np.maximum(best, taste[:, bit, None]), best)
+        return (best + taste @ member.T / member.sum(axis=1)) / 2  # a mask that passed is not empty
+
     def score(queries: pa.Table, films: pa.Table) -> pa.Table:
-        out = {"qid": [], "id": [], "cnt": [], "score": [], "rank_score": []}
-        n = films.num_rows
-        if n and queries.num_rows:
-            ids = numbers(films, "id")
-            cnt = numbers(films, "cnt") if filtered else np.zeros(n, dtype=np.int32)
-            by_tie = np.lexsort((ids, -cnt))  # column order breaks ties
-            ids, cnt = ids[by_tie], cnt[by_tie]
-            vectors = matrix(films, "vector")[by_tie]
-            if filtered:
-                mask, year = numbers(films, "mask")[by_tie], numbers(films, "year")[by_tie]
-                masks, mask_no = np.unique(mask, return_inverse=True)
-                member = (masks[:, None] >> genre_bits) & 1 == 1
-                n_bits = np.maximum(member.sum(axis=1), 1)
-            column_of = np.argsort(ids)
-            sorted_ids = ids[column_of]
-
-            qid, query_vectors = numbers(queries, "qid"), matrix(queries, "vector")
-            wide = {c: numbers(queries, c) for c in FILTER_NAMES} if filtered else {}
+        out = []
+        if films.num_rows and queries.num_rows:
+            f = film_arrays(films)
+            qid, vectors = numbers(queries, "qid"), matrix(queries, "vector")
             affinity = matrix(queries, "affinity") if filtered else None
             excluded = queries.column("excluded").combine_chunks()
-            n_excluded = np.asarray(excluded.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            excluded_ids = excluded.flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(n_excluded)
-
-            tile = max(1, cells // n)
-            for start in range(0, len(qid), tile):
-                part = slice(start, min(start + tile, len(qid)))
-                u = query_vectors[part]
-                estimate = u @ vectors.T
-                fit = None
+            n_gone = np.asarray(excluded.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            gone = excluded.flatten().to_numpy(zero_copy_only=False)
+            gone_from = np.cumsum(n_gone) - n_gone
+            for rows, g in groups(queries, f):
+                v, n = g["vector"], len(g["id"])
+                v32, largest = v.T.astype(np.float32), np.abs(v).max()
+                by_id = np.argsort(g["id"])
+                sorted_ids = g["id"][by_id]
                 if filtered:
-                    taste = affinity[part]
-                    taste = taste / np.maximum(1.0, taste.max(axis=1))[:, None]
-                    best = np.full((len(u), len(masks)), -np.inf)
-                    for bit in genre_bits:
-                        best = np.where(member[:, bit], np.maximum(best, taste[:, bit, None]), best)
-                    fit = np.where(
-                        member.any(axis=1), (best + taste @ member.T / n_bits) / 2, 0.0
-                    )
-                    estimate += bonus * fit[:, mask_no]
-                    w = {c: v[part][:, None] for c, v in wide.items()}
-                    allowed = (
-                        ((mask & w["wanted"]) != 0)
-                        & (year >= w["year_from"]) & (year <= w["year_to"])
-                        & (cnt >= w["cnt_min"]) & (cnt <= w["cnt_max"])
-                    )
-                    estimate[~allowed] = -np.inf
-                drop = excluded_ids[ends[part.start] - n_excluded[part.start]: ends[part.stop - 1]]
-                if len(drop):
-                    row = np.repeat(np.arange(len(u)), n_excluded[part])
-                    at = np.minimum(np.searchsorted(sorted_ids, drop), n - 1)
-                    known = sorted_ids[at] == drop
-                    estimate[row[known], column_of[at[known]]] = -np.inf
-
-                # candidates by matrix product, with slack; exact sums decide among them
-                kth = n - min(k, n)
-                bound = np.partition(estimate, kth, axis=1)[:, kth]
-                bound = bound - 1e-9 * (1 + np.abs(bound))
-                row, col = np.nonzero((estimate >= bound[:, None]) & (estimate > -np.inf))
-                value = np.zeros(len(row))
-                for d in range(vectors.shape[1]):
-                    value += u[row, d] * vectors[col, d]
-                ranking = value if fit is None else value + bonus * fit[row, mask_no[col]]
-                order = np.lexsort((col, -ranking, row))
-                row, col = row[order], col[order]
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                top = place < k
-                row, col, chosen = row[top], col[top], order[top]
-                out["qid"].append(qid[part][row])
-                out["id"].append(ids[col])
-                out["cnt"].append(cnt[col])
-                out["score"].append(value[chosen])
-                out["rank_score"].append(ranking[chosen])
-        types = {"qid": pa.int32(), "id": pa.int32(), "cnt": pa.int32(),
-                 "score": pa.float64(), "rank_score": pa.float64()}
-        return pa.table({
-            name: pa.array(np.concatenate(parts) if parts else [], type=types[name])
-            for name, parts in out.items()
-        })
-
-    FILTER_NAMES = FILTER_COLUMNS[:-1]
+                    masks, mask_no = np.unique(g["mask"], return_inverse=True)
+                tile = max(1, cells // n)
+                for start in range(0, len(rows), tile):
+                    part = rows[start:start + tile]
+                    u = vectors[part]
+                    estimate = u.astype(np.float32) @ v32
+                    fit = genre_fits(affinity[part], masks) if filtered else None
+                    if filtered:
+                        estimate += (bonus * fit).astype(np.float32)[:, mask_no]
+                    lengths = n_gone[part]
+                    if lengths.any():
+                        row = np.repeat(np.arange(len(part)), lengths)
+                        within = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                        ids = gone[np.repeat(gone_from[part], lengths) + within]
+                        at = np.minimum(np.searchsorted(sorted_ids, ids), n - 1)
+                        known = sorted_ids[at] == ids
+                        estimate[row[known], by_id[at[known]]] = -np.inf
+
+                    # single precision finds candidates, with its error bound as slack;
+                    # exact sums in a fixed order decide among them
+                    size = np.abs(u).sum(axis=1) * largest
+                    if filtered:
+                        size = size + abs(bonus) * np.abs(fit).max(axis=1)
+                    slack = 1.2e-7 * (u.shape[1] + 4) * size
+                    kth = n - min(k, n)
+                    bound = np.partition(estimate, kth, axis=1)[:, kth] - 4 * slack
+                    row, col = np.nonzero((estimate >= bound[:, None].astype(np.float32)) & (estimate > -np.inf))
+                    value = np.zeros(len(row))
+                    for d in range(v.shape[1]):
+                        value += u[row, d] * v[col, d]
+                    ranking = value if fit is None else value + bonus * fit[row, mask_no[col]]
+                    order = np.lexsort((col, -ranking, row))
+                    place = np.arange(len(row)) - np.searchsorted(row[order], row[order])
+                    top = order[place < k]
+                    out.append((
+                        qid[part][row[top]], g["id"][col[top]], g["cnt"][col[top]], value[top], ranking[top]
+                    ))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [[]] * len(names)
+        return pa.table({n: pa.array(c, type=t) for n, c, t in zip(names, columns, types)})
+
     return score
 
 
