@@ -18,6 +18,7 @@ from filmfold.operators.skew import salted_join
 from filmfold.session import materialise
 
 CHOICE = ["wanted", "era"]
+PIECE_ROWS = 10_000  # ratings of one request summed together
 
 
 def expand_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -135,11 +136,10 @@ def _upper(rank: int) -> list[tuple[int, int]]:
     return [(a, c) for a in range(rank) for c in range(a, rank)]
 
 
-def _sums(v: str, r: str, rank: int) -> list[Column]:
-    """Upper triangle of sum(v v^T) and sum(r v) as plain sums: they combine in
-    each task before the shuffle, however many films one request has."""
-    gram = [F.expr(f"sum({v}[{a}] * {v}[{c}]) AS g_{a}_{c}") for a, c in _upper(rank)]
-    return gram + [F.expr(f"sum({r} * {v}[{a}]) AS b_{a}") for a in range(rank)]
+def _sums(v: list[str], r: str) -> list[Column]:
+    """Upper triangle of sum(v v^T) and sum(r v) as plain sums over columns."""
+    gram = [F.expr(f"sum({v[a]} * {v[c]}) AS g_{a}_{c}") for a, c in _upper(len(v))]
+    return gram + [F.expr(f"sum({r} * {name}) AS b_{a}") for a, name in enumerate(v)]
 
 
 def _gram(rank: int, name: str) -> Column:
@@ -153,20 +153,41 @@ def _rhs(rank: int, name: str) -> Column:
 BITS = range(len(fixed.GENRES))
 
 
-def rated_sums(rated: DataFrame, films: DataFrame, rank: int = fixed.RANK) -> DataFrame:
+def rated_sums(
+    rated: DataFrame, films: DataFrame, rank: int = fixed.RANK, piece_rows: int = PIECE_ROWS
+) -> DataFrame:
     """Per request, from its rated films: count, Gram matrix, right-hand side and
-    genre gains, all in one aggregation."""
-    rated = rated.join(films.select("movieId", "mask", "features"), "movieId")
+    genre gains, all in one aggregation.
+
+    A row of sums is many times wider than a rating, and most requests have few
+    ratings, so summing in every task first would blow the shuffle up. Ratings
+    are shuffled to their request instead, and only requests with more than
+    ``piece_rows`` of them are cut into pieces that are summed apart.
+    """
+    # few rows at most; written, so that its real size decides how it is joined
+    large = materialise(
+        rated.groupBy("reqId").agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > piece_rows)
+        .select("reqId", F.ceil(F.col("n") / piece_rows).alias("pieces")),
+        "large-requests",
+    )
+    v = [F.expr(f"coalesce(features[{a}], 0.0D) AS v{a}") for a in range(rank)]
+    inputs = films.select("movieId", "mask", *v)
     gains = [
         F.expr(f"sum(IF(mask & {1 << bit} != 0, (r - 3) / 2.0D, 0.0D)) AS t_{bit}") for bit in BITS
     ]
-    return (
-        rated.groupBy("reqId")
-        .agg(F.count(F.lit(1)).alias("n_rated"), *_sums("features", "r", rank), *gains)
-        .select(
-            "reqId", "n_rated", _gram(rank, "rated_gram"), _rhs(rank, "rated_rhs"),
-            F.expr("array(" + ", ".join(f"t_{bit}" for bit in BITS) + ") AS gains"),
-        )
+    vector = [f"v{a}" for a in range(rank)]
+    sums = [F.count(F.lit(1)).alias("n_rated"), *_sums(vector, "r"), *gains]
+
+    usual = rated.join(large, "reqId", "left_anti").join(inputs, "movieId")
+    usual = usual.repartition("reqId").groupBy("reqId").agg(*sums)
+    piece = F.pmod(F.xxhash64("movieId"), F.col("pieces")).alias("piece")
+    cut = rated.join(large, "reqId").select("reqId", "movieId", "r", piece).join(inputs, "movieId")
+    cut = cut.repartition("reqId", "piece").groupBy("reqId", "piece").agg(*sums).drop("piece")
+    cut = cut.groupBy("reqId").agg(*[F.expr(f"sum({c}) AS {c}") for c in cut.columns if c != "reqId"])
+    return usual.unionByName(cut).select(
+        "reqId", "n_rated", _gram(rank, "rated_gram"), _rhs(rank, "rated_rhs"),
+        F.expr("array(" + ", ".join(f"t_{bit}" for bit in BITS) + ") AS gains"),
     )
 
 
@@ -176,7 +197,7 @@ def anchor_sums(choice_anchors: DataFrame, rank: int = fixed.RANK) -> DataFrame:
     return (
         spread.groupBy(*CHOICE)
         .agg(F.count(F.lit(1)).alias("n_anchors"),
-             *_sums("a.features", str(fixed.ANCHOR_STARS), rank))
+             *_sums([f"a.features[{k}]" for k in range(rank)], str(fixed.ANCHOR_STARS)))
         .select(*CHOICE, "n_anchors", _gram(rank, "anchor_gram"), _rhs(rank, "anchor_rhs"))
     )
 

@@ -137,6 +137,18 @@ def test_rows_and_sums_agree(spark, world):
         assert e.ridge == pytest.approx(fixed.REG_PARAM * w.sum())
 
 
+def test_large_requests_are_summed_in_pieces(spark, world):
+    films, _, reactions, _ = world
+    rated = foldin.rated_films(reactions, films)
+    whole = {r.reqId: r for r in foldin.rated_sums(rated, films).collect()}
+    cut = {r.reqId: r for r in foldin.rated_sums(rated, films, piece_rows=7).collect()}
+    assert set(cut) == set(whole) == {2, 3, 4}
+    for i, r in whole.items():
+        assert cut[i].n_rated == r.n_rated
+        for name in ("rated_gram", "rated_rhs", "gains"):
+            assert cut[i][name] == pytest.approx(r[name])
+
+
 def test_taste_vectors(spark, world):
     films, requests, reactions, plain = world
     prepared, rated = foldin.prepare_requests(requests), foldin.rated_films(reactions, films)
