@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from filmfold.llm.common import binary_matrix
+from filmfold.llm.common import binary_matrix, folded
 
 #: Items in a block; two blocks are one tile, held in memory by one task.
 BLOCK = 512
@@ -48,28 +48,33 @@ def hub_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 
 def bitmap_filter(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """Keep pairs (a, b) whose bitmaps (items: id, n, bitmap) leave room for the overlap."""
-    left = items.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("bm_a"))
-    right = items.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("bm_b"))
+    """Keep pairs (a, b) whose wide bitmaps (items: id, n, wide) leave room for the overlap.
+
+    A wide bitmap has about a bit per element, so it tells sets of any size
+    apart at a sixty-fourth of their arrays. The wider of two is folded to the
+    other's width, which keeps the bound.
+    """
+    left = items.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("wide").alias("w_a"))
+    right = items.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("wide").alias("w_b"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            width = len(batch["bm_a"][0].as_py())
-            a, b = (binary_matrix(batch[c], width) for c in ("bm_a", "bm_b"))
-            n_a, n_b = (batch[c].to_numpy() for c in ("n_a", "n_b"))
-            keep = _room(a, b, n_a, n_b, percent)
+            keep = np.zeros(batch.num_rows, bool)
+            sizes = zip(batch["n_a"].to_pylist(), batch["n_b"].to_pylist())
+            for i, (x, y, (n_a, n_b)) in enumerate(zip(batch["w_a"], batch["w_b"], sizes)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                width = min(len(x), len(y))
+                differ = np.bitwise_count(folded(x, width) ^ folded(y, width)).sum(dtype=np.int64)
+                keep[i] = _room(differ, n_a, n_b, percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bm_a", "bm_b") \
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "w_a", "w_b") \
         .mapInArrow(check, "a long, b long")
 
 
-def _room(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+def _room(differ, n_a, n_b, percent: int):
     """100 * overlap >= percent * union is possible: overlap is at most (n_a + n_b - bits that differ) / 2."""
-    differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
-    total = n_a.astype(np.int64) + n_b
+    total = n_a + n_b
     overlap = np.minimum((total - differ) // 2, np.minimum(n_a, n_b))
     return 100 * overlap >= percent * (total - overlap)
 
@@ -162,7 +167,8 @@ def _pairs(rows: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
         wanted = (group[here] != group[there]) & (one_block[here] | (side[here] != side[there]))
         i, j = here[wanted], there[wanted]
         if i.size:
-            keep = _room(bitmap[i], bitmap[j], n[i], n[j], percent)
+            differ = np.bitwise_count(bitmap[i] ^ bitmap[j]).sum(axis=1, dtype=np.int64)
+            keep = _room(differ, n[i].astype(np.int64), n[j].astype(np.int64), percent)
             a, b = ids[i[keep]], ids[j[keep]]
             if a.size:
                 yield pa.RecordBatch.from_arrays(

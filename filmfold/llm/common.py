@@ -79,6 +79,18 @@ def parity_bitmap(values: np.ndarray, bits: int) -> bytes:
     return np.packbits((slots & 1).astype(bool)).tobytes()
 
 
+def wide_bits(count: int, least: int) -> int:
+    """A power of two of at least one bit per element."""
+    return max(least, 1 << max(0, count - 1).bit_length())
+
+
+def folded(bitmap: np.ndarray, width: int) -> np.ndarray:
+    """The parity bitmap of fewer slots (a power of two of 64-bit words), from that of more: halves laid together."""
+    while len(bitmap) > width:
+        bitmap = bitmap[:len(bitmap) // 2] ^ bitmap[len(bitmap) // 2:]
+    return bitmap
+
+
 def binary_matrix(column: pa.Array, width: int) -> np.ndarray:
     """Equal-length binary values as rows of 64-bit words."""
     joined = b"".join(column.to_pylist())

@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from filmfold.llm import buckets
-from filmfold.llm.common import hashes, long_lists, mixed, parity_bitmap, signed, texts, words, written
+from filmfold.llm.common import hashes, folded, long_lists, mixed, parity_bitmap, signed, texts, wide_bits, \
+    words, written
 from filmfold.llm.components import components
 
 SHINGLE = 5
@@ -71,23 +72,25 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """doc_id, set size, a 128-bit digest of the set, its prefix and its bitmap."""
+    """doc_id, set size, a 128-bit digest of the set, its prefix and its bitmaps, one of BITS and one of about n bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, firsts, bitmaps = [], [], [], []
+            sizes, digests, firsts, bitmaps, wide = [], [], [], [], []
             for text in texts(batch["text"]):
                 values = shingles(text)
                 sizes.append(len(values))
                 digests.append(xxhash.xxh3_128_digest(values.tobytes()))
                 firsts.append(signed(prefix(values, common)) if len(values) else np.empty(0, np.int64))
-                bitmaps.append(parity_bitmap(values, BITS))
+                wide.append(parity_bitmap(values, wide_bits(len(values), BITS)))
+                bitmaps.append(folded(np.frombuffer(wide[-1], np.uint64), BITS // 64).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), long_lists(firsts),
-                 pa.array(bitmaps, pa.binary())], names=["doc_id", "n", "digest", "prefix", "bitmap"])
+                 pa.array(bitmaps, pa.binary()), pa.array(wide, pa.binary())],
+                names=["doc_id", "n", "digest", "prefix", "bitmap", "wide"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n long, digest binary, prefix array<long>, bitmap binary")
+        run, "doc_id long, n long, digest binary, prefix array<long>, bitmap binary, wide binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -127,9 +130,10 @@ def near_documents(docs: DataFrame) -> DataFrame:
     full = profiles.filter("n > 0")
     firsts = written(full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")),
                      "equal-sets")
-    items = written(full.join(firsts.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"])
-                    .select(F.col("doc_id").alias("id"), "n", "prefix", "bitmap"), "items")
-    keys = items.select(F.explode("prefix").alias("key"), "id", F.col("n").cast("int").alias("n"))
+    one = full.join(firsts.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"]) \
+        .withColumnRenamed("doc_id", "id")
+    items = written(one.select("id", "n", "bitmap", "wide"), "items")
+    keys = one.select(F.explode("prefix").alias("key"), "id", F.col("n").cast("int").alias("n"))
     members = written(buckets.shared(keys), "members")
     links = _links(docs, buckets.hub_pairs(members, PERCENT), items)
     groups = written(components(links), "groups")
