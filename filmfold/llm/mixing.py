@@ -86,21 +86,22 @@ def plan(docs: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("before", F.coalesce(F.sum("here").over(earlier), F.lit(0)))
     # Only the one partition of a source in which its rest is reached needs the sums of its rows.
-    crossing = parts.join(dealt, parts.source.eqNullSafe(dealt.source)).filter(
-        (F.col("before") <= F.col("rest")) & (F.col("before") + F.col("here") > F.col("rest"))) \
-        .select(parts.source.alias("of"), F.col("part").alias("in"), "before", "rest")
-    inside = ranged.join(crossing, ranged.source.eqNullSafe(crossing.of) & (F.col("part") == F.col("in")))
+    crossing = parts.join(dealt.select(F.col("source").alias("of"), "rest"), F.col("source").eqNullSafe(F.col("of"))) \
+        .filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("here") > F.col("rest"))) \
+        .select("of", F.col("part").alias("in"), "before", "rest")
+    crossing = written(crossing, "mix-crossing")
+    inside = ranged.join(crossing, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in")))
     run = Window.partitionBy("of").orderBy("key", "doc_id")
     upto = F.col("before") + F.sum("size").over(run)
     nearer = F.col("upto") - F.col("rest") < F.col("rest") - (F.col("upto") - F.col("size"))
     fits = inside.withColumn("upto", upto).filter((F.col("upto") <= F.col("rest")) | (
         (F.col("upto") - F.col("size") < F.col("rest")) & nearer))
-    last = fits.groupBy("of").agg(F.max(F.struct("key", "doc_id")).alias("last"))
-    whole = crossing.join(last, crossing.of.eqNullSafe(last.of), "left").select(crossing.of, "in", "last")
-    cuts = dealt.join(whole, dealt.source.eqNullSafe(whole.of), "left").select(
-        dealt.source.alias("name"), "source_size", "target", "epochs", "rest", "in", "last")
+    last = fits.groupBy(F.col("of").alias("to")).agg(F.max(F.struct("key", "doc_id")).alias("last"))
+    whole = crossing.select("of", "in").join(last, F.col("of").eqNullSafe(F.col("to")), "left").select("of", "in", "last")
+    cuts = dealt.join(whole, F.col("source").eqNullSafe(F.col("of")), "left").select(
+        F.col("source").alias("name"), "source_size", "target", "epochs", "in", "last")
     cuts = written(cuts, "mix-cuts")
-    joined = ranged.join(cuts, ranged.source.eqNullSafe(cuts.name))
+    joined = ranged.join(cuts, F.col("source").eqNullSafe(F.col("name")))
     in_part = F.coalesce(F.struct("key", "doc_id") <= F.col("last"), F.lit(False))
     picked = (F.col("part") < F.col("in")) | ((F.col("part") == F.col("in")) & in_part)
     times = F.col("epochs") + F.when(F.coalesce(picked, F.lit(False)), 1).otherwise(0)

@@ -8,7 +8,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from filmfold.llm.common import texts, written
 
@@ -174,5 +174,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield batch.append_column("score", pa.array(scores, pa.float64())).append_column(
                 "predicted", pa.array((scores >= THRESHOLD).astype(np.int32)))
 
-    schema = docs.schema.add("score", "double").add("predicted", "int")
+    schema = T.StructType([*docs.schema, T.StructField("score", T.DoubleType()),
+                           T.StructField("predicted", T.IntegerType())])
     return docs.mapInArrow(run, schema)
