@@ -48,8 +48,8 @@ def targets(sizes: DataFrame) -> DataFrame:
         .withColumn("gone", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     level = (F.col("total") - F.col("used")) / (F.col("weights") - F.col("gone"))
     rows = rows.withColumn("level", level).withColumn("capped", F.col("most") / F.col("weight") <= F.col("level"))
-    # The first source that is not capped sets the level for itself and all after it.
-    final = F.min(F.when(~F.col("capped"), F.col("level"))).over(everything)
+    # The first source that is not capped sets the level for itself and all after it; theirs come out lower.
+    final = F.max(F.when(~F.col("capped"), F.col("level"))).over(everything)
     return rows.withColumn("target", F.when(F.col("capped"), F.col("most")).otherwise(final * F.col("weight"))) \
         .select("source", "source_size", "target")
 

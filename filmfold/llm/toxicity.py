@@ -10,7 +10,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from filmfold.llm.common import texts, written
+from filmfold.llm.common import hashes, mixed, signed, texts, words, written
 
 #: From this score on a document is toxic.
 THRESHOLD = 0.3
@@ -18,9 +18,10 @@ THRESHOLD = 0.3
 MOST_POSITIVE, MOST_UNLABELLED = 6000, 18_000
 #: Word beginnings of these lengths are features, and whole words.
 STEMS = (4, 5, 6, 7)
-#: A feature is kept if it is in this share of the positives (and in LEAST_ROWS of them), and LIFT times as frequent
-#: there as in the unlabelled text; of those the MOST_FEATURES with the highest share.
-LEAST_SHARE, LEAST_ROWS, LIFT, MOST_FEATURES = 0.002, 5, 2.5, 4000
+#: A feature is kept if it is in LEAST_ROWS and LEAST_SHARE of the positives, and if the prior times its share there is
+#: PRECISION or more of its share in the unlabelled text: an estimate of how many of the texts with it are toxic. Of
+#: those the MOST_FEATURES with the highest share.
+LEAST_ROWS, LEAST_SHARE, PRECISION, MOST_FEATURES = 8, 0.002, 0.6, 4000
 STEPS, RATE, DECAY = 400, 0.2, 1e-4
 
 WORDS = regex.compile(r"\p{L}+")
@@ -42,6 +43,16 @@ class Model(NamedTuple):
     bias: float
 
 
+def copy_key(text: str | None) -> int:
+    """The least hash of the runs of three words: copies and most near copies have it in common, other texts do not."""
+    tokens = words(text)
+    ids = hashes(tokens, len(tokens))
+    if len(ids) < 3:
+        return int(signed(np.array([ids.sum(dtype=np.uint64)], np.uint64))[0])
+    runs = mixed(mixed(mixed(ids[:-2]) + ids[1:-1]) + ids[2:])
+    return int(signed(runs.min(keepdims=True))[0])
+
+
 def held_out(docs: DataFrame) -> DataFrame:
     """Add ``held_out``: labels of these rows are for measuring only."""
     return docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
@@ -85,8 +96,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     The labels give the positives and, as their share of all labelled rows, the
     class prior; rows labelled clean are never used as negatives. Samples are
-    bounded and drawn by a hash of the id, the same on every run; how frequent
-    each feature is in them is counted in parallel, and only the chosen
+    bounded (the ids drawn are broadcast, the bound is theirs) and drawn by a
+    hash of the id, the same on every run; how frequent each feature is in them is counted in parallel, and only the chosen
     features of the sampled rows reach the driver.
 
     Null ids, texts and labels are left out. Without a positive label the model
@@ -104,8 +115,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     below = int(-(2 ** 63) + share * (2 ** 64 - 1)) if share < 1 else 2 ** 63 - 1
     drawn = usable.filter(turn <= F.lit(below)).select("doc_id").orderBy(turn, "doc_id").limit(MOST_UNLABELLED)
     chosen = written(names.withColumn("positive", F.lit(1)).union(drawn.withColumn("positive", F.lit(0))), "sample-ids")
-    sample = written(usable.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("positive", "text"),
-                     "sample")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("copy", pa.array([copy_key(t) for t in texts(batch["text"])], pa.int64()))
+
+    # Copies of one toxic text would make each of its words look toxic, so of copies one is used.
+    sample = usable.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("positive", "text")
+    sample = written(sample.mapInArrow(keyed, "positive int, text string, copy long")
+                     .dropDuplicates(["positive", "copy"]).select("positive", "text"), "sample")
     n_positive, n_unlabelled = (sample.filter(f"positive = {p}").count() for p in (1, 0))
     if not n_positive or not n_unlabelled:
         return Model({}, float(np.log(prior / (1 - prior))))
@@ -120,9 +138,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     counts = sample.mapInArrow(explode, "feature string, positive int").groupBy("feature").agg(
         F.sum("positive").alias("p"), F.sum(1 - F.col("positive")).alias("u"))
-    lift = ((F.col("p") + 0.5) / n_positive) / ((F.col("u") + 0.5) / n_unlabelled)
+    precision = prior * (F.col("p") / n_positive) / ((F.col("u") + 0.5) / n_unlabelled)
     least = max(LEAST_ROWS, LEAST_SHARE * n_positive)
-    best = counts.filter((F.col("p") >= least) & (lift >= LIFT)).orderBy(F.desc("p"), "feature").limit(MOST_FEATURES)
+    best = counts.filter((F.col("p") >= least) & (precision >= PRECISION)).orderBy(F.desc("p"), "feature").limit(MOST_FEATURES)
     number = {r["feature"]: i for i, r in enumerate(best.select("feature").collect())}
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
