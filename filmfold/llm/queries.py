@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from filmfold.llm import bpe, exact_dedup, line_dedup, mixing, ngram_join, token_files, toxicity
+from filmfold.llm import bpe, exact_dedup, htmltext, line_dedup, merkle, mixing, ngram_join, pii, token_files, toxicity
 from filmfold.llm.common import table
 from filmfold.session import scratch_path
 
@@ -23,6 +23,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return htmltext.extract(pages, htmltext.train(pages))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -30,6 +35,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out(scored).select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's text without lines that another line, in an earlier place, repeats."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -40,6 +49,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(docs))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_documents(table(spark, sf_dir, "documents"))
 
@@ -53,9 +67,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
+    "op3_html": op3_html,
     "op4_toxicity": op4_toxicity,
+    "op5_merkle": op5_merkle,
     "op6_line_dedup": op6_line_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_pii": op8_pii,
     "op9_ngram_join": op9_ngram_join,
     "op10_token_files": op10_token_files,
 }
