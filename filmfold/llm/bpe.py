@@ -9,11 +9,12 @@ import json
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, types as T
 
-from filmfold.llm.common import texts
+from filmfold.llm.common import long_lists, texts
 
 #: The public split of byte-level BPE into pieces; merges never cross a piece.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -21,8 +22,8 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 CUT = regex.compile(r"(?<=\S) (?=\S)")
 #: Characters read at once, bytes of a piece merged as a whole, bytes fed to the transducer at once.
 WINDOW, WHOLE, FEED = 1 << 16, 256, 4096
-#: Pieces remembered by one worker.
-MEMO = 400_000
+#: Pieces remembered by one worker; tokens sent on at once.
+MEMO, OUT = 400_000, 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -233,18 +234,25 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ``ids``, the tokens of each whole text. A null text has none."""
+def encode(docs: DataFrame, path: str, keep: Iterable[str] = ()) -> DataFrame:
+    """doc_id, the columns to keep, and ``ids``, the tokens of each whole text. A null text has none."""
+    keep = ["doc_id", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            for doc, text in zip(batch["doc_id"], texts(batch["text"])):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc.as_py()], pa.int64()), pa.array([bpe.encode(text or "")], pa.list_(pa.int32()))],
-                    names=["doc_id", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+            found: list[np.ndarray] = []
+            first = size = 0
+            for row, text in enumerate(texts(batch["text"]), 1):
+                found.append(np.fromiter(chain.from_iterable(bpe.stream(text or "")), np.int32))
+                size += len(found[-1])
+                if size >= OUT or row == batch.num_rows:
+                    ids = long_lists(found)
+                    yield batch.slice(first, row - first).select(keep).append_column("ids", ids)
+                    found, first, size = [], row, 0
+
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
