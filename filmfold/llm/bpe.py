@@ -26,6 +26,9 @@ WINDOW, WHOLE, FEED = 1 << 16, 256, 4096
 MEMO, OUT = 400_000, 1 << 20
 
 
+_NONE = 1 << 60
+
+
 def byte_letters() -> dict[str, int]:
     """The letters by which byte-level vocabularies write bytes: printable Latin-1 for itself, the rest from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -64,14 +67,14 @@ class Bpe:
         self.bytes_of: dict[int, bytes] = {i: bytes(letters[c] for c in t) for t, i in vocab.items()}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self.id_of = {self.bytes_of[i]: i for i in vocab.values()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        made = []
+        self.rank_of: dict[int, int] = {}  # by both ids in one number
+        self.made: list[int] = []  # by rank
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
-            made.append(self.bytes_of[vocab[left + right]])
+            self.rank_of[vocab[left] << 20 | vocab[right]] = rank
+            self.made.append(vocab[left + right])
         self.longest = max(map(len, self.id_of))
-        self.lookahead = sufficient_lookahead(made)
+        self.lookahead = sufficient_lookahead([self.bytes_of[i] for i in self.made])
         self.names = [str(i) for i in range(max(self.bytes_of) + 1)]
         self.single = [self.id_of[bytes([b])] for b in range(256)]
         self.fits: dict[tuple[int, int], bool] = {}
@@ -79,21 +82,19 @@ class Bpe:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def merge(self, data: bytes) -> list[int]:
-        """All merges of a short piece, lowest rank first, leftmost first."""
+        """All merges of a short piece, lowest rank first, leftmost first. ``ranks`` has one entry for each pair of
+        neighbours; a merge changes two of them."""
         ids = [self.single[b] for b in data]
-        while len(ids) > 1:
-            best = min((self.merges.get(pair, (1 << 60, 0)) for pair in zip(ids, ids[1:])))
-            if best[0] == 1 << 60:
-                break
-            new, i, made = [], 0, best[1]
-            while i < len(ids):
-                if i + 1 < len(ids) and self.merges.get((ids[i], ids[i + 1])) == best:
-                    new.append(made)
-                    i += 2
-                else:
-                    new.append(ids[i])
-                    i += 1
-            ids = new
+        rank, made = self.rank_of.get, self.made
+        ranks = [rank(left << 20 | right, _NONE) for left, right in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) != _NONE:
+            i = ranks.index(best)
+            ids[i] = made[best]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(ids[i] << 20 | ids[i + 1], _NONE)
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] << 20 | ids[i], _NONE)
         return ids
 
     def follows(self, left: int, right: int) -> bool:
