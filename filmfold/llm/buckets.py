@@ -175,14 +175,22 @@ def _pairs(rows: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
                     [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sorted arrays (sets: id, members) overlap enough, counted exactly."""
+def sorted_array(value: pa.ListScalar) -> np.ndarray:
+    return value.values.to_numpy()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, read: Callable = sorted_array) -> DataFrame:
+    """Pairs whose sorted arrays overlap enough, counted exactly.
+
+    ``sets`` has id and members; ``read`` makes the sorted array of a members
+    value, which may also be something shorter that the array follows from.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch["m_a"], batch["m_b"])):
-                x, y = (v.values.to_numpy() for v in (x, y))
+                x, y = read(x), read(y)
                 common = np.intersect1d(x, y, assume_unique=True).size
                 keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
             yield batch.select(["a", "b"]).filter(pa.array(keep))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from filmfold.llm import buckets
-from filmfold.llm.common import folded, long_lists, mixed, parity_bitmap, signed, texts, wide_bits, written
+from filmfold.llm.common import folded, mixed, parity_bitmap, signed, texts, wide_bits, written
 from filmfold.llm.components import components
 
 #: Lines with fewer characters, once normalised, are never compared: list items, headings, single words.
@@ -83,6 +83,10 @@ def _eligible(text: str | None) -> Iterator[tuple[int, str]]:
             yield place, line
 
 
+def _members(line: pa.StringScalar) -> np.ndarray:
+    return shingles(line.as_py())
+
+
 def _line_table(docs: DataFrame) -> DataFrame:
     """Each eligible line: doc_id, place, id; its band keys where it is first met in a batch."""
 
@@ -124,11 +128,14 @@ def _rows(rows: list, new: list[str], at: list[int]) -> pa.RecordBatch:
 
 
 def _line_sets(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, n, bitmaps and members of the wanted lines, each read from one document that holds it."""
+    """id, n, bitmaps and members of the wanted lines, each read from one document that holds it.
+
+    The members travel as the line itself, an eighth of its array.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, arrays, bitmaps, wide = [], [], [], []
+            ids, sizes, lines_here, bitmaps, wide = [], [], [], [], []
             for text, places in zip(texts(batch["text"]), batch["places"]):
                 wanted_here = set(places.as_py())
                 for place, line in _eligible(text):
@@ -137,16 +144,17 @@ def _line_sets(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFram
                         ids.append(line_id(line))
                         wide.append(parity_bitmap(values, wide_bits(len(values), BITS)))
                         bitmaps.append(folded(np.frombuffer(wide[-1], np.uint64), BITS // 64).tobytes())
-                        arrays.append(np.sort(signed(values)))
+                        sizes.append(len(values))
+                        lines_here.append(line)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(a) for a in arrays], pa.int64()),
-                 pa.array(bitmaps, pa.binary()), pa.array(wide, pa.binary()), long_lists(arrays)],
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bitmaps, pa.binary()),
+                 pa.array(wide, pa.binary()), pa.array(lines_here, pa.string())],
                 names=["id", "n", "bitmap", "wide", "members"])
 
     one = lines.join(wanted, "id").groupBy("id").agg(F.min(F.struct("doc_id", "place")).alias("at"))
     places = one.groupBy("at.doc_id").agg(F.collect_set("at.place").alias("places"))
     return docs.join(places, "doc_id").select("text", "places").mapInArrow(
-        run, "id long, n long, bitmap binary, wide binary, members array<long>").dropDuplicates(["id"])
+        run, "id long, n long, bitmap binary, wide binary, members string").dropDuplicates(["id"])
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -168,10 +176,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     sets = written(_line_sets(docs, lines.select("id", "doc_id", "place"), members.select("id").distinct()), "line-sets")
     sized = members.select("key", "id", "hub").join(sets.select("id", "n"), "id")
     first = buckets.bitmap_filter(buckets.hub_pairs(members, PERCENT), sets, PERCENT)
-    links = written(buckets.verified(first, sets, PERCENT), "line-links")
+    links = written(buckets.verified(first, sets, PERCENT, _members), "line-links")
     groups = written(components(links), "line-groups")
-    cross = written(buckets.cross_pairs(sized, groups, sets, PERCENT), "line-cross")
-    more = written(buckets.verified(cross, sets, PERCENT), "line-links")
+    cross = buckets.bitmap_filter(buckets.cross_pairs(sized, groups, sets, PERCENT), sets, PERCENT)
+    more = written(buckets.verified(cross, sets, PERCENT, _members), "line-links")
     groups = written(components(links.union(more)), "line-groups")
 
     named = lines.select("doc_id", "place", "id").join(groups, F.col("id") == F.col("node"), "left").select(
