@@ -4,26 +4,41 @@ from __future__ import annotations
 
 import functools
 import os
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from filmfold.llm.common import CLEANUP, texts
+from filmfold.llm.bpe import byte_letters
+from filmfold.llm.common import CLEANUP, texts, written
 
 #: Appended to each document.
 END = 2
-#: Words remembered by one worker.
+#: Pieces and words remembered by one worker.
 MEMO = 400_000
+_SPACE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Runs of anything but Unicode white space, where the vocabulary's own split never joins text.
-WORDS = regex.compile(r"[^\x09-\x0d\x20\x85\xa0  -     　]+")
+WORDS = re.compile(f"[^{_SPACE}]+")
+#: Characters that normalisation only lower-cases, one by one: Latin, its punctuation, and white space.
+_PLAIN = re.compile(r"[\x00-\u012f\u0132-\u0148\u014a-\u017f]*")
+_LETTERS, _NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: The vocabulary's public split, written out for those characters.
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACE}{_LETTERS}{_NUMBERS}]+")
+_LETTER_OF = {byte: letter for letter, byte in byte_letters().items()}
 
 
 class WordEncoder:
-    """Ids of a text, word by word: the library encodes each new word once, in batches."""
+    """Ids of a text by the tokenizers library, which merges each new piece once.
+
+    Plain Latin text is lower-cased and cut here, and its pieces go to the
+    library's model; other text goes to the library word by word, with its
+    normalisation and split. Either way a text's ids are those of its parts.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -32,18 +47,47 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces, self.words = _Pieces(self), _Words(self)
+
+    def encode(self, text: str | None) -> bytes:
+        """Little-endian 32-bit ids, the end id included."""
+        text = text or ""
+        if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            parts = map(self.pieces.__getitem__, _PIECES.findall(text.lower()))
+        else:
+            parts = map(self.words.__getitem__, WORDS.findall(text))
+        return b"".join(parts) + _packed([END])
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+
+
+class _Memo(dict):
+    def __init__(self, encoder: WordEncoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= MEMO:
+            self.clear()
+        found = _packed(self.ids(part))
+        if len(part) <= 64:
+            self[part] = found
+        return found
+
+
+class _Pieces(_Memo):
+    def ids(self, piece: str) -> list[int]:
+        letters = piece.encode().decode("latin-1").translate(_LETTER_OF)
+        return [t.id for t in self.encoder.model.tokenize(letters)]
+
 
-    def encode(self, many: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, the end id included."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        split = [WORDS.findall(text) if text else [] for text in many]
-        new = list({word for found in split for word in found}.difference(self.memo))
-        for word, encoding in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.memo[word] = np.array(encoding.ids, "<u4").tobytes()
-        end = np.array([END], "<u4").tobytes()
-        return [b"".join(map(self.memo.__getitem__, found)) + end for found in split]
+class _Words(_Memo):
+    def ids(self, word: str) -> list[int]:
+        return self.encoder.tokenizer.encode(word, add_special_tokens=False).ids
 
 
 @functools.cache
@@ -81,7 +125,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, stripe_bytes: int = 64 <<
         encoder, before = load(vocabulary), 0
         for batch in batches:
             for ids, held in _groups(batch):
-                found = encoder.encode(held)
+                found = [encoder.encode(text) for text in held]
                 ends = np.cumsum([0, *(len(x) // 4 for x in found)])
                 flat = np.frombuffer(b"".join(found), "<i4")
                 yield pa.RecordBatch.from_arrays([
@@ -109,13 +153,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids; a filter on doc_id skips files, stripes and row groups.
 
     ``start`` counts the tokens of all documents before: those of earlier files,
-    one row a file, and those before it in its own.
+    one row a file, and those before it in its own. The table of files is
+    written, so that its size decides how it is joined and ids are not shuffled.
     """
     rows = spark.read.schema("doc_id long, first long, n_tokens long, ids array<int>").orc(path) \
         .withColumn("file", F.col("_metadata.file_path"))
     files = rows.groupBy("file").agg(F.min("doc_id").alias("lowest"), F.sum("n_tokens").alias("tokens"))
     before = Window.orderBy(F.asc_nulls_first("lowest")).rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("before"))
+    files = written(files.select("file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("before")), "file-starts")
     return rows.join(files, "file").select(
         "doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids")
 
