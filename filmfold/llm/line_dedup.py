@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from filmfold.llm import buckets
-from filmfold.llm.common import folded, mixed, parity_bitmap, signed, texts, wide_bits, written
+from filmfold.llm.common import folded, mixed, parity_bitmap, signed, texts, unused, wide_bits, written
 from filmfold.llm.components import components
 
 #: Lines with fewer characters, once normalised, are never compared: list items, headings, single words.
@@ -194,13 +194,14 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
 
     Every document stays, also when no line of it does; its text is then empty.
     """
-    drops = repeated_lines(docs).groupBy(F.col("doc_id").alias("of")).agg(F.collect_set("place").alias("gone"))
-    drops = written(drops, "line-drops")
-    out = docs.join(drops, docs.doc_id.eqNullSafe(drops.of), "left")
-    left = F.filter(F.split("text", "\n", -1), lambda line, place: ~F.array_contains("gone", place))
-    out = out.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))) \
-        .withColumn("lines_dropped", F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")))
+    of, gone = unused(docs, "of", "gone")
+    drops = repeated_lines(docs).groupBy(F.col("doc_id").alias(of)).agg(F.collect_set("place").alias(gone))
+    out = docs.join(written(drops, "line-drops"), F.col("doc_id").eqNullSafe(F.col(of)), "left")
+    whole = F.col(gone).isNull()
+    left = F.filter(F.split("text", "\n", -1), lambda line, place: ~F.array_contains(gone, place))
+    out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(left, "\n"))) \
+        .withColumn("lines_dropped", F.when(whole, 0).otherwise(F.size(gone)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars"))
+        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars"))
                              .otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.drop("of", "gone")
+    return out.drop(of, gone)

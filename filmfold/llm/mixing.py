@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from filmfold.llm.common import word_count, written
+from filmfold.llm.common import unused, word_count, written
 
 #: Weights dealt to sources in order of name, again and again; the mix's size and a source's most, in sizes.
 WEIGHTS = (5, 2, 1)
@@ -117,6 +117,7 @@ def sized(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, all columns as they are."""
-    picked = plan(sized(docs)).filter("times > 0").select(F.col("doc_id").alias("of"), "times").distinct()
-    out = docs.join(written(picked, "mix-picked"), docs.doc_id.eqNullSafe(F.col("of")))
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).drop("of", "times", "copy")
+    of, times, copy = unused(docs, "of", "times", "copy")
+    picked = plan(sized(docs)).filter("times > 0").select(F.col("doc_id").alias(of), F.col("times").alias(times)).distinct()
+    out = docs.join(written(picked, "mix-picked"), F.col("doc_id").eqNullSafe(F.col(of)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(docs.columns)
