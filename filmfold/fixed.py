@@ -44,6 +44,7 @@ REACTION_STARS = {"loved": 5, "liked": 4, "nope": 2}
 
 # --- fixed values: model and ranking parameters -------------------------------
 RANK = 10
+QUANT_SCALE = 1000  # stored vectors are whole thousandths
 REG_PARAM = 0.05
 MAX_ITER = 20
 TUNING_CONFIGS = [(10, 0.1, 10), (20, 0.1, 10), (10, 0.05, 20)]  # rank, reg, iterations

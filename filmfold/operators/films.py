@@ -41,8 +41,9 @@ def decode_films(table: DataFrame) -> DataFrame:
 
 
 def with_bayesian_score(films: DataFrame, weight: int = fixed.BAYES_WEIGHT) -> DataFrame:
-    """Mean pulled towards the count-weighted mean of all films, so a handful of
-    top marks does not outrank a classic. The prior is a scalar subquery."""
+    """Add ``score``: a film's mean, with the mean of all ratings counted in as ``weight`` ratings more.
+
+    The mean of all ratings is a scalar subquery."""
     prior = films.agg(F.sum(F.col("mean") * F.col("cnt")) / F.sum("cnt")).scalar()
     return films.withColumn(
         "score", (F.col("mean") * F.col("cnt") + prior * weight) / (F.col("cnt") + weight)

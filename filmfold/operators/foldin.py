@@ -14,7 +14,7 @@ from filmfold import fixed
 from filmfold.functions import genres as G, labels as L, numbers as N, ranges as R
 from filmfold.functions.solver import fold_in_solver
 from filmfold.operators import films as films_op, scoring
-from filmfold.operators.skew import salted_join
+from filmfold.operators.skew import plain_join
 from filmfold.session import materialise
 
 CHOICE = ["wanted", "era"]
@@ -111,7 +111,7 @@ def anchors(
 
 
 def anchor_weight(n_rated: Column) -> Column:
-    """The more films a newcomer rates, the less the starting point counts."""
+    """Weight of an anchor: it halves once a newcomer has rated ANCHOR_HALF_LIFE films, and so on."""
     return F.lit(fixed.ANCHOR_WEIGHT * fixed.ANCHOR_HALF_LIFE) / (fixed.ANCHOR_HALF_LIFE + n_rated)
 
 
@@ -120,7 +120,7 @@ def fold_in_rows(prepared: DataFrame, rated: DataFrame, films: DataFrame, **ladd
     films. A film that is both counts twice."""
     rated = rated.select("reqId", "movieId", F.col("r").cast("double").alias("r"))
     counts = rated.groupBy("reqId").agg(F.count(F.lit(1)).alias("n_rated"))
-    chosen = salted_join(prepared, anchors(prepared, films, **ladder), CHOICE).join(counts, "reqId", "left")
+    chosen = plain_join(prepared, anchors(prepared, films, **ladder), CHOICE).join(counts, "reqId", "left")
     anchor_rows = chosen.select(
         "reqId",
         F.lit("anchor").alias("source"),
@@ -136,10 +136,27 @@ def _upper(rank: int) -> list[tuple[int, int]]:
     return [(a, c) for a in range(rank) for c in range(a, rank)]
 
 
+def vector_length(films: DataFrame) -> int:
+    """Length of the films' vectors, which is the rank of the model they come from; 0 without films."""
+    return films.agg(F.coalesce(F.max(F.size("features")), F.lit(0)).alias("n")).first()["n"]
+
+
+def whole_vectors(rank: int) -> Column:
+    """Vectors in thousandths, as they are stored; sums over them are exact in any order.
+
+    A vector of another length is an error, never cut or filled up."""
+    q = N.quantise(F.col("features"))
+    wrong = F.raise_error(F.concat(
+        F.lit(f"expected vectors of {rank} values, found "), F.coalesce(F.size("features").cast("string"), F.lit("none"))
+    ))
+    return F.when(F.size("features") == rank, q).otherwise(wrong)
+
+
 def _sums(v: list[str], r: str) -> list[Column]:
-    """Upper triangle of sum(v v^T) and sum(r v) as plain sums over columns."""
+    """Upper triangle of sum(v v^T) and sum(r v) as sums of whole numbers."""
+    v = [f"CAST({x} AS BIGINT)" for x in v]
     gram = [F.expr(f"sum({v[a]} * {v[c]}) AS g_{a}_{c}") for a, c in _upper(len(v))]
-    return gram + [F.expr(f"sum({r} * {name}) AS b_{a}") for a, name in enumerate(v)]
+    return gram + [F.expr(f"sum(CAST({r} AS BIGINT) * {name}) AS b_{a}") for a, name in enumerate(v)]
 
 
 def _gram(rank: int, name: str) -> Column:
@@ -154,29 +171,28 @@ BITS = range(len(fixed.GENRES))
 
 
 def rated_sums(
-    rated: DataFrame, films: DataFrame, rank: int = fixed.RANK, piece_rows: int = PIECE_ROWS
+    rated: DataFrame, films: DataFrame, rank: int, piece_rows: int = PIECE_ROWS
 ) -> DataFrame:
     """Per request, from its rated films: count, Gram matrix, right-hand side and
-    genre gains, all in one aggregation.
+    genre gains, all in one aggregation of whole numbers (gains are doubled).
 
     A row of sums is many times wider than a rating, and most requests have few
     ratings, so summing in every task first would blow the shuffle up. Ratings
     are shuffled to their request instead, and only requests with more than
-    ``piece_rows`` of them are cut into pieces that are summed apart.
+    ``piece_rows`` of them are cut into pieces that are summed apart; the sums
+    are whole numbers, so the cut cannot be seen in them. A vector travels as one
+    array of integers and is taken apart after the shuffle.
     """
-    # few rows at most; written, so that its real size decides how it is joined
-    large = materialise(
+    large = (
         rated.groupBy("reqId").agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") > piece_rows)
-        .select("reqId", F.ceil(F.col("n") / piece_rows).alias("pieces")),
-        "large-requests",
+        .select("reqId", F.ceil(F.col("n") / piece_rows).alias("pieces"))
     )
-    v = [F.expr(f"coalesce(features[{a}], 0.0D) AS v{a}") for a in range(rank)]
-    inputs = films.select("movieId", "mask", *v)
+    inputs = films.select("movieId", "mask", whole_vectors(rank).alias("q"))
     gains = [
-        F.expr(f"sum(IF(mask & {1 << bit} != 0, (r - 3) / 2.0D, 0.0D)) AS t_{bit}") for bit in BITS
+        F.expr(f"sum(IF(mask & {1 << bit} != 0, CAST(r AS BIGINT) - 3, 0)) AS t_{bit}") for bit in BITS
     ]
-    vector = [f"v{a}" for a in range(rank)]
+    vector = [f"q[{a}]" for a in range(rank)]
     sums = [F.count(F.lit(1)).alias("n_rated"), *_sums(vector, "r"), *gains]
 
     usual = rated.join(large, "reqId", "left_anti").join(inputs, "movieId")
@@ -191,38 +207,40 @@ def rated_sums(
     )
 
 
-def anchor_sums(choice_anchors: DataFrame, rank: int = fixed.RANK) -> DataFrame:
+def anchor_sums(choice_anchors: DataFrame, rank: int) -> DataFrame:
     """The same sums for each choice's anchors at weight 1."""
-    spread = choice_anchors.select(*CHOICE, F.explode("anchors").alias("a"))
+    spread = choice_anchors.select(*CHOICE, F.inline("anchors")).select(*CHOICE, whole_vectors(rank).alias("q"))
     return (
         spread.groupBy(*CHOICE)
         .agg(F.count(F.lit(1)).alias("n_anchors"),
-             *_sums([f"a.features[{k}]" for k in range(rank)], str(fixed.ANCHOR_STARS)))
+             *_sums([f"q[{k}]" for k in range(rank)], str(fixed.ANCHOR_STARS)))
         .select(*CHOICE, "n_anchors", _gram(rank, "anchor_gram"), _rhs(rank, "anchor_rhs"))
     )
 
 
 def _zeros(n: int) -> Column:
-    return F.array_repeat(F.lit(0.0), n)
+    return F.array_repeat(F.lit(0).cast("bigint"), n)
 
 
 def normal_equations(
     prepared: DataFrame, rated: DataFrame, films: DataFrame,
-    reg_param: float = fixed.REG_PARAM, rank: int = fixed.RANK, **ladder,
+    reg_param: float = fixed.REG_PARAM, rank: int | None = None, **ladder,
 ) -> DataFrame:
     """One row per request: Gram matrix (upper triangle), right-hand side, ridge
     term and genre affinity. The ridge scales with the sum of weights.
 
-    Runs a job: the sums shared by all requests with the same choice are
-    computed and written when this is called."""
-    # one row per distinct choice; written, so that its size decides how it is joined
-    shared = materialise(anchor_sums(anchors(prepared, films, **ladder), rank), "choices")
+    ``rank`` is that of the films' vectors unless given. Whole-number sums of
+    anchors and of rated films are weighted, added and scaled once, so the
+    result does not depend on how the rows were spread."""
+    rank = vector_length(films) if rank is None else rank
+    shared = anchor_sums(anchors(prepared, films, **ladder), rank)
     own = rated_sums(rated, films, rank)
     w = F.col("anchor_w")
 
-    def weighted(anchor: str, rated: str, n: int) -> Column:
+    def weighted(anchor: str, rated: str, n: int, scale: int) -> Column:
         rated_part = F.coalesce(F.col(rated), _zeros(n))
-        return F.zip_with(F.transform(F.col(anchor), lambda x: x * w), rated_part, lambda a, b: a + b)
+        anchor_part = F.coalesce(F.col(anchor), _zeros(n))
+        return F.zip_with(anchor_part, rated_part, lambda a, b: (w * a + b) / F.lit(float(scale)))
 
     chosen = G.chosen_bits(F.col("wanted"))
     gains = F.coalesce("gains", _zeros(len(BITS)))
@@ -233,16 +251,15 @@ def normal_equations(
         .select(
             "reqId", "wanted", "era", "reach",
             n_rated.alias("n_rated"),
-            F.coalesce(weighted("anchor_gram", "rated_gram", len(_upper(rank))),
-                       _zeros(len(_upper(rank)))).alias("gram"),
-            F.coalesce(weighted("anchor_rhs", "rated_rhs", rank), _zeros(rank)).alias("rhs"),
+            weighted("anchor_gram", "rated_gram", len(_upper(rank)), fixed.QUANT_SCALE**2).alias("gram"),
+            weighted("anchor_rhs", "rated_rhs", rank, fixed.QUANT_SCALE).alias("rhs"),
             (reg_param * (w * F.coalesce("n_anchors", F.lit(0)) + n_rated)).alias("ridge"),
-            F.zip_with(chosen, gains, lambda a, b: a + b).alias("affinity"),
+            F.zip_with(chosen, gains, lambda a, b: a + b / 2).alias("affinity"),
         )
     )
 
 
-def gram_cells(equations: DataFrame, rank: int = fixed.RANK) -> DataFrame:
+def gram_cells(equations: DataFrame, rank: int) -> DataFrame:
     """Gram matrix in long form, cells with a <= c, without the ridge term."""
     at = F.expr("array(" + ", ".join(f"named_struct('a', {a}, 'c', {c})" for a, c in _upper(rank)) + ")[cell]")
     cells = equations.select("reqId", F.posexplode("gram").alias("cell", "value"))
@@ -253,7 +270,7 @@ def rhs_cells(equations: DataFrame) -> DataFrame:
     return equations.select("reqId", F.posexplode("rhs").alias("a", "value"))
 
 
-def solve(equations: DataFrame, rank: int = fixed.RANK) -> DataFrame:
+def solve(equations: DataFrame, rank: int) -> DataFrame:
     """Add the taste vector: regularised, weighted, non-negative least squares."""
     return equations.withColumn("vector", fold_in_solver(rank)("gram", "rhs", "ridge"))
 
@@ -270,7 +287,7 @@ def genre_fit(equations: DataFrame, pairs: DataFrame, films: DataFrame) -> DataF
     """Fit of given (reqId, movieId) pairs."""
     with_mask = pairs.join(films.select("movieId", "mask"), "movieId")
     return (
-        salted_join(with_mask, equations.select("reqId", "affinity"), ["reqId"])
+        plain_join(with_mask, equations.select("reqId", "affinity"), ["reqId"])
         .select("reqId", "movieId", G.genre_fit(F.col("mask"), F.col("affinity")).alias("fit"))
     )
 
@@ -295,7 +312,7 @@ def candidate_counts(prepared: DataFrame, films: DataFrame, reach: dict = fixed.
         .groupBy(*keys, "mask").agg(F.first("n").alias("n"))
         .groupBy(*keys).agg(F.sum("n").alias("n_candidates"))
     )
-    return salted_join(prepared, met, keys, "left").select(
+    return plain_join(prepared, met, keys, "left").select(
         "reqId", *keys, F.coalesce("n_candidates", F.lit(0)).alias("n_candidates")
     )
 
@@ -337,5 +354,6 @@ def recommend_for_requests(
     count are used twice, so they are worked out once and written."""
     prepared = prepare_requests(requests)
     rated = materialise(rated_films(reactions, films), "rated")
-    equations = normal_equations(prepared, rated, films, **ladder)
-    return rank_for_requests(solve(equations), films, rated, k, reach, counted=requests)
+    rank = vector_length(films)
+    equations = normal_equations(prepared, rated, films, rank=rank, **ladder)
+    return rank_for_requests(solve(equations, rank), films, rated, k, reach, counted=requests)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from filmfold import fixed
 from filmfold.functions import titles as T
-from filmfold.operators.skew import salted_join
+from filmfold.operators.skew import plain_join
 from filmfold.sources.readers import nonblank_links
 
 IMAGE_BASE = "https://images.example.org/t/p/w500"
@@ -45,7 +45,7 @@ def match_titles(movies: DataFrame, catalogue: DataFrame) -> DataFrame:
         T.search_years(F.col("title")).alias("years"),
         F.posexplode(T.search_names(F.col("title"))).alias("name_pos", "name"),
     ).withColumn("name_key", F.lower("name"))
-    found = salted_join(tries, name_index(catalogue), ["name_key"])
+    found = plain_join(tries, name_index(catalogue), ["name_key"])
     hits = F.transform(
         F.col("years"),
         lambda year, pos: F.struct(

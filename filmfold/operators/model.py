@@ -11,7 +11,7 @@ from filmfold import fixed
 from filmfold.session import ensure_checkpoint_dir
 
 SEED = 42
-MAX_BLOCKS = 1000
+BLOCK_ROWS = 2_000_000  # ratings of one block, held by one task
 
 
 def als_input(ratings: DataFrame) -> DataFrame:
@@ -37,9 +37,9 @@ def random_split(ratings: DataFrame, train_share: float = 0.8, seed: int = SEED)
     return train, test
 
 
-def block_count(spark: SparkSession) -> int:
-    """Factor blocks to train with: one per core, within what message tables bear."""
-    return min(spark.sparkContext.defaultParallelism, MAX_BLOCKS)
+def block_count(train_set: DataFrame) -> int:
+    """Factor blocks to train with: as many as the ratings need, and no fewer than there are cores."""
+    return max(train_set.sparkSession.sparkContext.defaultParallelism, -(-train_set.count() // BLOCK_ROWS))
 
 
 def estimator(
@@ -47,11 +47,10 @@ def estimator(
     rank: int = fixed.RANK,
     reg_param: float = fixed.REG_PARAM,
     max_iter: int = fixed.MAX_ITER,
-    blocks: int | None = None,
+    blocks: int = 10,
 ) -> ALS:
     """Explicit, non-negative ALS; unseen users and films are dropped from predictions."""
     ensure_checkpoint_dir(spark)
-    blocks = blocks or block_count(spark)
     return ALS(
         rank=rank, regParam=reg_param, maxIter=max_iter,
         userCol="userId", itemCol="movieId", ratingCol="rating",
@@ -61,6 +60,7 @@ def estimator(
 
 
 def train(train_set: DataFrame, **params) -> ALSModel:
+    params.setdefault("blocks", block_count(train_set))
     return estimator(train_set.sparkSession, **params).fit(als_input(train_set))
 
 
@@ -82,22 +82,26 @@ def global_mean_rmse(train_set: DataFrame, test_set: DataFrame) -> DataFrame:
     return rmse(test_set.withColumn("prediction", mean))
 
 
-def tune(train_set: DataFrame, test_set: DataFrame, configs=None) -> DataFrame:
-    """Train every (rank, reg, iterations) setting and mark the lowest test error.
+def tuned_models(train_set: DataFrame, configs=None) -> list[tuple[tuple, ALSModel]]:
+    """A model for every (rank, reg, iterations) setting.
 
     The settings are a list, not a cross product. The training set is read once
     per fit, so pass a written or cached table.
     """
     configs = configs or fixed.TUNING_CONFIGS
-    als = estimator(train_set.sparkSession)
+    als = estimator(train_set.sparkSession, blocks=block_count(train_set))
     maps = [{als.rank: r, als.regParam: reg, als.maxIter: n} for r, reg, n in configs]
-    models = als.fit(als_input(train_set), maps)
+    return list(zip(configs, als.fit(als_input(train_set), maps)))
+
+
+def tune(models: list[tuple[tuple, ALSModel]], test_set: DataFrame) -> DataFrame:
+    """Test error of every setting; the lowest is marked."""
     rows = [
         rmse(predict(model, test_set)).select(
             F.lit(r).alias("rank"), F.lit(reg).alias("reg_param"), F.lit(n).alias("max_iter"),
             F.col("n").alias("n_scored"), "rmse",
         )
-        for model, (r, reg, n) in zip(models, configs)
+        for (r, reg, n), model in models
     ]
     results = reduce(DataFrame.unionByName, rows)
     lowest = F.min("rmse").over(Window.partitionBy())  # one row per setting

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from filmfold import fixed
 from filmfold.functions import genres as G, numbers as N, titles as T
 from filmfold.operators import scoring
-from filmfold.operators.skew import salted_join
+from filmfold.operators.skew import plain_join
 
 KEYS = ["userId", "movieId"]
 
@@ -21,7 +21,7 @@ def rated_pairs(ratings: DataFrame) -> DataFrame:
 def user_history(ratings: DataFrame, users: DataFrame) -> DataFrame:
     """Ratings of the given users; one equality filter per user as a semi join.
     Users may repeat, and one user may hold much of the ratings."""
-    return salted_join(ratings, users.select("userId").distinct(), ["userId"], "left_semi")
+    return plain_join(ratings, users.select("userId").distinct(), ["userId"], "left_semi")
 
 
 def exclude_rated(picks: DataFrame, ratings: DataFrame) -> DataFrame:
@@ -83,17 +83,22 @@ def picks_from_vectors(
 def picks_from_model(model, k: int = fixed.TOP_N, users: DataFrame | None = None) -> DataFrame:
     """Top k films per user of a trained model, for all users or a users table.
 
-    The batch over all users goes through the blocked scorer, which is faster
-    than the model's own method here and cuts both sides by their row counts.
+    Both go through the blocked scorer, so a user gets the same list either way.
     """
-    if users is None:
-        return scoring.top_k_per_user(model.userFactors, model.itemFactors, k)
-    nested = model.recommendForUserSubset(users.select("userId"), k)
-    return nested.select("userId", F.posexplode("recommendations").alias("pos", "pick")).select(
-        "userId",
-        (F.col("pos") + 1).alias("rank"),
-        F.col("pick.movieId").alias("movieId"),
-        F.col("pick.rating").cast("double").alias("score"),
+    vectors = model.userFactors
+    if users is not None:
+        vectors = vectors.join(users.select(F.col("userId").alias("id")).distinct(), "id", "left_semi")
+    return scoring.top_k_per_user(vectors, model.itemFactors, k)
+
+
+def answer_users(picks: DataFrame, ratings: DataFrame, movies: DataFrame) -> DataFrame:
+    """Lists as they are shown: rated films removed, the rest numbered anew from the best, titles and genres
+    attached, scores rounded. A list may be shorter than it was."""
+    kept = exclude_rated(picks, ratings)
+    order = Window.partitionBy("userId").orderBy(F.desc("score"), "movieId")
+    ranked = kept.withColumn("rank", F.row_number().over(order))
+    return with_metadata(ranked, movies).select(
+        "userId", "rank", "movieId", "title", "genres", N.round_half_even(F.col("score")).alias("predictedRating")
     )
 
 

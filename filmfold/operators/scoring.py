@@ -4,20 +4,20 @@ Scoring every user against every film is the product of two tables, so the
 pairs are never made into rows. Users are cut into chunks and films into
 blocks of bounded size, Spark shuffles each (chunk, block) together, one
 matrix product scores it and only the best k films per user leave the task.
-A window keeps the best k over all blocks. Both cuts come from row counts
-taken inside the plan, so no side has to fit into one task or the driver.
+A window keeps the best k over all blocks. Both cuts come from row counts, so
+tasks grow with the tables and no side has to fit into one task or the driver.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from filmfold import fixed
 from filmfold.functions import numbers as N
 
-CHUNK_ROWS = 16384  # users per chunk
+CHUNK_ROWS = 250_000  # users per chunk
 BLOCK_ROWS = 65536  # films per block
 CELLS = 4_000_000   # scores held at once inside a task
 
@@ -38,18 +38,11 @@ def score_pairs(pairs: DataFrame, user_factors: DataFrame, item_factors: DataFra
     return scored.withColumn("score", N.dot(F.col("u"), F.col("v"))).drop("u", "v")
 
 
-def _pieces(df: DataFrame, rows: int, parallelism: int = 1) -> Column:
-    """Number of pieces of at most about ``rows`` rows, as a scalar subquery.
-    Small inputs are still spread over the cores when pieces stay over 1024 rows."""
-    n = F.count(F.lit(1))
-    spread = F.least(F.lit(parallelism), F.ceil(n / 1024))
-    return df.agg(F.greatest(F.lit(1), F.ceil(n / rows), spread).cast("int")).scalar()
-
-
-def _task_count(spark: SparkSession) -> int:
-    """Tasks to score with: a few per core, within the configured shuffle width."""
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(width, 4 * spark.sparkContext.defaultParallelism))
+def pieces(df: DataFrame, rows: int, at_least: int = 1) -> int:
+    """Number of pieces of at most about ``rows`` rows, from a count of the table.
+    Small inputs are still spread over ``at_least`` pieces while these keep over 1024 rows."""
+    n = df.count()
+    return max(1, -(-n // rows), min(at_least, -(-n // 1024)))
 
 
 def _block_scorer(k: int, filtered: bool, bonus: float):
@@ -183,9 +176,11 @@ def top_k(
     Ties go to the higher count, then the lower id. ``counted`` may name a
     cheaper table with as many rows as ``queries``.
     """
-    tasks = _task_count(queries.sparkSession)
-    n_blocks = _pieces(items, block_rows)
-    n_chunks = _pieces(counted if counted is not None else queries, chunk_rows, tasks)
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    blocks = pieces(items, block_rows)
+    chunks = pieces(counted if counted is not None else queries, chunk_rows, 4 * cores)
+    tasks = blocks * chunks  # one task a (chunk, block) at any size
+    n_blocks, n_chunks = F.lit(blocks), F.lit(chunks)
 
     def block_of(col: str) -> Column:
         return F.pmod(F.xxhash64(col), F.col("n_blocks")).cast("int")

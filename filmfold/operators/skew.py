@@ -1,30 +1,18 @@
-"""Joins that stay balanced when one key holds a large share of the rows.
-
-Adaptive execution splits skewed partitions only when both join inputs come
-straight from a shuffle. An input aggregated on the join key does not, so those
-joins are salted here instead.
-"""
+"""Joins that stay balanced when one key holds a large share of the rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-SALTS = 16
+from filmfold.session import materialise
 
 
-def salted_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Join rows to a side with at most one row per key.
+def plain_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join rows, possibly many with one key, to a side with at most one row per key.
 
-    Each row of ``many`` gets one of ``salts`` values and each row of ``one``
-    is repeated once per value, so a hot key is spread over ``salts``
-    partitions. The salt mixes the row's other columns with its partition, so
-    that exact copies spread too, and stays the same when a task is rerun.
+    Adaptive execution splits a skewed partition by its measured bytes, into as
+    many pieces as these ask for, but only where both inputs come straight from
+    a scan or a shuffle. A side that is aggregated on the key would not, so it
+    is written first; its size then also decides whether it is broadcast.
     """
-    others = [c for c in many.columns if c not in keys] or keys
-    salt = F.pmod(F.xxhash64(*others) + F.spark_partition_id(), F.lit(salts)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    return (
-        many.withColumn("_salt", salt)
-        .join(one.withColumn("_salt", every), [*keys, "_salt"], how)
-        .drop("_salt")
-    )
+    return many.join(materialise(one, "one-side"), keys, how)

@@ -15,11 +15,23 @@ from filmfold.operators import films, model, recommend
 from filmfold.session import materialise, scratch_path
 from filmfold.sources import views
 
-_DONE: dict[tuple[str, str, str], object] = {}
+_DONE: dict[tuple[str, tuple, str], object] = {}
+
+
+def _inputs(spark: SparkSession, sf_dir: str) -> tuple:
+    """Name, size and time of every input file, so that changed tables are not answered from old copies."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for table in files.listStatus(folder):
+        inside = files.listStatus(table.getPath()) if table.isDirectory() else [table]
+        found += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in inside]
+    return tuple(sorted(found))
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]):
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, _inputs(spark, sf_dir), name)
     if key not in _DONE:
         _DONE[key] = make()
     return _DONE[key]

@@ -189,12 +189,12 @@ VIEWS = {
             SELECT *, row_number() OVER (PARTITION BY userId, movieId ORDER BY "timestamp" DESC, rating DESC) AS rn
             FROM ratings) WHERE rn = 1""",
     "rated": """
-        SELECT reqId, movieId, rating AS r, mask, features
+        SELECT reqId, movieId, rating AS r, mask, features, q
         FROM reactions JOIN films USING (movieId) WHERE rating IN (2, 4, 5)""",
     "tiers": "SELECT * FROM (VALUES (0, 40), (1, 35), (2, 25)) AS t(tier, least)",
     "choices": "SELECT DISTINCT wanted, era FROM prepared",
     "anchor_candidates": """
-        SELECT c.wanted, c.era, t.tier, f.movieId, f.features,
+        SELECT c.wanted, c.era, t.tier, f.movieId, f.features, f.q,
                row_number() OVER (PARTITION BY c.wanted, c.era, t.tier
                                   ORDER BY f.score DESC, f.cnt DESC, f.movieId) AS pos,
                count(*) OVER (PARTITION BY c.wanted, c.era, t.tier) AS n
@@ -203,12 +203,12 @@ VIEWS = {
         JOIN tiers t ON f.cnt >= t.least""",
     "good_tiers": "SELECT wanted, era, min(tier) AS tier FROM anchor_candidates WHERE n >= 8 GROUP BY wanted, era",
     "anchors": """
-        SELECT wanted, era, tier, pos, movieId, features
+        SELECT wanted, era, tier, pos, movieId, features, q
         FROM anchor_candidates JOIN good_tiers USING (wanted, era, tier) WHERE pos <= 20
         UNION ALL
-        SELECT c.wanted, c.era, NULL, d.pos, d.movieId, d.features
+        SELECT c.wanted, c.era, NULL, d.pos, d.movieId, d.features, d.q
         FROM choices c ANTI JOIN good_tiers USING (wanted, era),
-             (SELECT movieId, features, row_number() OVER (ORDER BY cnt DESC, movieId) AS pos
+             (SELECT movieId, features, q, row_number() OVER (ORDER BY cnt DESC, movieId) AS pos
               FROM films ORDER BY cnt DESC, movieId LIMIT 20) d""",
     "n_rated": "SELECT reqId, count(*) AS n_rated FROM rated GROUP BY reqId",
     "fold_rows": """
@@ -217,6 +217,10 @@ VIEWS = {
         FROM prepared p JOIN anchors a USING (wanted, era) LEFT JOIN n_rated n USING (reqId)
         UNION ALL
         SELECT reqId, 'rated', movieId, CAST(r AS DOUBLE), CAST(1 AS DOUBLE), features FROM rated""",
+    "places": "SELECT CAST(range AS INTEGER) AS i FROM range(10)",
+    "weights": """
+        SELECT p.reqId, p.wanted, p.era, CAST(0.35 AS DOUBLE) * 5 / (5 + coalesce(n.n_rated, 0)) AS w
+        FROM prepared p LEFT JOIN n_rated n USING (reqId)""",
     "affinities": """
         SELECT p.reqId, b.bit,
                CASE WHEN (p.wanted & (1 << b.bit)) <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
@@ -461,8 +465,8 @@ ORACLES = {
         UNION ALL SELECT 'item', count(DISTINCT movieId), 0, 0 FROM train""",
     "als_predict": "SELECT count(*) AS n_predicted, 0 AS n_undefined, 0 AS n_negative FROM scored_test",
     "als_grid": """
-        SELECT rank, reg_param, max_iter, (SELECT count(*) FROM scored_test) AS n_scored, true AS has_error,
-               1 AS n_best
+        SELECT rank, reg_param, max_iter, (SELECT count(*) FROM scored_test) AS n_scored, true AS error_agrees,
+               true AS best_agrees
         FROM (VALUES (10, 0.1::DOUBLE, 10), (20, 0.1::DOUBLE, 10), (10, 0.05::DOUBLE, 20))
              AS t(rank, reg_param, max_iter)""",
     "factor_scan": """
@@ -477,9 +481,14 @@ ORACLES = {
                true AS within_top, 0 AS n_rated_kept
         FROM train""",
     "recommend_users": """
-        SELECT DISTINCT userId, least(10, (SELECT count(DISTINCT movieId) FROM train)) AS n_top,
-               least(10, (SELECT count(DISTINCT movieId) FROM train)) AS n_films, 0 AS n_untitled
+        SELECT DISTINCT userId, least(10, (SELECT count(DISTINCT movieId) FROM train)) AS n_top, true AS adds_up,
+               true AS ranks_in_a_row, 0 AS n_seen, 0 AS n_untitled
         FROM train SEMI JOIN customers USING (userId)""",
+    "recommend_users_given": """
+        SELECT t.userId, CAST(row_number() OVER (PARTITION BY t.userId ORDER BY t.score DESC, t.movieId) AS INTEGER) AS rank,
+               t.movieId, m.title, m.genres, round_even(t.score, 2) AS predictedRating
+        FROM (SELECT * FROM vector_top_all SEMI JOIN customers USING (userId) ANTI JOIN ratings USING (userId, movieId)) t
+        LEFT JOIN movies m USING (movieId)""",
     "bayesian_average": "SELECT movieId, cnt, mean, round(score, 6) AS score FROM films",
     "rating_pool": """
         SELECT mood, movieId, cnt FROM films f JOIN mood_masks m ON (f.mask & m.mask) <> 0 WHERE cnt >= 38""",
@@ -490,13 +499,22 @@ ORACLES = {
     "anchor_ladder": "SELECT wanted, era, tier, CAST(pos AS INTEGER) AS pos, movieId FROM anchors",
     "foldin_rows": "SELECT reqId, source, movieId, r, round(w, 6) AS w FROM fold_rows",
     "gram_matrix": """
-        SELECT f.reqId, a.i AS a, c.i AS c, round(sum(f.w * f.features[a.i + 1] * f.features[c.i + 1]), 6) AS value
-        FROM fold_rows f, (SELECT CAST(range AS INTEGER) AS i FROM range(10)) a
-        JOIN (SELECT CAST(range AS INTEGER) AS i FROM range(10)) c ON a.i <= c.i
-        GROUP BY f.reqId, a.i, c.i""",
+        SELECT w.reqId, s.a, s.c, (w.w * s.total + coalesce(t.total, 0)) / 1000000.0::DOUBLE AS value
+        FROM weights w
+        JOIN (SELECT f.wanted, f.era, a.i AS a, c.i AS c,
+                     CAST(sum(CAST(f.q[a.i + 1] AS BIGINT) * f.q[c.i + 1]) AS DOUBLE) AS total
+              FROM anchors f, places a JOIN places c ON a.i <= c.i GROUP BY ALL) s USING (wanted, era)
+        LEFT JOIN (SELECT f.reqId, a.i AS a, c.i AS c,
+                          CAST(sum(CAST(f.q[a.i + 1] AS BIGINT) * f.q[c.i + 1]) AS DOUBLE) AS total
+                   FROM rated f, places a JOIN places c ON a.i <= c.i GROUP BY ALL) t
+               ON t.reqId = w.reqId AND t.a = s.a AND t.c = s.c""",
     "gram_rhs": """
-        SELECT f.reqId, a.i AS a, round(sum(f.w * f.r * f.features[a.i + 1]), 6) AS value
-        FROM fold_rows f, (SELECT CAST(range AS INTEGER) AS i FROM range(10)) a GROUP BY f.reqId, a.i""",
+        SELECT w.reqId, s.a, (w.w * s.total + coalesce(t.total, 0)) / 1000.0::DOUBLE AS value
+        FROM weights w
+        JOIN (SELECT f.wanted, f.era, a.i AS a, CAST(sum(5 * CAST(f.q[a.i + 1] AS BIGINT)) AS DOUBLE) AS total
+              FROM anchors f, places a GROUP BY ALL) s USING (wanted, era)
+        LEFT JOIN (SELECT f.reqId, a.i AS a, CAST(sum(f.r * CAST(f.q[a.i + 1] AS BIGINT)) AS DOUBLE) AS total
+                   FROM rated f, places a GROUP BY ALL) t ON t.reqId = w.reqId AND t.a = s.a""",
     "foldin_solve": "SELECT reqId, 10 AS n_values, true AS non_negative, true AS solved FROM prepared",
     "genre_affinity": """
         SELECT reqId, genre, round(affinity, 6) AS affinity FROM affinities JOIN genre_bits USING (bit)""",

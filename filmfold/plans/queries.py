@@ -7,8 +7,9 @@ ratings; the given tables have about 30 ratings per film at every size.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from filmfold import fixed, schemas
 from filmfold.functions import genres as G, numbers as N, ranges as R, titles as T
@@ -16,7 +17,7 @@ from filmfold.operators import (
     films as FO, foldin, lists, matching, model, popularity, profile, recommend, scoring,
 )
 from filmfold.plans import artifacts as A
-from filmfold.session import scratch_path
+from filmfold.session import materialise, scratch_path
 from filmfold.sources import readers, views as V, writers
 
 MIN_SUPPORT = 40
@@ -57,9 +58,10 @@ def _rated(spark, sf):
 
 
 def _equations(spark, sf):
-    return foldin.normal_equations(
-        _prepared(spark, sf), _rated(spark, sf), _scored_films(spark, sf), tiers=TIERS
-    )
+    """The equations of all requests, written once for the queries that read them."""
+    return A.written(spark, sf, "equations", lambda: foldin.normal_equations(
+        _prepared(spark, sf), _rated(spark, sf), _scored_films(spark, sf), rank=fixed.RANK, tiers=TIERS
+    ))
 
 
 def _customers(spark, sf):
@@ -598,19 +600,23 @@ def als_predict(spark, sf):
 
 @query
 def als_grid(spark, sf):
+    """Every setting's error, checked against one from the model's vectors, and the mark of the lowest."""
     train, test = model.hash_split(A.ratings_table(spark, sf))
-    tuned = model.tune(train, test)
-    return tuned.select(
-        "rank", "reg_param", "max_iter", "n_scored", (F.col("rmse") > 0).alias("has_error"),
-        F.sum(F.col("is_best").cast("int")).over(_whole()).alias("n_best"),
+    models = model.tuned_models(train)
+    again = reduce(DataFrame.unionByName, [
+        model.rmse(scoring.score_pairs(test, m.userFactors, m.itemFactors), prediction="score").select(
+            F.lit(n).alias("max_iter"), F.lit(r).alias("rank"), F.lit(reg).alias("reg_param"), F.col("rmse").alias("other"),
+        ) for (r, reg, n), m in models
+    ])
+    checked = model.tune(models, test).join(again, ["rank", "reg_param", "max_iter"])
+    lowest = F.min("other").over(Window.partitionBy())  # one row per setting
+    return checked.select(
+        "rank", "reg_param", "max_iter", "n_scored",
+        (F.abs(F.col("rmse") - F.col("other")) < 1e-5 * F.col("other")).alias("error_agrees"),
+        (F.col("is_best") == (F.col("other") == lowest)).alias("best_agrees"),
     )
 
 
-def _whole():
-    from pyspark.sql import Window
-    return Window.partitionBy()
-
-
 @query
 def factor_scan(spark, sf):
     path = A.model_path(spark, sf)
@@ -655,14 +661,36 @@ def recommend_all(spark, sf):
 
 @query
 def recommend_users(spark, sf):
-    """A table of users asks the model; titles attached; unknown users get nothing here."""
+    """A table of users asks the trained model: rated films removed, ranked, titled, rounded.
+
+    Unknown users get nothing here. What holds for any model is checked per user."""
+    ratings = A.ratings_table(spark, sf)
     top = recommend.picks_from_model(A.trained_model(spark, sf), users=_customers(spark, sf))
-    answered = recommend.with_metadata(top, V.movies(spark, sf))
-    return answered.groupBy("userId").agg(
-        F.count(F.lit(1)).alias("n_top"),
-        F.count_distinct("movieId").alias("n_films"),
+    top = materialise(top, "users-top")  # counted below and answered from
+    answered = materialise(recommend.answer_users(top, ratings, V.movies(spark, sf)), "answers")
+    rated = recommend.rated_pairs(ratings)
+    gone = top.join(rated, ["userId", "movieId"], "left_semi").groupBy("userId").agg(F.count(F.lit(1)).alias("n_gone"))
+    left = answered.join(rated.withColumn("seen", F.lit(True)), ["userId", "movieId"], "left").groupBy("userId").agg(
+        F.count(F.lit(1)).alias("n_left"), F.max("rank").alias("last_rank"), F.count("seen").alias("n_seen"),
         F.count_if(F.col("title").isNull()).alias("n_untitled"),
     )
+    whole = top.groupBy("userId").agg(F.count(F.lit(1)).alias("n_top"))
+    counted = whole.join(gone, "userId", "left").join(left, "userId", "left")
+    n_left = F.coalesce("n_left", F.lit(0))
+    return counted.select(
+        "userId", "n_top", (n_left + F.coalesce("n_gone", F.lit(0)) == F.col("n_top")).alias("adds_up"),
+        (F.coalesce("last_rank", F.lit(0)) == n_left).alias("ranks_in_a_row"),
+        F.coalesce("n_seen", F.lit(0)).alias("n_seen"), F.coalesce("n_untitled", F.lit(0)).alias("n_untitled"),
+    )
+
+
+@query
+def recommend_users_given(spark, sf):
+    """The same chain with given vectors, so that every row can be checked."""
+    users = V.user_factors(spark, sf).join(
+        _customers(spark, sf).select(F.col("userId").alias("id")), "id", "left_semi")
+    top = scoring.top_k_per_user(users, V.item_factors(spark, sf), counted=V.user_factors(spark, sf))
+    return recommend.answer_users(top, V.ratings(spark, sf), V.movies(spark, sf))
 
 
 def flagship(spark, sf):
@@ -716,20 +744,19 @@ def foldin_rows(spark, sf):
 
 @query
 def gram_matrix(spark, sf):
-    cells = foldin.gram_cells(_equations(spark, sf))
-    return cells.withColumn("value", F.round("value", 6))
+    return foldin.gram_cells(_equations(spark, sf), fixed.RANK)
 
 
 @query
 def gram_rhs(spark, sf):
-    return foldin.rhs_cells(_equations(spark, sf)).withColumn("value", F.round("value", 6))
+    return foldin.rhs_cells(_equations(spark, sf))
 
 
 @query
 def foldin_solve(spark, sf):
-    """Per request: vector length, sign and how far the normal equations are met
-    on the coordinates that stayed."""
-    solved = foldin.solve(_equations(spark, sf))
+    """Per request: vector length, sign and whether the normal equations are met, relative to
+    the right-hand side, on the coordinates that stayed."""
+    solved = foldin.solve(_equations(spark, sf), fixed.RANK)
     k = fixed.RANK
     cell = {pair: i for i, pair in enumerate((a, c) for a in range(k) for c in range(a, k))}
     u = F.col("vector")
@@ -741,7 +768,7 @@ def foldin_solve(spark, sf):
         "reqId",
         F.size(u).alias("n_values"),
         (F.array_min(u) >= 0).alias("non_negative"),
-        F.expr(f"greatest({', '.join(gaps)}) < 1e-8").alias("solved"),
+        F.expr(f"greatest({', '.join(gaps)}) <= 1e-10 * greatest(1.0D, array_max(rhs))").alias("solved"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -36,8 +38,9 @@ def build_session(app_name: str = "filmfold", master: str | None = None, **conf)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder; on a cluster a
-    machine-local folder would be lost with its executor.
+    Only a local session may fall back to a temporary folder, which goes when the
+    process ends; on a cluster a machine-local folder would be lost with its
+    executor.
     """
     folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if folder:
@@ -48,6 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="filmfold-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 

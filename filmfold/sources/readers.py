@@ -58,32 +58,36 @@ def read_factors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.FACTORS).parquet(path)
 
 
-def read_json_map(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object per line, of id to text, as (movieId, url) rows.
+def read_json_map(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """JSON objects of id to text as (movieId, url) rows: one object per line, or with ``whole`` one per file.
 
-    A file holding one whole object on one line reads the same way. A line
-    that is not a JSON object adds no rows, a missing path is an empty table.
+    A line that is not a JSON object adds no rows, but a file of which no line is
+    one raises: it may be one object over several lines, which ``whole`` reads.
+    A missing path is an empty table.
     """
     schema = T.StructType([
         T.StructField("movieId", T.IntegerType()), T.StructField("url", T.StringType()),
     ])
     try:
-        lines = spark.read.text(path)
+        lines = spark.read.text(path, wholetext=whole)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
-    entries = lines.select(F.explode(F.from_json("value", "map<string,string>")).alias("k", "url"))
+    parsed = lines.select(F.from_json("value", "map<string,string>").alias("entry"))
+    if not lines.filter("trim(value) <> ''").isEmpty() and parsed.filter("entry is not null").isEmpty():
+        raise ValueError(f"no line of {path} is a JSON object; whole=True reads one object per file")
+    entries = parsed.select(F.explode("entry").alias("k", "url"))
     return entries.select(F.expr("try_cast(k AS int)").alias("movieId"), "url").filter(
         F.col("movieId").isNotNull()
     )
 
 
-def read_film_lines(spark: SparkSession, path: str, rank: int = fixed.RANK) -> DataFrame:
-    """Decode compact film lines ``[id,title,year,mask,count,mean10,f0..]``."""
+def read_film_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Decode compact film lines ``[id,title,year,mask,count,mean10,f0..]``, with vectors as long as they are."""
     row = spark.read.text(path).select(F.from_json("value", "array<string>").alias("v"))
     v = F.col("v")
-    quantised = F.transform(F.slice(v, 7, rank), lambda x: x.cast("int"))
+    quantised = F.transform(F.slice(v, 7, F.greatest(F.size(v) - 6, F.lit(0))), lambda x: x.cast("int"))
     mask = v[3].cast("int")
     return row.select(
         v[0].cast("int").alias("movieId"),

@@ -61,7 +61,8 @@ def write_pick_table(picks: DataFrame, path: str) -> None:
 
 
 def write_pick_lines(picks: DataFrame, path: str) -> None:
-    """The same picks as one JSON document per user."""
+    """The same picks as one JSON document per user, with the day of the run."""
+    picks = picks.withColumn("generated", F.current_date())
     picks.select(F.to_json(F.struct(*picks.columns)).alias("value")).write.mode("overwrite").text(path)
 
 

@@ -21,9 +21,9 @@ def connect(sf_dir: str):
 
 def _plain(value):
     if isinstance(value, float):
-        return round(value, 6) + 0.0 if math.isfinite(value) else str(value)
+        return value + 0.0 if math.isfinite(value) else str(value)
     if hasattr(value, "as_integer_ratio") and not isinstance(value, (int, bool)):
-        return round(float(value), 6)
+        return float(value)
     return value
 
 
@@ -38,7 +38,10 @@ def _family(kind: str) -> str:
 
 def normal_rows(rows, columns):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted((tuple(_plain(r[i]) for i in order) for r in rows), key=repr)
+    rows = [tuple(_plain(r[i]) for i in order) for r in rows]
+    # floats last and coarsely, so that the last bit of one does not change the order of rows
+    return sorted(rows, key=lambda r: (repr([x for x in r if not isinstance(x, float)]),
+                                       [round(x, 7) for x in r if isinstance(x, float)]))
 
 
 def mismatch(df, con, sql: str) -> str | None:
@@ -63,5 +66,5 @@ def mismatch(df, con, sql: str) -> str | None:
 
 def _close(a, b) -> bool:
     if isinstance(a, float) and isinstance(b, float):
-        return math.isclose(a, b, rel_tol=1e-9, abs_tol=2e-6)
+        return math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-12)
     return a == b

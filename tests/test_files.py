@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 from filmfold import schemas
 from filmfold.session import materialise, scale_settings, scratch_path, shared_dir
 from filmfold.sources import readers, writers
@@ -39,6 +42,11 @@ def test_json_map_in_one_object_or_many_and_with_junk(spark, tmp_path):
     file = tmp_path / "posters.json"
     file.write_text('{"1":"http://a/w342/x.jpg","2":"u2"}\nnot json\n{"x":"no id"}\n{"3":"u3"}\n')
     rows = sorted(tuple(r) for r in readers.read_json_map(spark, str(file)).collect())
+    spread = tmp_path / "spread.json"
+    spread.write_text('{\n "1": "a",\n "x": "b"\n}\n')
+    assert [tuple(r) for r in readers.read_json_map(spark, str(spread), whole=True).collect()] == [(1, "a")]
+    with pytest.raises(ValueError, match="whole=True"):
+        readers.read_json_map(spark, str(spread))
     assert rows == [(1, "http://a/w342/x.jpg"), (2, "u2"), (3, "u3")]
 
 
@@ -68,8 +76,10 @@ def test_pick_sinks(spark):
     writers.write_pick_table(picks, table)
     writers.write_pick_lines(picks, lines)
     assert readers.read_pick_table(spark, table).filter("userId = 2").first().picks[0].movieId == 5
+    day = spark.range(1).select(F.current_date().cast("string")).first()[0]
     assert {r.value for r in spark.read.text(lines).collect()} == {
-        '{"userId":2,"picks":[{"movieId":5,"score":4.5}]}', '{"userId":1,"picks":[]}'
+        f'{{"userId":2,"picks":[{{"movieId":5,"score":4.5}}],"generated":"{day}"}}',
+        f'{{"userId":1,"picks":[],"generated":"{day}"}}',
     }
 
 

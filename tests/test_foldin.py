@@ -140,19 +140,19 @@ def test_rows_and_sums_agree(spark, world):
 def test_large_requests_are_summed_in_pieces(spark, world):
     films, _, reactions, _ = world
     rated = foldin.rated_films(reactions, films)
-    whole = {r.reqId: r for r in foldin.rated_sums(rated, films).collect()}
-    cut = {r.reqId: r for r in foldin.rated_sums(rated, films, piece_rows=7).collect()}
+    whole = {r.reqId: r for r in foldin.rated_sums(rated, films, 10).collect()}
+    cut = {r.reqId: r for r in foldin.rated_sums(rated, films, 10, piece_rows=7).collect()}
     assert set(cut) == set(whole) == {2, 3, 4}
     for i, r in whole.items():
         assert cut[i].n_rated == r.n_rated
         for name in ("rated_gram", "rated_rhs", "gains"):
-            assert cut[i][name] == pytest.approx(r[name])
+            assert cut[i][name] == r[name]  # whole numbers: the same to the last digit
 
 
 def test_taste_vectors(spark, world):
     films, requests, reactions, plain = world
     prepared, rated = foldin.prepare_requests(requests), foldin.rated_films(reactions, films)
-    solved = foldin.solve(foldin.normal_equations(prepared, rated, films, tiers=TIERS)).collect()
+    solved = foldin.solve(foldin.normal_equations(prepared, rated, films, tiers=TIERS), 10).collect()
     dropped = 0
     for r in solved:
         request = next(q for q in REQUESTS if q[0] == r.reqId)
@@ -165,7 +165,7 @@ def test_taste_vectors(spark, world):
 def test_ranking(spark, world, pieces):
     films, requests, reactions, plain = world
     prepared, rated = foldin.prepare_requests(requests), foldin.rated_films(reactions, films)
-    vectors = foldin.solve(foldin.normal_equations(prepared, rated, films, tiers=TIERS))
+    vectors = foldin.solve(foldin.normal_equations(prepared, rated, films, tiers=TIERS), 10)
     got = foldin.rank_for_requests(vectors, films, rated, reach=REACH, **pieces).orderBy("reqId", "rank").collect()
     for request in REQUESTS:
         mine = [(r.movieId, round(r.score, 6)) for r in got if r.reqId == request[0]]
@@ -186,6 +186,22 @@ def test_whole_path_and_candidate_counts(spark, world):
         assert counts[request[0]] == len(_ranking(plain, unrated, k=10**6))
 
 
+def test_another_rank_from_end_to_end(spark, world):
+    """Vectors of twenty values give twenty-value answers; one of another length stops the job."""
+    films, requests, reactions, _ = world
+    longer = films.withColumn("features", F.concat("features", F.transform("features", lambda x: x / 2)))
+    prepared, rated = foldin.prepare_requests(requests), foldin.rated_films(reactions, longer)
+    equations = foldin.normal_equations(prepared, rated, longer, tiers=TIERS)
+    for r in foldin.solve(equations, 20).collect():
+        assert len(r.gram) == 210 and len(r.rhs) == 20 and len(r.vector) == 20
+    assert foldin.gram_cells(equations, 20).groupBy("reqId").count().filter("count <> 210").isEmpty()
+    assert foldin.recommend_for_requests(requests, reactions, longer, reach=REACH, tiers=TIERS).count() > 0
+    mixed = longer.withColumn("features", F.when(F.col("movieId") == 1, F.slice("features", 1, 10))
+                              .otherwise(F.col("features")))
+    with pytest.raises(Exception, match="expected vectors of 20 values"):
+        foldin.rated_sums(rated, mixed, 20).collect()
+
+
 def test_no_films_at_all(spark, world):
     films, requests, reactions, _ = world
     picks = foldin.recommend_for_requests(requests, reactions, films.limit(0), reach=REACH, tiers=TIERS)

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filmfold.operators import lists, matching, model, popularity, profile, recommend, skew
+from filmfold.session import scratch_path
 
 RATINGS = "userId int, movieId int, rating int, timestamp long"
 
@@ -80,27 +81,41 @@ def test_genre_shares_sum_to_one(spark, movies):
     assert _rows(recommend.genre_mix(picks)) == [(1, "Drama", 0.25), (1, "War", 0.75)]
 
 
-def test_salted_join_equals_plain_join(spark):
+def test_join_to_a_written_side(spark):
     many = spark.createDataFrame([(1, "same")] * 500 + [(2, "x"), (3, "y"), (None, "z")], "k int, v string")
     one = spark.createDataFrame([(1, "one"), (2, "two")], "k int, w string")
     for how in ("inner", "left", "left_semi"):
-        assert sorted(map(repr, skew.salted_join(many, one, ["k"], how).collect())) == sorted(
+        assert sorted(map(repr, skew.plain_join(many, one, ["k"], how).collect())) == sorted(
             map(repr, many.join(one, ["k"], how).collect()))
 
 
-def test_salting_spreads_copies(spark):
-    # each partition salts its share of the copies differently
-    copies = spark.range(800, numPartitions=8).select(F.lit(1).alias("k"), F.lit("same").alias("v"))
-    one = spark.createDataFrame([(1, "one")], "k int, w string")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+def test_a_hot_key_is_split_by_its_bytes(spark):
+    """Twice the rows of one key: more tasks, not larger ones."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    for name, value in conf.items():
+        spark.conf.set(name, value)
     try:
-        joined = skew.salted_join(copies, one, ["k"])
-        per_task = joined.groupBy(F.spark_partition_id()).count().collect()
+        largest = []
+        for n in (40_000, 80_000):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n // 2500))  # follows the input, as scale_settings has it
+            many = spark.range(0, n, 1, n // 2500).select(
+                F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(1).alias("k"), F.uuid().alias("v"))
+            one = spark.range(n).select(F.col("id").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+            joined = skew.plain_join(many, one, ["k"]).withColumn("task", F.spark_partition_id())
+            path = scratch_path(spark, "hot")
+            joined.write.parquet(path)
+            counts = [r["count"] for r in spark.read.parquet(path).groupBy("task").count().collect()]
+            assert sum(counts) == n
+            largest.append(max(counts))
+        assert largest[1] < 1.5 * largest[0] and largest[0] < 40_000 / 3
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.enabled")
-    assert sum(r["count"] for r in per_task) == 800 and max(r["count"] for r in per_task) <= 400
+        for name in conf:
+            spark.conf.unset(name)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
 def test_history_of_repeated_users(spark, ratings):
@@ -182,7 +197,6 @@ def test_model_end_to_end(spark):
     asked = picks.orderBy("rank").collect()
     everyone = recommend.picks_from_model(fitted, 5).filter("userId = 1").orderBy("rank").collect()
     alone = recommend.picks_for_user(fitted.userFactors, fitted.itemFactors, 1, 5).collect()
-    # equal scores may come in another order from the model's own single-precision method
     assert [r.movieId for r in everyone] == [r.movieId for r in alone]
     assert [r.score for r in everyone] == pytest.approx([r.score for r in alone])
     assert [r.score for r in everyone] == pytest.approx([r.score for r in asked], rel=1e-5)
@@ -200,6 +214,6 @@ def test_model_end_to_end(spark):
 def test_tuning_marks_one_best(spark):
     rows = [(u, m, 1 + (u * m) % 5, 0) for u in range(30) for m in range(20) if (u + m) % 3]
     train, test = model.hash_split(spark.createDataFrame(rows, RATINGS))
-    tuned = model.tune(train, test, [(4, 0.1, 2), (6, 0.1, 2)]).collect()
+    tuned = model.tune(model.tuned_models(train, [(4, 0.1, 2), (6, 0.1, 2)]), test).collect()
     assert [r.is_best for r in tuned].count(True) == 1
     assert min(tuned, key=lambda r: r.rmse).is_best

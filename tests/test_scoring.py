@@ -72,3 +72,18 @@ def test_score_pairs_drops_unknown_ids(spark):
     pairs = spark.createDataFrame([(0, 3), (3, 9), (1, 3), (0, 1)], "userId int, movieId int")
     got = {(r.userId, r.movieId): r.score for r in scoring.score_pairs(pairs, uf, vf).collect()}
     assert got == pytest.approx({(0, 3): users[0] @ items[1], (3, 9): users[1] @ items[3]})
+
+
+def test_cuts_follow_the_rows(spark):
+    few, many = spark.range(500), spark.range(100_000)
+    assert scoring.pieces(few, 1000) == 1 and scoring.pieces(many, 1000) == 100
+    assert scoring.pieces(few, 1000, at_least=8) == 1 and scoring.pieces(many, 10**6, at_least=8) == 8
+
+
+def test_model_blocks_follow_the_ratings(spark, monkeypatch):
+    from filmfold.operators import model
+
+    cores = spark.sparkContext.defaultParallelism
+    assert model.block_count(spark.range(10)) == cores
+    monkeypatch.setattr(model, "BLOCK_ROWS", 100)
+    assert model.block_count(spark.range(100 * (cores + 3))) == cores + 3
