@@ -23,17 +23,18 @@ from filmfold.llm.common import binary_matrix, folded
 BLOCK = 512
 
 
-def shared(rows: DataFrame) -> DataFrame:
+def shared(rows: DataFrame, few_hubs: bool = True) -> DataFrame:
     """Of (key, id, n): the rows of buckets with two or more different ids, with their hub (hub, hub_n).
 
     One shuffle by key; the window keeps one row in memory at a time, however
-    large a bucket is. The hub follows one order over all ids, so that items
-    which share many keys meet in few hubs.
+    large a bucket is. With ``few_hubs`` the hub follows one order over all ids,
+    so that items which share very many keys meet in few hubs; else each bucket
+    has an order of its own, and items that share a few keys meet in as many.
     """
     order = Window.partitionBy("key").orderBy("turn", "id")
     sofar = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        rows.withColumn("turn", F.xxhash64("id"))
+        rows.withColumn("turn", F.xxhash64("id") if few_hubs else F.xxhash64("id", "key"))
         .withColumn("hub", F.first("id").over(sofar)).withColumn("hub_n", F.first("n").over(sofar))
         .withColumn("after", F.lead("id").over(order))
         .filter("hub <> id or after <> id").select("key", "id", "n", "hub", "hub_n")

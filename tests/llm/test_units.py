@@ -221,7 +221,7 @@ def test_bands_meet_at_the_threshold():
         if common / (len(x) + len(y) - common) >= 0.75:
             n += 1
             met += (line_dedup.signatures([a, b])[0] == line_dedup.signatures([a, b])[1]).any()
-    assert met / n > 0.97
+    assert met / n > 0.94
 
 
 def test_similar_sets_share_a_prefix():
