@@ -22,7 +22,7 @@ STEMS = (4, 5, 6, 7)
 #: PRECISION or more of its share in the unlabelled text: an estimate of how many of the texts with it are toxic. Of
 #: those the MOST_FEATURES with the highest share.
 LEAST_ROWS, LEAST_SHARE, PRECISION, MOST_FEATURES = 8, 0.002, 0.6, 4000
-STEPS, RATE, DECAY = 400, 0.2, 1e-4
+STEPS, RATE, DECAY = 1200, 0.2, 2e-5
 
 WORDS = regex.compile(r"\p{L}+")
 
@@ -43,14 +43,12 @@ class Model(NamedTuple):
     bias: float
 
 
-def copy_key(text: str | None) -> int:
-    """The least hash of the runs of three words: copies and most near copies have it in common, other texts do not."""
+def copy_keys(text: str | None) -> tuple[int, int, int]:
+    """The least hashes, in three orders, of the runs of three words: near copies have one in common, other texts none."""
     tokens = words(text)
     ids = hashes(tokens, len(tokens))
-    if len(ids) < 3:
-        return int(signed(np.array([ids.sum(dtype=np.uint64)], np.uint64))[0])
-    runs = mixed(mixed(mixed(ids[:-2]) + ids[1:-1]) + ids[2:])
-    return int(signed(runs.min(keepdims=True))[0])
+    runs = mixed(mixed(mixed(ids[:-2]) + ids[1:-1]) + ids[2:]) if len(ids) > 2 else ids.sum(keepdims=True, dtype=np.uint64)
+    return tuple(int(signed(order.min(keepdims=True))[0]) for order in (runs, mixed(runs), mixed(mixed(runs))))
 
 
 def held_out(docs: DataFrame) -> DataFrame:
@@ -118,12 +116,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.append_column("copy", pa.array([copy_key(t) for t in texts(batch["text"])], pa.int64()))
+            keys = np.array([copy_keys(t) for t in texts(batch["text"])], np.int64).reshape(-1, 3)
+            for i in range(3):
+                batch = batch.append_column(f"copy{i}", pa.array(keys[:, i]))
+            yield batch
 
     # Copies of one toxic text would make each of its words look toxic, so of copies one is used.
     sample = usable.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("positive", "text")
-    sample = written(sample.mapInArrow(keyed, "positive int, text string, copy long")
-                     .dropDuplicates(["positive", "copy"]).select("positive", "text"), "sample")
+    sample = sample.mapInArrow(keyed, "positive int, text string, copy0 long, copy1 long, copy2 long")
+    for i in range(3):
+        sample = sample.dropDuplicates(["positive", f"copy{i}"])
+    sample = written(sample.select("positive", "text"), "sample")
     n_positive, n_unlabelled = (sample.filter(f"positive = {p}").count() for p in (1, 0))
     if not n_positive or not n_unlabelled:
         return Model({}, float(np.log(prior / (1 - prior))))
