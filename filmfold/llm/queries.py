@@ -78,6 +78,44 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_mixing": r"""
+        WITH docs AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                   CASE WHEN length(text) > 0 THEN
+                       1 - 0.5::DOUBLE * (length(text) - length(translate(text, '#$%&*+<=>@\^_`{|}~', ''))) / length(text)
+                   ELSE 1.0::DOUBLE END AS quality,
+                   (CAST('0x' || substr(md5('mix:' || coalesce(doc_id, -1)), 1, 13) AS BIGINT) + 0.5::DOUBLE)
+                       / 4503599627370496.0::DOUBLE AS u
+            FROM documents),
+        sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
+        weighted AS (
+            SELECT *, [5.0::DOUBLE, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight,
+                   source_size * 2.0::DOUBLE AS most
+            FROM sources),
+        running AS (
+            SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) * 1.5::DOUBLE AS total, sum(weight) OVER () AS weights,
+                   coalesce(sum(most) OVER before, 0) AS used, coalesce(sum(weight) OVER before, 0) AS gone
+            FROM weighted WINDOW before AS (
+                ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        levels AS (SELECT *, (total - used) / (weights - gone) AS level FROM running),
+        targets AS (
+            SELECT source, source_size, CASE WHEN most / weight <= level THEN most
+                   ELSE max(CASE WHEN most / weight > level THEN level END) OVER () * weight END AS target
+            FROM levels),
+        placed AS (
+            SELECT d.doc_id, d.source, d.size, t.source_size, t.target, -ln(d.u) / d.quality AS key,
+                   CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS epochs
+            FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+        summed AS (
+            SELECT *, target - epochs * source_size AS rest,
+                   CAST(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id) AS DOUBLE) AS upto
+            FROM placed),
+        cuts AS (
+            SELECT source, max(upto) AS cut FROM summed
+            WHERE upto <= rest OR (upto - size < rest AND upto - rest < rest - (upto - size)) GROUP BY source)
+        SELECT s.doc_id, s.size, s.source_size, s.target,
+               (s.epochs + CASE WHEN s.upto <= c.cut THEN 1 ELSE 0 END) * s.size AS taken
+        FROM summed s LEFT JOIN cuts c ON s.source IS NOT DISTINCT FROM c.source""",
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
