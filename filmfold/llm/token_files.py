@@ -20,7 +20,7 @@ from filmfold.llm.common import CLEANUP, texts, written
 #: Appended to each document.
 END = 2
 #: Pieces and words remembered by one worker.
-MEMO = 400_000
+MEMO = 150_000
 _SPACE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Runs of anything but Unicode white space, where the vocabulary's own split never joins text.
 WORDS = re.compile(f"[^{_SPACE}]+")
@@ -95,7 +95,7 @@ def load(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _groups(batch: pa.RecordBatch, chars: int = 1 << 21) -> Iterator[tuple[list, list[str | None]]]:
+def _groups(batch: pa.RecordBatch, chars: int = 1 << 20) -> Iterator[tuple[list, list[str | None]]]:
     """Documents a few megabytes at a time."""
     ids, held, size = [], [], 0
     for doc, text in zip(texts(batch["doc_id"]), texts(batch["text"])):
@@ -109,7 +109,7 @@ def _groups(batch: pa.RecordBatch, chars: int = 1 << 21) -> Iterator[tuple[list,
         yield ids, held
 
 
-def write(docs: DataFrame, path: str, vocabulary: str, stripe_bytes: int = 64 << 20, stride: int = 1000) -> None:
+def write(docs: DataFrame, path: str, vocabulary: str, stripe_bytes: int = 16 << 20, stride: int = 1000) -> None:
     """Write doc_id, first (tokens before it in its file), n_tokens and ids, ascending by doc_id over all files.
 
     Texts are range partitioned by doc_id, so a file is one range, no key is
