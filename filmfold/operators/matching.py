@@ -74,7 +74,7 @@ def match_titles(movies: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 def linked_paths(links: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Poster paths found through a known external id."""
-    ids = nonblank_links(links).select("movieId", F.expr("try_cast(tmdbId AS int)").alias("ext_id"))
+    ids = nonblank_links(links).select("movieId", F.expr("try_cast(tmdbId AS bigint)").alias("ext_id"))
     usable = catalogue.filter(F.col("poster_path").isNotNull()).select(
         "ext_id", F.col("poster_path").alias("linked_path")
     )

@@ -67,7 +67,7 @@ def valid_requests(raw_ids: DataFrame, column: str = "raw_id") -> DataFrame:
     trimmed = F.regexp_replace(column, r"^\s+|\s+$", "")
     valid = F.rlike(trimmed, F.lit(fixed.USER_ID_PATTERN))
     return raw_ids.select(
-        column, valid.alias("is_valid"), F.when(valid, trimmed).cast("int").alias("userId")
+        column, valid.alias("is_valid"), F.when(valid, trimmed).cast("bigint").alias("userId")
     )
 
 
@@ -109,7 +109,7 @@ def picks_for_user(
     Each task keeps k rows. An unknown user has no rows."""
     vector = user_factors.filter(F.col("id") == user_id).select("features").scalar()
     scored = item_factors.withColumn("u", vector).select(
-        F.lit(user_id).cast("int").alias("userId"), F.col("id").alias("movieId"),
+        F.lit(user_id).cast("bigint").alias("userId"), F.col("id").alias("movieId"),
         N.dot(F.col("features"), F.col("u")).alias("score"),
     )
     return scored.filter(F.col("score").isNotNull()).orderBy(F.desc("score"), "movieId").limit(k)
@@ -133,7 +133,7 @@ def nested_picks(picks: DataFrame, users: DataFrame) -> DataFrame:
     ordered = F.transform(
         F.col("ranked"), lambda p: F.struct(p["movieId"].alias("movieId"), p["score"].alias("score"))
     )
-    empty = F.array().cast("array<struct<movieId:int,score:double>>")
+    empty = F.array().cast("array<struct<movieId:bigint,score:double>>")
     return users.select("userId").join(lists, "userId", "left").select(
         "userId", F.coalesce(ordered, empty).alias("picks")
     )

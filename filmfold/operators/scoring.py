@@ -23,7 +23,7 @@ CELLS = 4_000_000   # scores held at once inside a task
 
 FILTER_COLUMNS = ["wanted", "year_from", "year_to", "cnt_min", "cnt_max", "affinity"]
 FILM_COLUMNS = ["mask", "year", "cnt"]
-OUTPUT = "qid int, id int, cnt int, score double, rank_score double"
+OUTPUT = "qid bigint, id bigint, cnt int, score double, rank_score double"
 
 
 def score_pairs(pairs: DataFrame, user_factors: DataFrame, item_factors: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def _block_scorer(k: int, filtered: bool, bonus: float):
     bits = np.arange(len(fixed.GENRES))
     cells, ranges = CELLS, FILTER_COLUMNS[:-1]
     names = ["qid", "id", "cnt", "score", "rank_score"]
-    types = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64()]
 
     def matrix(table, name):
         flat = table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -197,7 +197,7 @@ def top_k(
         )
         left = left.join(per_block, ["qid", "block"], "left")
     else:
-        left = left.withColumn("excluded", F.lit(None).cast("array<int>"))
+        left = left.withColumn("excluded", F.lit(None).cast("array<bigint>"))
     right = (
         items.withColumn("n_blocks", n_blocks)
         .withColumn("block", block_of("id"))

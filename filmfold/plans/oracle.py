@@ -16,7 +16,7 @@ GENRES = (
 
 VIEWS = {
     "ratings": """
-        SELECT CAST(o_custkey AS INTEGER) AS userId, CAST(l_partkey AS INTEGER) AS movieId,
+        SELECT CAST(o_custkey AS BIGINT) AS userId, CAST(l_partkey AS BIGINT) AS movieId,
                CAST(floor((l_quantity - 1) / 10) + 1 AS INTEGER) AS rating,
                CAST(epoch(o_orderdate) AS BIGINT) AS "timestamp"
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
@@ -25,7 +25,7 @@ VIEWS = {
         FROM (SELECT unnest({GENRES}) AS genre)""",
     "bits": "SELECT CAST(range AS INTEGER) AS bit FROM range(18)",
     "movies": f"""
-        SELECT CAST(p_partkey AS INTEGER) AS movieId,
+        SELECT CAST(p_partkey AS BIGINT) AS movieId,
                array_to_string(list_transform(string_split(p_name, ' '),
                    lambda w: upper(w[1]) || lower(w[2:])), ' ')
                || CASE WHEN p_partkey % 4 = 0 THEN ', The' ELSE '' END
@@ -43,19 +43,19 @@ VIEWS = {
         SELECT movieId, CAST(nullif(regexp_extract(title, '\((\d{4})\)\s*$', 1), '') AS INTEGER) AS year
         FROM movies""",
     "users": """
-        SELECT CAST(c_custkey AS INTEGER) AS userId, CASE WHEN c_custkey % 2 = 1 THEN 'F' ELSE 'M' END AS gender,
+        SELECT CAST(c_custkey AS BIGINT) AS userId, CASE WHEN c_custkey % 2 = 1 THEN 'F' ELSE 'M' END AS gender,
                [1, 18, 25, 35, 45, 50, 56][c_nationkey % 7 + 1] AS age,
                CAST(c_custkey % 21 AS INTEGER) AS occupation, lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS zip
         FROM customer""",
     "item_factors": """
-        SELECT CAST(vec_id AS INTEGER) AS id,
+        SELECT CAST(vec_id AS BIGINT) AS id,
                list_transform(embedding[1:10], lambda x: abs(CAST(x AS DOUBLE))) AS features FROM embeddings""",
     "user_factors": """
-        SELECT CAST(vec_id AS INTEGER) AS id,
+        SELECT CAST(vec_id AS BIGINT) AS id,
                list_transform(embedding[11:20], lambda x: abs(CAST(x AS DOUBLE))) AS features FROM embeddings""",
-    "posters": "SELECT CAST(page_id AS INTEGER) AS movieId, url FROM pages",
+    "posters": "SELECT CAST(page_id AS BIGINT) AS movieId, url FROM pages",
     "external": """
-        SELECT CAST(p_partkey + 100000 AS INTEGER) AS ext_id,
+        SELECT CAST(p_partkey + 100000 AS BIGINT) AS ext_id,
                CASE WHEN p_name LIKE 'hot %' AND p_partkey % 11 = 0 THEN 'ALT NAME' ELSE
                    CASE WHEN p_partkey % 4 = 0 THEN 'The ' ELSE '' END
                    || array_to_string(list_transform(string_split(p_name, ' '),
@@ -65,11 +65,11 @@ VIEWS = {
                     ELSE '/' || p_partkey || '.jpg' END AS poster_path
         FROM part""",
     "links": """
-        SELECT CAST(p_partkey AS INTEGER) AS movieId,
+        SELECT CAST(p_partkey AS BIGINT) AS movieId,
                CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE CAST(p_partkey + 100000 AS VARCHAR) END AS tmdbId
         FROM part""",
-    "customers": "SELECT CAST(c_custkey AS INTEGER) AS userId FROM customer",
-    "order_ids": "SELECT CAST(o_orderkey AS INTEGER) AS movieId FROM orders",
+    "customers": "SELECT CAST(c_custkey AS BIGINT) AS userId FROM customer",
+    "order_ids": "SELECT CAST(o_orderkey AS BIGINT) AS movieId FROM orders",
     "counts": """
         SELECT movieId, count(*) AS cnt, sum(rating) AS total FROM ratings GROUP BY movieId""",
     "popular": """
@@ -111,7 +111,7 @@ VIEWS = {
                'https://images.example.org/t/p/w500' || coalesce(e.poster_path, x.poster_path) AS url
         FROM movies m
         LEFT JOIN links l ON l.movieId = m.movieId AND l.tmdbId <> ''
-        LEFT JOIN external e ON e.ext_id = CAST(nullif(l.tmdbId, '') AS INTEGER) AND e.poster_path IS NOT NULL
+        LEFT JOIN external e ON e.ext_id = CAST(nullif(l.tmdbId, '') AS BIGINT) AND e.poster_path IS NOT NULL
         LEFT JOIN matched x ON x.movieId = m.movieId""",
     "upserted": """
         SELECT movieId, url FROM posters
@@ -174,7 +174,7 @@ VIEWS = {
         FROM moods JOIN genre_bits USING (genre) GROUP BY mood""",
     # --- requests
     "requests": """
-        SELECT CAST(c_custkey AS INTEGER) AS reqId,
+        SELECT CAST(c_custkey AS BIGINT) AS reqId,
                ['feel-good', 'edge', 'mind', 'emotional', 'scare', 'adventure', NULL][c_custkey % 7 + 1] AS mood,
                ['any', 'classic', '7080', '90s', 'lost'][c_nationkey % 5 + 1] AS era,
                ['popular', 'balanced', 'gems', 'mixed'][c_custkey % 4 + 1] AS reach
@@ -354,12 +354,12 @@ ORACLES = {
     "als_input": "SELECT userId, movieId, rating FROM ratings",
     "user_history": """
         SELECT userId, movieId, rating FROM ratings
-        WHERE userId IN (SELECT CAST(user_id AS INTEGER) FROM events)""",
+        WHERE userId IN (SELECT CAST(user_id AS BIGINT) FROM events)""",
     "distinct_users": "SELECT DISTINCT userId FROM ratings",
     "rated_sets": "SELECT DISTINCT userId, movieId FROM ratings",
     "known_user_flag": "SELECT userId, userId IN (SELECT id FROM user_factors) AS known FROM customers",
     "validate_ids": r"""
-        SELECT raw_id, is_valid, CASE WHEN is_valid THEN CAST(trim(raw_id) AS INTEGER) END AS userId
+        SELECT raw_id, is_valid, CASE WHEN is_valid THEN CAST(trim(raw_id) AS BIGINT) END AS userId
         FROM (SELECT raw_id, regexp_matches(trim(raw_id), '^\d{1,7}$') AS is_valid FROM (
               SELECT '  ' || c_custkey || ' ' AS raw_id FROM customer
               UNION ALL SELECT c_name FROM customer

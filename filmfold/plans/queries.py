@@ -66,17 +66,17 @@ def _equations(spark, sf):
 
 def _customers(spark, sf):
     """Everybody who may ask, known to the model or not."""
-    return V.table(spark, sf, "customer").select(F.col("c_custkey").cast("int").alias("userId"))
+    return V.table(spark, sf, "customer").select(F.col("c_custkey").cast("bigint").alias("userId"))
 
 
 def _visitors(spark, sf):
     """User ids seen in the event log."""
-    return V.table(spark, sf, "events").select(F.col("user_id").cast("int").alias("userId"))
+    return V.table(spark, sf, "events").select(F.col("user_id").cast("bigint").alias("userId"))
 
 
 def _order_ids(spark, sf):
     """Ids to look up, most of them not in the catalogue."""
-    return V.table(spark, sf, "orders").select(F.col("o_orderkey").cast("int").alias("movieId"))
+    return V.table(spark, sf, "orders").select(F.col("o_orderkey").cast("bigint").alias("movieId"))
 
 
 def _named_tables(spark, sf):
@@ -450,7 +450,7 @@ def poster_upsert(spark, sf):
 def poster_missing(spark, sf):
     path = scratch_path(spark, "posters-missing.tsv")
     writers.write_tsv(matching.missing_posters(V.movies(spark, sf), _upserted(spark, sf)), path)
-    return spark.read.csv(path, sep="\t", schema="movieId int, title string", quote="")
+    return spark.read.csv(path, sep="\t", schema="movieId bigint, title string", quote="")
 
 
 @query

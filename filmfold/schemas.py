@@ -13,20 +13,20 @@ GIVEN = {
 }
 
 RATINGS = T.StructType([
-    T.StructField("userId", T.IntegerType()),
-    T.StructField("movieId", T.IntegerType()),
+    T.StructField("userId", T.LongType()),
+    T.StructField("movieId", T.LongType()),
     T.StructField("rating", T.IntegerType()),
     T.StructField("timestamp", T.LongType()),
 ])
 
 MOVIES = T.StructType([
-    T.StructField("movieId", T.IntegerType()),
+    T.StructField("movieId", T.LongType()),
     T.StructField("title", T.StringType()),
     T.StructField("genres", T.StringType()),
 ])
 
 USERS = T.StructType([
-    T.StructField("userId", T.IntegerType()),
+    T.StructField("userId", T.LongType()),
     T.StructField("gender", T.StringType()),
     T.StructField("age", T.IntegerType()),
     T.StructField("occupation", T.IntegerType()),
@@ -34,19 +34,19 @@ USERS = T.StructType([
 ])
 
 FACTORS = T.StructType([
-    T.StructField("id", T.IntegerType()),
+    T.StructField("id", T.LongType()),
     T.StructField("features", T.ArrayType(T.FloatType())),
 ])
 
 LINKS = T.StructType([
-    T.StructField("movieId", T.IntegerType()),
+    T.StructField("movieId", T.LongType()),
     T.StructField("tmdbId", T.StringType()),
 ])
 
 REQUESTS = T.StructType([
-    T.StructField("reqId", T.IntegerType()),
+    T.StructField("reqId", T.LongType()),
     T.StructField("genres", T.ArrayType(T.StringType())),
     T.StructField("era", T.StringType()),
     T.StructField("reach", T.StringType()),
-    T.StructField("ratings", T.MapType(T.IntegerType(), T.StringType())),
+    T.StructField("ratings", T.MapType(T.LongType(), T.StringType())),
 ])

@@ -66,7 +66,7 @@ def read_json_map(spark: SparkSession, path: str, whole: bool = False) -> DataFr
     A missing path is an empty table.
     """
     schema = T.StructType([
-        T.StructField("movieId", T.IntegerType()), T.StructField("url", T.StringType()),
+        T.StructField("movieId", T.LongType()), T.StructField("url", T.StringType()),
     ])
     try:
         lines = spark.read.text(path, wholetext=whole)
@@ -78,7 +78,7 @@ def read_json_map(spark: SparkSession, path: str, whole: bool = False) -> DataFr
     if not lines.filter("trim(value) <> ''").isEmpty() and parsed.filter("entry is not null").isEmpty():
         raise ValueError(f"no line of {path} is a JSON object; whole=True reads one object per file")
     entries = parsed.select(F.explode("entry").alias("k", "url"))
-    return entries.select(F.expr("try_cast(k AS int)").alias("movieId"), "url").filter(
+    return entries.select(F.expr("try_cast(k AS bigint)").alias("movieId"), "url").filter(
         F.col("movieId").isNotNull()
     )
 
@@ -90,7 +90,7 @@ def read_film_lines(spark: SparkSession, path: str) -> DataFrame:
     quantised = F.transform(F.slice(v, 7, F.greatest(F.size(v) - 6, F.lit(0))), lambda x: x.cast("int"))
     mask = v[3].cast("int")
     return row.select(
-        v[0].cast("int").alias("movieId"),
+        v[0].cast("bigint").alias("movieId"),
         v[1].alias("title"),
         v[2].cast("int").alias("year"),
         mask.alias("mask"),
@@ -103,7 +103,7 @@ def read_film_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pick_table(spark: SparkSession, path: str) -> DataFrame:
     """Precomputed picks keyed by user; a filter or join on userId prunes row groups."""
-    return spark.read.schema("userId int, picks array<struct<movieId:int,score:double>>").parquet(path)
+    return spark.read.schema("userId bigint, picks array<struct<movieId:bigint,score:double>>").parquet(path)
 
 
 def rows_to_table(spark: SparkSession, rows: list, schema: T.StructType | str) -> DataFrame:

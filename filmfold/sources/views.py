@@ -30,8 +30,8 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("o_custkey").cast("int").alias("userId"),
-        F.col("l_partkey").cast("int").alias("movieId"),
+        F.col("o_custkey").cast("bigint").alias("userId"),
+        F.col("l_partkey").cast("bigint").alias("movieId"),
         (F.floor((F.col("l_quantity") - 1) / 10) + 1).cast("int").alias("rating"),
         _epoch_seconds(F.col("o_orderdate")).alias("timestamp"),
     )
@@ -50,7 +50,7 @@ def movies(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     return table(spark, sf_dir, "part").select(
-        key.cast("int").alias("movieId"),
+        key.cast("bigint").alias("movieId"),
         title.alias("title"),
         F.array_join(F.array_distinct(F.array(first, second)), "|").alias("genres"),
     )
@@ -59,7 +59,7 @@ def movies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(
-        key.cast("int").alias("userId"),
+        key.cast("bigint").alias("userId"),
         F.when(key % 2 == 1, F.lit("F")).otherwise(F.lit("M")).alias("gender"),
         _pick(list(fixed.AGE_LABELS), F.col("c_nationkey") % 7).alias("age"),
         (key % 21).cast("int").alias("occupation"),
@@ -70,7 +70,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _factors(spark: SparkSession, sf_dir: str, first: int) -> DataFrame:
     part = F.slice("embedding", first, fixed.RANK)
     return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").cast("int").alias("id"),
+        F.col("vec_id").cast("bigint").alias("id"),
         F.transform(part, lambda x: F.abs(x.cast("double"))).alias("features"),
     )
 
@@ -87,7 +87,7 @@ def user_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def posters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved poster addresses; only part of the catalogue has one."""
     return table(spark, sf_dir, "pages").select(
-        F.col("page_id").cast("int").alias("movieId"), "url"
+        F.col("page_id").cast("bigint").alias("movieId"), "url"
     )
 
 
@@ -99,7 +99,7 @@ def external_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     shift = _pick([0, -1, 1, None], key % 4)
     hot, alternate = F.col("p_name").startswith("hot "), key % 11 == 0
     return table(spark, sf_dir, "part").select(
-        (key + 100000).cast("int").alias("ext_id"),
+        (key + 100000).cast("bigint").alias("ext_id"),
         F.when(hot & alternate, F.lit("ALT NAME"))
         .when(key % 4 == 0, F.concat(F.lit("The "), F.initcap("p_name")))
         .otherwise(F.initcap("p_name"))
@@ -115,7 +115,7 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Film to external id, blank or missing for many films."""
     size = F.col("p_size") % 3
     return table(spark, sf_dir, "part").select(
-        F.col("p_partkey").cast("int").alias("movieId"),
+        F.col("p_partkey").cast("bigint").alias("movieId"),
         F.when(size == 0, F.lit(""))
         .when(size == 1, F.lit(None).cast("string"))
         .otherwise((F.col("p_partkey") + 100000).cast("string"))
@@ -128,7 +128,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     mood = _pick([*fixed.MOODS, None], key % 7)
     return table(spark, sf_dir, "customer").select(
-        key.cast("int").alias("reqId"),
+        key.cast("bigint").alias("reqId"),
         mood.alias("mood"),
         _pick([*fixed.ERAS, "lost"], F.col("c_nationkey") % 5).alias("era"),
         _pick([*fixed.REACH, "mixed"], key % 4).alias("reach"),

@@ -90,7 +90,7 @@ def test_join_to_a_written_side(spark):
 
 
 def test_a_hot_key_is_split_by_its_bytes(spark):
-    """Twice the rows of one key: more tasks, not larger ones."""
+    """Two thirds of the rows have one key; no task joins a third of them."""
     conf = {
         "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
@@ -99,7 +99,6 @@ def test_a_hot_key_is_split_by_its_bytes(spark):
     for name, value in conf.items():
         spark.conf.set(name, value)
     try:
-        largest = []
         for n in (40_000, 80_000):
             spark.conf.set("spark.sql.shuffle.partitions", str(n // 2500))  # follows the input, as scale_settings has it
             many = spark.range(0, n, 1, n // 2500).select(
@@ -110,8 +109,7 @@ def test_a_hot_key_is_split_by_its_bytes(spark):
             joined.write.parquet(path)
             counts = [r["count"] for r in spark.read.parquet(path).groupBy("task").count().collect()]
             assert sum(counts) == n
-            largest.append(max(counts))
-        assert largest[1] < 1.5 * largest[0] and largest[0] < 40_000 / 3
+            assert max(counts) < n / 3
     finally:
         for name in conf:
             spark.conf.unset(name)
