@@ -80,6 +80,31 @@ def _room(differ, n_a, n_b, percent: int):
     return 100 * overlap >= percent * (total - overlap)
 
 
+def _unsettled(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(key, id, n, grp) of the buckets that still hold items of more than one group."""
+    known = members.select("key", "id", "n").join(groups, F.col("id") == F.col("node"), "left") \
+        .select("key", "id", "n", F.coalesce("component", "id").alias("grp"))
+    by_key = Window.partitionBy("key")
+    return known.withColumn("low", F.min("grp").over(by_key)).withColumn("high", F.max("grp").over(by_key)) \
+        .filter("low <> high").select("key", "id", "n", "grp")
+
+
+def neighbour_pairs(members: DataFrame, groups: DataFrame, percent: int, reach: int = 4) -> DataFrame:
+    """Distinct (a, b) of each item and the next few of its bucket, in an order of the bucket's own, across groups.
+
+    In a group of copies that are mostly, not always, like each other this
+    links nearly all that the hubs did not, in steps that grow with the rows.
+    """
+    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "id"), "id")
+    rows = _unsettled(members, groups).withColumn("own", F.struct("id", "n", "grp"))
+    ahead = [F.lead("own", k).over(order) for k in range(1, reach + 1)]
+    rows = rows.withColumn("ahead", F.array_compact(F.array(*ahead))).withColumn("other", F.explode("ahead"))
+    n, other_n = F.col("n"), F.col("other.n")
+    fits = F.least(n, other_n) * 100 >= F.greatest(n, other_n) * percent
+    return rows.filter("other.grp <> grp").filter(fits).select(
+        F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).distinct()
+
+
 def cross_pairs(members: DataFrame, groups: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) that share a bucket, lie in different groups and pass size and bitmap bounds.
 
@@ -88,13 +113,8 @@ def cross_pairs(members: DataFrame, groups: DataFrame, items: DataFrame, percent
     cut into blocks in order of size; a tile is a pair of blocks whose sizes
     overlap, so each task holds two blocks whatever the bucket's size.
     """
-    known = members.select("key", "id", "n").join(groups, F.col("id") == F.col("node"), "left") \
-        .select("key", "id", "n", F.coalesce("component", "id").alias("grp"))
-    by_key = Window.partitionBy("key")
-    mixed = known.withColumn("low", F.min("grp").over(by_key)).withColumn("high", F.max("grp").over(by_key)) \
-        .filter("low <> high")
     by_size = Window.partitionBy("key").orderBy("n", "id")
-    placed = mixed.withColumn("block", F.floor((F.row_number().over(by_size) - 1) / BLOCK).cast("int")) \
+    placed = _unsettled(members, groups).withColumn("block", F.floor((F.row_number().over(by_size) - 1) / BLOCK).cast("int")) \
         .select("key", "id", "n", "grp", "block")
     blocks = placed.groupBy("key", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     other = blocks.select("key", F.col("block").alias("other"), F.col("least").alias("o_least"))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from filmfold.llm import buckets
-from filmfold.llm.common import folded, mixed, parity_bitmap, signed, texts, unused, wide_bits, written
+from filmfold.llm.common import mixed, parity_bitmap, signed, texts, unused, wide_bits, written
 from filmfold.llm.components import components
 
 #: Lines with fewer characters, once normalised, are never compared: list items, headings, single words.
@@ -25,6 +25,8 @@ ROWS, BANDS = 4, 8
 #: Bits of the bitmaps that tiles compare: several to a shingle of most lines, so that pairs just below the
 #: threshold, of which a group of near copies has many, do not pass.
 BITS = 4096
+#: Bits at least of the bitmaps that travel with a pair, which have about one to a shingle.
+LEAST_BITS = 512
 #: Characters hashed at once.
 BLOCK_CHARS = 1 << 20
 
@@ -145,8 +147,8 @@ def _line_sets(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFram
                     if place in wanted_here:
                         values = shingles(line)
                         ids.append(line_id(line))
-                        wide.append(parity_bitmap(values, wide_bits(len(values), BITS)))
-                        bitmaps.append(folded(np.frombuffer(wide[-1], np.uint64), BITS // 64).tobytes())
+                        wide.append(parity_bitmap(values, wide_bits(len(values), LEAST_BITS)))
+                        bitmaps.append(parity_bitmap(values, BITS))
                         sizes.append(len(values))
                         lines_here.append(line)
             yield pa.RecordBatch.from_arrays(
@@ -178,12 +180,17 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     members = written(buckets.shared(keys, few_hubs=False), "line-members")
     sets = written(_line_sets(docs, lines.select("id", "doc_id", "place"), members.select("id").distinct()), "line-sets")
     sized = members.select("key", "id", "hub").join(sets.select("id", "n"), "id")
-    first = buckets.bitmap_filter(buckets.hub_pairs(members, PERCENT), sets, PERCENT)
-    links = written(buckets.verified(first, sets, PERCENT, _members), "line-links")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        near = buckets.bitmap_filter(pairs, sets, PERCENT)
+        return written(buckets.verified(near, sets, PERCENT, _members), "line-links")
+
+    links = linked(buckets.hub_pairs(members, PERCENT))
+    groups = written(components(links), "line-groups")
+    links = links.union(linked(buckets.neighbour_pairs(sized, groups, PERCENT)))
+    groups = written(components(links), "line-groups")
+    links = links.union(linked(buckets.cross_pairs(sized, groups, sets, PERCENT)))
     groups = written(components(links), "line-groups")
-    cross = buckets.bitmap_filter(buckets.cross_pairs(sized, groups, sets, PERCENT), sets, PERCENT)
-    more = written(buckets.verified(cross, sets, PERCENT, _members), "line-links")
-    groups = written(components(links.union(more)), "line-groups")
 
     named = lines.select("doc_id", "place", "id").join(groups, F.col("id") == F.col("node"), "left").select(
         "doc_id", "place", F.coalesce("component", "id").alias("item"))
