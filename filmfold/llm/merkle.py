@@ -1,8 +1,8 @@
 """Document fingerprints: a Merkle tree over pieces, paragraphs and sections, in built-in functions only.
 
 A line is a paragraph; a paragraph's leaves are its pieces, which end after a
-word that ends in a punctuation mark, a digit or one of a few letters, so text
-without punctuation has leaves of a few words, too. A paragraph's node hashes its leaves, a section's node its paragraphs, the
+word that ends in a punctuation mark or a digit. Text without either has one
+leaf a line. A paragraph's node hashes its leaves, a section's node its paragraphs, the
 root the sections. A section ends before a paragraph whose hash starts with 0 or
 1, so an edit moves no section border but its own. The fingerprint is the root in
 full and the tree below in eight digits a node:
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from filmfold.llm.common import written
 
-_PIECE_END = r"(?<=[.!?,;:0-9dkmy]) "
+_PIECE_END = r"(?<=[.!?,;:0-9]) "
 _SECTION_START = r"\|(?=[01])"
 
 
