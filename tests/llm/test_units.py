@@ -221,7 +221,23 @@ def test_bands_meet_at_the_threshold():
         if common / (len(x) + len(y) - common) >= 0.75:
             n += 1
             met += (line_dedup.signatures([a, b])[0] == line_dedup.signatures([a, b])[1]).any()
-    assert met / n > 0.94
+    assert met / n > 0.97
+
+
+def test_isolated_pairs_just_above_the_threshold_meet():
+    rng, pairs = random.Random(16), []
+    while len(pairs) < 1500:
+        a = "".join(rng.choices("abcdefghijkl ", k=200))
+        b = list(a)
+        for at in rng.sample(range(200), 4):
+            b[at] = "z"
+        b = "".join(b)
+        x, y = line_dedup.shingles(a), line_dedup.shingles(b)
+        common = np.intersect1d(x, y).size
+        if 0.75 <= common / (len(x) + len(y) - common) < 0.80:
+            pairs += [a, b]
+    keys = line_dedup.signatures(pairs).reshape(-1, 2, line_dedup.BANDS)
+    assert (keys[:, 0] == keys[:, 1]).any(1).mean() > 0.98
 
 
 def test_similar_sets_share_a_prefix():
