@@ -13,8 +13,9 @@ from filmfold.llm import buckets
 from filmfold.llm.common import mixed, parity_bitmap, signed, texts, unused, wide_bits, written
 from filmfold.llm.components import components
 
-#: Lines with fewer characters, once normalised, are never compared: list items, headings, single words.
-LEAST_CHARS = 30
+#: Characters of a line, once normalised, from which it is an item; blank lines alone are none. A line shorter than a
+#: shingle repeats only lines equal to it, which its id tells.
+LEAST_CHARS = 1
 #: Characters of a shingle and the similarity from which two lines are one. Eight characters are long enough that
 #: unrelated lines of one language share almost none, short enough that a changed word leaves most.
 SHINGLE = 8
@@ -93,7 +94,7 @@ def _members(line: pa.StringScalar) -> np.ndarray:
 
 
 def _line_table(docs: DataFrame) -> DataFrame:
-    """Each eligible line: doc_id, place, id; its band keys where it is first met in a batch."""
+    """Each eligible line: doc_id, place, id; its band keys, if it has a shingle, where it is first met in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,7 +106,7 @@ def _line_table(docs: DataFrame) -> DataFrame:
             for doc, text in zip(texts(batch["doc_id"]), texts(batch["text"])):
                 for place, line in _eligible(text):
                     found = line_id(line)
-                    if found not in seen:
+                    if len(line) >= SHINGLE and found not in seen:
                         seen.add(found)
                         new.append(line)
                         at.append(len(rows))
@@ -170,7 +171,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     hub links its copies, and buckets with unlinked lines left have those
     compared in tiles. All links are verified on whole shingle sets.
 
-    Null and empty texts have no lines. Lines shorter than LEAST_CHARS are kept.
+    Null and empty texts have no lines, blank lines are kept. Lines shorter than
+    a shingle are compared for equality only.
     Rows alike in doc_id and text lose the same lines. A null doc_id's lines
     count as the first. An empty table gives no rows.
     """

@@ -213,6 +213,26 @@ def test_line_removal_against_all_pairs(spark):
     assert dict(_rows(got, "doc_id", "text")) == _plain_lines(rows)
 
 
+def test_short_lines_that_repeat_are_removed(spark):
+    """By plain equality and all pairs of shingles, whatever the lengths that the module compares from."""
+    short = ["ok", "Share", "read  More", "© 2019 Example Ltd", "这是一个句子。", "これは短い文です。", "転載を禁じます、無断での複製も禁じます", "\U0001f389"]
+    rows = [(d, "\n".join([f"{zlib.crc32(bytes([d]))} own", *short[d % 3:], "", " ", f"{d}"])) for d in range(12)]
+    got = line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    seen, expected = set(), {}
+    for d, text in rows:
+        left = []
+        for line in text.split("\n"):
+            name = " ".join(line.lower().split())
+            if not name or name not in seen:
+                left.append(line)
+            seen.add(name)
+        expected[d] = "\n".join(left)
+    assert dict(_rows(got, "doc_id", "text")) == expected
+    near = [(1, "posted on 12 march 2019 at 9"), (2, "posted on 12 march 2019 at 8")]
+    assert dict(_rows(line_dedup.without_repeated_lines(spark.createDataFrame(near, "doc_id long, text string")),
+                      "doc_id", "text")) == {1: near[0][1], 2: ""}
+
+
 def _plain_targets(sizes):
     names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
     weights = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(names)}
