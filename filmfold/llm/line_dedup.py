@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from filmfold.llm import buckets
 from filmfold.llm.common import mixed, parity_bitmap, signed, texts, unused, wide_bits, written
@@ -159,12 +159,13 @@ def _line_sets(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFram
 
     one = lines.join(wanted, "id").groupBy("id").agg(F.min(F.struct("doc_id", "place")).alias("at"))
     places = one.groupBy("at.doc_id").agg(F.collect_set("at.place").alias("places"))
-    return docs.join(places, "doc_id").select("text", "places").mapInArrow(
+    places = places.withColumnRenamed("doc_id", "holder")  # a line may be first met under a null doc_id
+    return docs.join(places, F.col("doc_id").eqNullSafe(F.col("holder"))).select("text", "places").mapInArrow(
         run, "id long, n long, bitmap binary, wide binary, members string").dropDuplicates(["id"])
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, place) of every line to drop: near or exact repeats of a line in an earlier place.
+    """(doc_id, place, id) of every line to drop: near or exact repeats of a line in an earlier place.
 
     The line with the smallest (doc_id, place) of a component stays. Exact
     repeats are one item by their hash. Distinct lines meet in bands; a bucket's
@@ -173,8 +174,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no lines, blank lines are kept. Lines shorter than
     a shingle are compared for equality only.
-    Rows alike in doc_id and text lose the same lines. A null doc_id's lines
-    count as the first. An empty table gives no rows.
+    Rows alike in doc_id and text lose the same lines; of rows that share a
+    doc_id but not the text, each loses only lines of its own, by their ids. A
+    null doc_id's lines count as the first. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = written(_line_table(docs), "lines")
@@ -195,10 +197,24 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     groups = written(components(links), "line-groups")
 
     named = lines.select("doc_id", "place", "id").join(groups, F.col("id") == F.col("node"), "left").select(
-        "doc_id", "place", F.coalesce("component", "id").alias("item"))
+        "doc_id", "place", "id", F.coalesce("component", "id").alias("item"))
     kept = named.groupBy("item").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("c"))
     kept = written(kept.filter("c > 1").select("item", "first"), "line-kept")
-    return named.join(kept, "item").filter(F.struct("doc_id", "place") != F.col("first")).select("doc_id", "place")
+    return named.join(kept, "item").filter(F.struct("doc_id", "place") != F.col("first")).select("doc_id", "place", "id")
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _places_in(text: pa.Array, gone: pa.Array) -> pa.Array:
+    """Of lines to drop under a doc_id (place, id), the places where this text has that line."""
+    found: list[list[int] | None] = []
+    for value, drops in zip(texts(text), gone):
+        if value is None or not drops.is_valid:
+            found.append(None)
+            continue
+        here = value.split("\n")
+        found.append(sorted({d["place"] for d in drops.as_py()
+                             if d["place"] < len(here) and line_id(normal(here[d["place"]])) == d["id"]}) or None)
+    return pa.array(found, pa.list_(pa.int32()))
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -207,8 +223,10 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     Every document stays, also when no line of it does; its text is then empty.
     """
     of, gone = unused(docs, "of", "gone")
-    drops = repeated_lines(docs).groupBy(F.col("doc_id").alias(of)).agg(F.collect_set("place").alias(gone))
+    drops = repeated_lines(docs).groupBy(F.col("doc_id").alias(of)).agg(
+        F.collect_set(F.struct("place", "id")).alias(gone))
     out = docs.join(written(drops, "line-drops"), F.col("doc_id").eqNullSafe(F.col(of)), "left")
+    out = out.withColumn(gone, _places_in(F.when(F.col(gone).isNotNull(), F.col("text")), F.col(gone)))
     whole = F.col(gone).isNull()
     left = F.filter(F.split("text", "\n", -1), lambda line, place: ~F.array_contains(gone, place))
     out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(left, "\n"))) \

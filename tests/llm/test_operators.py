@@ -233,6 +233,19 @@ def test_short_lines_that_repeat_are_removed(spark):
                       "doc_id", "text")) == {1: near[0][1], 2: ""}
 
 
+def test_lines_of_rows_that_share_a_doc_id(spark):
+    rows = [(1, LINE), (2, f"{LINE}\nfirst text of two"), (2, "something else altogether, which repeats nothing\nsecond")]
+    got = line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert _rows(got, "doc_id", "text", "lines_dropped") == [
+        (1, LINE, 0), (2, "first text of two", 1), (2, rows[2][1], 0)]
+
+
+def test_lines_first_met_under_a_null_doc_id(spark):
+    rows = [(None, f"{LINE}\nmore"), (1, LINE), (2, f"{LINE}!")]
+    got = line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert _rows(got, "doc_id", "text") == sorted([(None, rows[0][1]), (1, ""), (2, "")], key=repr)
+
+
 def _plain_targets(sizes):
     names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
     weights = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(names)}
