@@ -44,6 +44,9 @@ _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
 #: Characters of context read on each side.
 WINDOW = 24
 LEAST = 0.5
+#: Candidates that a table counts as when the labelers are weighed and the classifier is fitted, whatever its size: the
+#: priors and the ridge term weigh the same in any table.
+TOTAL = 10_000.0
 
 
 class Span(NamedTuple):
@@ -209,7 +212,9 @@ def train(docs: DataFrame) -> Model:
 
     Counts are summed in each batch, then by Spark; votes and traits are a few
     yes-no values, so the patterns that reach the driver are bounded whatever
-    the input's size. Without candidates the classifier accepts nothing.
+    the input's size. The full counts are scaled to a sum of TOTAL, so a table
+    and the same mix at any other size give the same model. Without candidates
+    the classifier accepts nothing.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,6 +237,7 @@ def train(docs: DataFrame) -> Model:
         return Model({}, np.append(np.zeros(width), -30.0))
     table = np.array([[int(x) for x in r["pattern"].split(",")] for r in rows])
     counts = np.array([r["n"] for r in rows], float)
+    counts *= TOTAL / counts.sum()
     posterior, accuracy = np.zeros(len(rows)), {}
     for k, kind in enumerate(KINDS):
         here = table[:, 0] == k
@@ -240,12 +246,11 @@ def train(docs: DataFrame) -> Model:
             accuracy[kind] = {name: round(float((chances[j, 1, 1] + chances[j, 0, 0]) / 2), 4)
                               for j, name in enumerate(LABELERS)}
     features = np.column_stack([table[:, 1 + len(LABELERS):], np.ones(len(rows))])
-    weight = np.minimum(counts, 1000.0)
     theta = np.zeros(features.shape[1])
     for _ in range(50):  # Newton steps of a ridge logistic regression on soft labels
         chance = 1 / (1 + np.exp(-np.clip(features @ theta, -30, 30)))
-        slope = features.T @ (weight * (chance - posterior)) + theta
-        curve = (features * (weight * chance * (1 - chance))[:, None]).T @ features + np.eye(len(theta))
+        slope = features.T @ (counts * (chance - posterior)) + theta
+        curve = (features * (counts * chance * (1 - chance))[:, None]).T @ features + np.eye(len(theta))
         theta -= np.linalg.solve(curve, slope)
     return Model(accuracy, theta)
 

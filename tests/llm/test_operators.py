@@ -370,6 +370,24 @@ def test_personal_data(spark, odd):
     assert pii.find(docs.limit(0), pii.train(docs.limit(0))).count() == 0
 
 
+def test_personal_data_at_a_hundred_times_the_size(spark):
+    rng = random.Random(31)
+
+    def number(n):
+        return "".join(rng.choices("0123456789", k=n))
+
+    makers = [lambda: f"mail {number(3)}ab@mail{number(1)}.example.com", lambda: f"call +1 ({number(3)}) 555-{number(4)}",
+              lambda: f"tel {number(3)} {number(3)} {number(4)}", lambda: f"host 10.{number(1)}.2.{number(2)} up",
+              lambda: f"card {number(16)} was", lambda: f"+1 (269) 555-{number(4)} 4524132264652876",
+              lambda: f"x ab (at) host{number(1)} (dot) com", lambda: f"ids {number(4)}.{number(4)}.{number(4)}.{number(4)}",
+              lambda: f"sizes {number(3)}-{number(2)}-{number(4)} or", lambda: f"at 300.2.{number(2)}.4"]
+    docs = spark.createDataFrame([(i, rng.choice(makers)()) for i in range(400)], "doc_id long, text string").coalesce(2)
+    one = pii.train(docs)
+    many = pii.train(docs.crossJoin(spark.range(100).select()).coalesce(2))
+    assert np.allclose(one.weights, many.weights, atol=1e-6) and one.accuracy == many.accuracy
+    assert _rows(pii.find(docs, one), "doc_id", "spans") == _rows(pii.find(docs, many), "doc_id", "spans")
+
+
 def test_html_extraction(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     trees = htmltext.train(pages)
