@@ -1,8 +1,10 @@
 """Document fingerprints: a Merkle tree over pieces, paragraphs and sections, in built-in functions only.
 
 A line is a paragraph; a paragraph's leaves are its pieces, which end after a
-word that ends in a punctuation mark or a digit. Text without either has one
-leaf a line. A paragraph's node hashes its leaves, a section's node its paragraphs, the
+word that ends in a punctuation mark, a digit or one of some letters, and after
+characters of three bytes or more whose last byte is one of some, so text
+without punctuation or spaces has leaves of a few words or characters, too.
+A paragraph's node hashes its leaves, a section's node its paragraphs, the
 root the sections. A section ends before a paragraph whose hash starts with 0 or
 1, so an edit moves no section border but its own. The fingerprint is the root in
 full and the tree below in eight digits a node:
@@ -19,7 +21,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from filmfold.llm.common import written
 
-_PIECE_END = r"(?<=[.!?,;:0-9]) "
+#: Read on the UTF-8 bytes of a text, one character a byte: the last byte of a character from another script stands for
+#: its code point modulo 64. The full stop and comma of Chinese and Japanese are among the ends.
+_WIDE_ENDS = r"\x81\x82\x8C\x93\x9B\xA4\xAD\xB6"
+_ODD = "".join(rf"\x{byte:02X}" for byte in range(0x81, 0xC0, 2))
+_PIECE_END = (rf"(?<=[.!?,;:0-9adgklmnyADGKLMNY{_ODD}]) "
+              rf"|(?<=[\xE0-\xEF][\x80-\xBF][{_WIDE_ENDS}]|[\xF0-\xF4][\x80-\xBF][\x80-\xBF][{_WIDE_ENDS}])(?!\z)")
 _SECTION_START = r"\|(?=[01])"
 
 
@@ -33,8 +40,9 @@ def _short(digest: Column) -> Column:
 
 def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
     """Add the fingerprint of a column; null counts as empty."""
-    leaves = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1),
-                         lambda line: F.transform(F.split(line, _PIECE_END, -1), _hash))
+    octets = F.decode(F.coalesce(F.col(text), F.lit("")).cast("binary"), "ISO-8859-1")
+    leaves = F.transform(F.split(octets, "\n", -1), lambda line: F.transform(
+        F.split(line, _PIECE_END, -1), lambda piece: _hash(F.encode(piece, "ISO-8859-1"))))
     out = docs.withColumn("_leaves", leaves)
     out = out.withColumn("_nodes", F.transform("_leaves", lambda found: _hash(F.concat_ws(",", found))))
     out = out.withColumn("_sections", F.transform(
@@ -103,8 +111,8 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next. In the edit the last quarter of the text gives way
     to as many first characters (or all) of the next document's. A text crosses
-    the network once, with its fingerprint; its neighbour gets a quarter's
-    length of it.
+    the network without its fingerprint, which is worked out again after;
+    its neighbour gets the fingerprint and a quarter's length of the text.
 
     Null texts count as empty. Among rows that share a doc_id the next document
     is the one whose first characters are smallest; each row has its own
@@ -114,17 +122,16 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     links = written(next_ids(docs), "next-ids")
-    base = with_fingerprint(docs)
     ahead = links.select(F.col("doc_id").alias("before"), F.col("next_id").alias("doc_id"), "quarter")
-    heads = base.join(ahead, "doc_id").select(
+    heads = with_fingerprint(docs.join(ahead, "doc_id")).select(
         "before", F.expr("substring(text, 1, quarter)").alias("head"), F.col("fingerprint").alias("next_fingerprint"))
     heads = heads.groupBy("before").agg(F.min(F.struct("head", "next_fingerprint")).alias("next"))
-    out = base.join(heads, F.col("doc_id").eqNullSafe(F.col("before")), "left")
+    out = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("before")), "left")
     out = out.withColumn("n_chars", F.char_length("text").cast("long")) \
         .withColumn("cut", F.floor(F.col("n_chars") / 4).cast("int"))
     out = out.withColumn("edited", F.expr(
         "concat(substring(text, 1, cast(n_chars as int) - cut), substring(coalesce(next.head, ''), 1, cut))"))
-    out = with_fingerprint(out, "edited", "edited_fingerprint")
+    out = with_fingerprint(with_fingerprint(out), "edited", "edited_fingerprint")
     empty = F.concat(_hash(F.lit("")), F.lit("/"))
     return out.select(
         "doc_id", "n_chars", _hash(F.col("edited")).alias("edited_sha256"), "fingerprint", "edited_fingerprint",

@@ -327,6 +327,20 @@ def test_merkle_locates_an_edit(spark):
     assert any(leaf in sections[i] for i in r.changed)
 
 
+def test_merkle_leaves_without_punctuation(spark):
+    texts = ["the old house on the hill was sold again last spring and nobody knew who had bought it or why",
+             "apple banana melon lemon plum cherry grape onion carrot turnip leek radish",
+             "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余成岁律吕调阳云腾致雨露结为霜金生丽水玉出昆冈",
+             "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。何でも薄暗いじめじめした所で泣いていた。",
+             "ภาษาไทยเป็นภาษาที่มีระดับเสียงของคำแน่นอนหรือวรรณยุกต์เช่นเดียวกับภาษาจีน",
+             "старый дом на холме снова продали прошлой весной и никто не знал кто его купил", "buy milk and bread soon"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = merkle.edited_pairs(docs).collect()
+    assert len(rows) == len(texts)
+    assert {r.doc_id: r.near_edited for r in rows if not 0 < r.near_edited < 1} == {}
+    assert all(r.near_edited > 0.3 for r in rows if len(texts[r.doc_id]) > 40)
+
+
 def test_toxicity(spark, odd):
     docs, rows = odd
     rng = random.Random(4)
