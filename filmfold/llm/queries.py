@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from filmfold.llm import bpe, exact_dedup, htmltext, line_dedup, merkle, mixing, ngram_join, pii, token_files, toxicity
+from filmfold.llm import (
+    bpe, exact_dedup, htmltext, line_dedup, manifest, merkle, mixing, ngram_join, packing, pii, token_files, toxicity,
+)
 from filmfold.llm.common import table
 from filmfold.session import scratch_path
 
@@ -64,6 +66,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(token_files.read(spark, path))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.checksums(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
@@ -75,6 +85,8 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_ngram_join": op9_ngram_join,
     "op10_token_files": op10_token_files,
+    "op11_packing": op11_packing,
+    "op13_manifest": op13_manifest,
 }
 
 ORACLE: dict[str, str] = {
