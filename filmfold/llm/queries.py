@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from filmfold.llm import (
-    bpe, exact_dedup, htmltext, line_dedup, manifest, merkle, mixing, ngram_join, packing, pii, token_files, toxicity,
+    bpe, conversations, exact_dedup, htmltext, line_dedup, manifest, merkle, mixing, ngram_join, packing, pii, token_files, toxicity,
 )
 from filmfold.llm.common import table
 from filmfold.session import scratch_path
@@ -70,6 +70,10 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.checksums(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op9_ngram_join": op9_ngram_join,
     "op10_token_files": op10_token_files,
     "op11_packing": op11_packing,
+    "op12_conversations": op12_conversations,
     "op13_manifest": op13_manifest,
 }
 
