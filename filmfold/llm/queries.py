@@ -137,4 +137,58 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op13_manifest": r"""
+        WITH RECURSIVE table_of(i, k, c) AS (
+            SELECT i, 0, i FROM range(256) r(i) UNION ALL
+            SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM table_of WHERE k < 8),
+        sums(doc_id, k, c) AS (
+            SELECT DISTINCT doc_id, 0, 4294967295 FROM documents WHERE doc_id IS NOT NULL UNION ALL
+            SELECT s.doc_id, s.k + 1, xor(t.c, s.c >> 8) FROM sums s JOIN table_of t
+            ON t.k = 8 AND t.i = xor(s.c & 255, ascii(substr(CAST(s.doc_id AS VARCHAR), s.k + 1, 1)))
+            WHERE s.k < length(CAST(s.doc_id AS VARCHAR))),
+        hit AS (SELECT doc_id FROM sums WHERE k = length(CAST(doc_id AS VARCHAR)) AND xor(c, 4294967295) % 3 = 0),
+        rows AS (
+            SELECT d.doc_id, lang, coalesce(strlen(CAST(d.doc_id AS VARCHAR)) || ':' || d.doc_id, '-')
+                   || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+                   || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+                   text, CASE WHEN h.doc_id IS NULL THEN text
+                   ELSE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS other
+            FROM documents d LEFT JOIN hit h USING (doc_id)),
+        leaves AS (
+            SELECT doc_id, coalesce('=' || lang, '') AS grp, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                   sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS changed FROM rows),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                   count(*) OVER (PARTITION BY grp) AS n FROM leaves),
+        tree(grp, level, pos, n, digest) AS (
+            SELECT grp, 0, pos, n, leaf FROM placed UNION ALL
+            SELECT grp, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos))
+            FROM tree WHERE n > 1 GROUP BY grp, level, pos // 8, n),
+        subroots AS (
+            SELECT grp, digest, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+        top(level, pos, n, digest) AS (
+            SELECT 0, pos, n, digest FROM subroots UNION ALL
+            SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos))
+            FROM top WHERE n > 1 GROUP BY level, pos // 8, n),
+        heights AS (SELECT grp, max(level) AS height FROM tree GROUP BY grp),
+        nodes AS (SELECT grp, level, pos, digest FROM tree WHERE n > 1 UNION ALL
+                  SELECT h.grp, h.height + t.level, t.pos, t.digest FROM top t, heights h WHERE t.n > 1),
+        sides AS (
+            SELECT *, coalesce(string_agg(digest, '') OVER (PARTITION BY grp, level, pos // 8 ORDER BY pos
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS on_left,
+                   coalesce(string_agg(digest, '') OVER (PARTITION BY grp, level, pos // 8 ORDER BY pos
+                       ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS on_right
+            FROM nodes),
+        folded(doc_id, grp, leaf, level, place, pos, digest, proof) AS (
+            SELECT doc_id, grp, leaf, 0, pos, pos, changed, '' FROM placed UNION ALL
+            SELECT f.doc_id, f.grp, f.leaf, f.level + 1, f.place,
+                   CASE WHEN f.level + 1 = h.height THEN r.pos ELSE f.pos // 8 END,
+                   sha256(s.on_left || f.digest || s.on_right), f.proof || s.on_left || s.on_right
+            FROM folded f JOIN heights h USING (grp) JOIN subroots r USING (grp)
+            JOIN sides s ON s.grp = f.grp AND s.level = f.level
+                AND s.pos = CASE WHEN f.level = 0 AND h.height = 0 THEN r.pos ELSE f.pos END),
+        last AS (SELECT *, row_number() OVER (PARTITION BY grp, place ORDER BY level DESC) AS nth FROM folded)
+        SELECT l.doc_id, l.leaf, r.digest AS subroot, t.digest AS root, sha256(l.proof) AS proof_sha256,
+               l.digest AS folded_root, l.digest = t.digest AS verified
+        FROM last l JOIN subroots r USING (grp) JOIN top t ON t.n = 1 WHERE l.nth = 1""",
 }
