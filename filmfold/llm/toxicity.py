@@ -8,7 +8,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from filmfold.llm.common import hashes, mixed, signed, texts, words, written
 
@@ -18,11 +18,17 @@ THRESHOLD = 0.3
 MOST_POSITIVE, MOST_UNLABELLED = 6000, 18_000
 #: Word beginnings of these lengths are features, and whole words.
 STEMS = (4, 5, 6, 7)
-#: A feature is kept if it is in LEAST_ROWS and LEAST_SHARE of the positives, and if the prior times its share there is
-#: PRECISION or more of its share in the unlabelled text: an estimate of how many of the texts with it are toxic. Of
-#: those the MOST_FEATURES with the highest share.
-LEAST_ROWS, LEAST_SHARE, PRECISION, MOST_FEATURES = 8, 0.002, 0.6, 4000
-STEPS, RATE, DECAY = 1200, 0.2, 2e-5
+#: A feature is kept if it is in enough positives, and if the prior times its share there is PRECISION or more of its
+#: share in the unlabelled text: an estimate of how many of the texts with it are toxic. Of those the MOST_FEATURES with
+#: the highest share.
+PRECISION, MOST_FEATURES = 0.6, 4000
+#: Steps of training at most, how often the risk on the rows held back is looked at, one row in how many is held back.
+STEPS, RATE, DECAY, LOOK, BACK = 1200, 0.2, 2e-5, 25, 5
+
+
+def least_rows(n_positive: int) -> float:
+    """Positives that must hold a feature: three, one in twenty, eight, then two in a thousand, as the sample grows."""
+    return max(3, min(8, 0.05 * n_positive), 0.002 * n_positive)
 
 WORDS = regex.compile(r"\p{L}+")
 
@@ -73,20 +79,59 @@ def risk_gradient(scores: np.ndarray, positive: np.ndarray, prior: float) -> np.
     return as_positive + as_negative if negative >= 0 else -as_negative
 
 
+def risk(scores: np.ndarray, positive: np.ndarray, prior: float) -> float:
+    """The non-negative estimate itself."""
+    as_negative = np.logaddexp(0, scores)
+    negative = as_negative[~positive].mean() - prior * as_negative[positive].mean()
+    return prior * np.logaddexp(0, -scores[positive]).mean() + max(0.0, negative)
+
+
+def constant_for(scores: np.ndarray, prior: float) -> float:
+    """What to add to the scores of unlabelled text so that their mean chance is the prior."""
+    low, high = -60.0, 60.0
+    for _ in range(80):
+        middle = (low + high) / 2
+        if (1 / (1 + np.exp(-np.clip(scores + middle, -50, 50)))).mean() < prior:
+            low = middle
+        else:
+            high = middle
+    return (low + high) / 2
+
+
 def fit(rows: list[np.ndarray], positive: np.ndarray, size: int, prior: float) -> tuple[np.ndarray, float]:
-    """Weights and constant for rows of feature numbers, by Adam over the whole sample in each step."""
+    """Weights and constant for rows of feature numbers, by Adam over the whole sample in each step.
+
+    One row in BACK is held back where both kinds have some; the weights are
+    those of the step with the least risk there. The constant follows the prior
+    at every look and in the end, since steps that go back would lift it.
+    """
+    back = np.zeros(len(rows), bool)
+    for kind in (positive, ~positive):
+        back[np.flatnonzero(kind)[BACK - 1::BACK]] = True
+    if not (back & positive).any() or not (back & ~positive).any():
+        back[:] = False
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     column = np.concatenate(rows).astype(np.int64) if rows else np.empty(0, np.int64)
+    used = ~back[row]
     theta = np.zeros(size + 1)
     theta[-1] = np.log(prior / (1 - prior))
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
+    best, least = theta.copy(), np.inf
     for step in range(1, STEPS + 1):
         scores = np.bincount(row, theta[column], len(rows)) + theta[-1]
-        slope = risk_gradient(np.clip(scores, -50, 50), positive, prior)
-        gradient = np.append(np.bincount(column, slope[row], size), slope.sum()) + DECAY * np.append(theta[:-1], 0)
+        slope = np.zeros(len(rows))
+        slope[~back] = risk_gradient(np.clip(scores[~back], -50, 50), positive[~back], prior)
+        gradient = np.append(np.bincount(column[used], slope[row[used]], size), slope.sum()) + DECAY * np.append(theta[:-1], 0)
         mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient ** 2
         theta -= RATE * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.99 ** step)) + 1e-8)
-    return theta[:-1], float(theta[-1])
+        if step % LOOK == 0:
+            scores = np.bincount(row, theta[column], len(rows))
+            theta[-1] = constant_for(scores[~positive], prior)
+            looked = back if back.any() else ~back
+            found = risk(np.clip(scores[looked] + theta[-1], -50, 50), positive[looked], prior)
+            if found < least:
+                best, least = theta.copy(), found
+    return best[:-1], float(best[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -121,12 +166,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 batch = batch.append_column(f"copy{i}", pa.array(keys[:, i]))
             yield batch
 
-    # Copies of one toxic text would make each of its words look toxic, so of copies one is used.
-    sample = usable.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("positive", "text")
-    sample = sample.mapInArrow(keyed, "positive int, text string, copy0 long, copy1 long, copy2 long")
+    # Copies of one toxic text would make each of its words look toxic, so of copies the first in turn is used.
+    sample = usable.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
+        "positive", turn.alias("turn"), "text")
+    sample = sample.mapInArrow(keyed, "positive int, turn long, text string, copy0 long, copy1 long, copy2 long")
     for i in range(3):
-        sample = sample.dropDuplicates(["positive", f"copy{i}"])
-    sample = written(sample.select("positive", "text"), "sample")
+        alike = Window.partitionBy("positive", f"copy{i}").orderBy("turn", F.xxhash64("text"))
+        sample = sample.withColumn("nth", F.row_number().over(alike)).filter("nth = 1")
+    sample = written(sample.select("positive", "turn", "text"), "sample")
     n_positive, n_unlabelled = (sample.filter(f"positive = {p}").count() for p in (1, 0))
     if not n_positive or not n_unlabelled:
         return Model({}, float(np.log(prior / (1 - prior))))
@@ -142,17 +189,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     counts = sample.mapInArrow(explode, "feature string, positive int").groupBy("feature").agg(
         F.sum("positive").alias("p"), F.sum(1 - F.col("positive")).alias("u"))
     precision = prior * (F.col("p") / n_positive) / ((F.col("u") + 0.5) / n_unlabelled)
-    least = max(LEAST_ROWS, LEAST_SHARE * n_positive)
-    best = counts.filter((F.col("p") >= least) & (precision >= PRECISION)).orderBy(F.desc("p"), "feature").limit(MOST_FEATURES)
+    best = counts.filter((F.col("p") >= least_rows(n_positive)) & (precision >= PRECISION)).orderBy(F.desc("p"), "feature").limit(MOST_FEATURES)
     number = {r["feature"]: i for i, r in enumerate(best.select("feature").collect())}
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sorted(number[f] for f in document_features(t) & number.keys()) for t in texts(batch["text"])]
             yield pa.RecordBatch.from_arrays(
-                [batch["positive"], pa.array(found, pa.list_(pa.int32()))], names=["positive", "features"])
+                [batch["positive"], batch["turn"], pa.array(found, pa.list_(pa.int32()))], names=["positive", "turn", "features"])
 
-    rows = sample.mapInArrow(select, "positive int, features array<int>").toArrow()
+    rows = sample.mapInArrow(select, "positive int, turn long, features array<int>").toArrow()
+    rows = rows.sort_by([("turn", "ascending"), ("positive", "ascending")])
     arrays = [np.array(x, np.int64) for x in rows["features"].to_pylist()]
     weights, bias = fit(arrays, rows["positive"].to_numpy().astype(bool), len(number), prior)
     return Model({f: float(weights[i]) for f, i in number.items()}, bias)

@@ -61,3 +61,22 @@ def test_no_documents(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_at_the_size_of_the_check(spark):
+    """Every stage leaves most of what it is given, the filtering ones take something, and clean documents stay."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stages, count = dict(corpus_pipeline.STAGES), {"documents": docs.count()}
+    for name in ("toxicity", "line_dedup", "ngram_join", "mixing", "bpe"):
+        docs = written(stages[name](spark, docs, sf), "test-stage")
+        count[name] = docs.count()
+        if name == "toxicity":
+            kept = {r.doc_id for r in docs.select("doc_id").collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    clean, toxic = ([r.doc_id for r in labels if r.toxic == t] for t in (0, 1))
+    assert sum(d in kept for d in clean) >= 0.95 * len(clean)
+    assert sum(d in kept for d in toxic) <= 0.4 * len(toxic)
+    assert 0.8 * count["documents"] <= count["toxicity"] < count["documents"]
+    assert 0.5 * count["toxicity"] <= count["ngram_join"] <= count["line_dedup"] <= count["toxicity"]
+    assert count["ngram_join"] < count["toxicity"] and count["mixing"] > 0 and count["bpe"] == count["mixing"]
