@@ -41,6 +41,15 @@ def one_user(spark, sf_dir, trained):
     )
 
 
+def one_user_clustered(spark, sf_dir, trained, user_id=1):
+    """The same question to tables clustered by user; they are written with the model, not with the answer."""
+    vectors = artifacts.vectors_by_user(spark, sf_dir, "model", lambda: trained.userFactors)
+    return recommend.answer_user(
+        vectors, trained.itemFactors, artifacts.ratings_by_user(spark, sf_dir),
+        artifacts.titles_by_film(spark, sf_dir), user_id,
+    )
+
+
 def one_user_stored(spark, sf_dir):
     """The same question answered from the written picks."""
     return artifacts.model_top(spark, sf_dir).filter("userId = 1")
@@ -60,14 +69,19 @@ def main() -> None:
     runs = {name: queries.QUERIES[name] for name in HEADLINE}
     loaded = []
 
-    def warm(spark, sf_dir):
+    def scan(spark, sf_dir):
         return one_user(spark, sf_dir, loaded[0])
 
-    runs |= {"one_user_cold": one_user_cold, "one_user": warm, "one_user_stored": one_user_stored}
+    def warm(spark, sf_dir):
+        return one_user_clustered(spark, sf_dir, loaded[0])
+
+    runs |= {"one_user_cold": one_user_cold, "one_user_scan": scan, "one_user": warm, "one_user_stored": one_user_stored}
     seconds = {}
     for name, run in runs.items():
-        if run is warm:
+        if run is scan:
             loaded.append(artifacts.trained_model(spark, sf_dir))
+        if run is warm:  # the tables are written, and another user has asked before
+            one_user_clustered(spark, sf_dir, loaded[0], user_id=2).collect()
         start = time.perf_counter()
         run(spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)

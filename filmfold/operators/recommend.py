@@ -8,6 +8,7 @@ from filmfold import fixed
 from filmfold.functions import genres as G, numbers as N, titles as T
 from filmfold.operators import scoring
 from filmfold.operators.skew import plain_join
+from filmfold.sources import layout
 
 KEYS = ["userId", "movieId"]
 
@@ -125,6 +126,40 @@ def recommend_user(
     return with_metadata(kept, movies).orderBy(F.desc("score"), "movieId")
 
 
+def answer_user(
+    vectors: DataFrame, item_factors: DataFrame, ratings: layout.UserTable, movies: DataFrame,
+    user_id: int, k: int = fixed.TOP_N,
+) -> DataFrame:
+    """:func:`recommend_user` from clustered tables, as three short jobs.
+
+    ``vectors`` (userId, features) is bucketed by user and ``movies`` sorted by
+    id, so the vector, the user's rows among the k picks and their titles each
+    come from one file or a few row groups; only the film vectors are scanned,
+    and each task keeps k of them. The vector and the k picks pass through the
+    driver, and nothing that grows. Expressions are SQL text, since building
+    them call by call takes longer than the jobs.
+    """
+    spark, user_id = vectors.sparkSession, int(user_id)
+    schema = "userId bigint, movieId bigint, score double, title string, genres string"
+    mine = vectors.filter(f"userId = {user_id}").select("features").head(1)
+    if not mine:
+        return spark.createDataFrame([], schema)
+    vector = ", ".join(f"{float(x)!r}D" for x in mine[0]["features"])
+    score = (f"aggregate(zip_with(features, array({vector}), (a, b) -> cast(a AS double) * b), 0D, (s, x) -> s + x)")
+    picks = item_factors.selectExpr("id AS movieId", f"{score} AS score").filter("score IS NOT NULL") \
+        .orderBy("score", "movieId", ascending=[False, True]).limit(k).collect()
+    if not picks:
+        return spark.createDataFrame([], schema)
+    among = f"movieId IN ({', '.join(str(p.movieId) for p in picks)})"
+    seen = layout.history(ratings, user_id).filter(among).selectExpr("movieId", "true AS seen", "NULL AS title", "NULL AS genres")
+    found = seen.union(movies.filter(among).selectExpr("movieId", "false", "title", "genres")).collect()
+    gone = {r.movieId for r in found if r.seen}
+    titles = {r.movieId: (r.title, r.genres) for r in found if not r.seen}
+    return spark.createDataFrame([
+        (user_id, p.movieId, p.score, *titles.get(p.movieId, (None, None))) for p in picks if p.movieId not in gone
+    ], schema)
+
+
 def nested_picks(picks: DataFrame, users: DataFrame) -> DataFrame:
     """One row per user with the remaining picks in order; empty lists included.
     A list holds at most k entries."""

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from filmfold.operators import films, model, recommend
 from filmfold.session import materialise, scratch_path
-from filmfold.sources import views
+from filmfold.sources import layout, views
 
 _DONE: dict[tuple[str, tuple, str], object] = {}
 
@@ -76,6 +76,33 @@ def ratings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(spark, sf_dir, "ratings", lambda: views.ratings(spark, sf_dir))
 
 
+def ratings_by_user(spark: SparkSession, sf_dir: str) -> layout.UserTable:
+    """Ratings clustered by user."""
+    return _once(spark, sf_dir, "ratings-by-user", lambda: layout.cluster(ratings_table(spark, sf_dir)))
+
+
+def picks_by_user(spark: SparkSession, sf_dir: str) -> layout.UserTable:
+    """Top films by given vectors, before exclusion, clustered like the ratings."""
+    return _once(spark, sf_dir, "picks-by-user", lambda: layout.cluster(
+        vector_top(spark, sf_dir), like=ratings_by_user(spark, sf_dir)))
+
+
+def vectors_by_user(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """User vectors (id, features) as ``build`` gives them, bucketed by userId."""
+    def make() -> DataFrame:
+        vectors = build().withColumnRenamed("id", "userId")
+        buckets = layout.bucket_count(spark, vectors.count())
+        return layout.bucketed(vectors, scratch_path(spark, "vectors"), "userId", buckets, ["userId"])
+
+    return _once(spark, sf_dir, f"vectors-by-user-{name}", make)
+
+
+def titles_by_film(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue sorted by film over all files, so that a few ids are a few row groups."""
+    return written(spark, sf_dir, "titles", lambda: views.movies(spark, sf_dir).repartitionByRange(
+        "movieId").sortWithinPartitions("movieId"))
+
+
 def model_path(spark: SparkSession, sf_dir: str) -> str:
     """Folder of the model trained on the 80 % hash split, trained on first use."""
     def make() -> str:

@@ -428,6 +428,15 @@ ORACLES = {
         JOIN user_factors u ON u.id = r.userId JOIN item_factors i ON i.id = r.movieId""",
     "topk_per_user": "SELECT userId, rank, movieId, round(score, 6) AS score FROM vector_top_all",
     "exclude_rated": "SELECT userId, rank, movieId, round(score, 6) AS score FROM vector_picks",
+    "exclude_rated_clustered": "SELECT userId, rank, movieId, round(score, 6) AS score FROM vector_picks",
+    "rated_sets_clustered": "SELECT DISTINCT userId, movieId FROM ratings",
+    "user_counts_clustered": "SELECT userId, count(*) AS n FROM ratings GROUP BY userId",
+    "one_user_history": 'SELECT userId, movieId, rating, "timestamp" FROM ratings WHERE userId = 1',
+    "one_user_given": """
+        SELECT t.userId, t.movieId, round(t.score, 6) AS score, m.title, m.genres
+        FROM (SELECT * FROM vector_top_all WHERE userId = 1) t ANTI JOIN ratings r
+             ON r.userId = t.userId AND r.movieId = t.movieId
+        LEFT JOIN movies m ON m.movieId = t.movieId""",
     "ranked_list": """
         SELECT userId, movieId, round(score, 6) AS score, CAST(n AS INTEGER) AS rank,
                lpad(CAST(n AS VARCHAR), 2, '0') AS rank_label

@@ -18,12 +18,13 @@ from filmfold.operators import (
 )
 from filmfold.plans import artifacts as A
 from filmfold.session import materialise, scratch_path
-from filmfold.sources import readers, views as V, writers
+from filmfold.sources import layout, readers, views as V, writers
 
 MIN_SUPPORT = 40
 MIN_FILM_RATINGS = 20
 POOL_MIN = 38
 TIERS = [40, 35, 25]
+ONE_USER = 1
 REACH = {"popular": (40, None), "balanced": (30, None), "gems": (20, 35)}
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -503,6 +504,38 @@ def exclude_rated(spark, sf):
     return picks.withColumn("score", F.round("score", 6))
 
 
+@query
+def exclude_rated_clustered(spark, sf):
+    """The same rows from tables clustered by user, without a shuffle."""
+    picks = layout.exclude_rated(A.picks_by_user(spark, sf), A.ratings_by_user(spark, sf))
+    return picks.select("userId", "rank", "movieId", F.round("score", 6).alias("score"))
+
+
+@query
+def rated_sets_clustered(spark, sf):
+    return layout.rated_pairs(A.ratings_by_user(spark, sf))
+
+
+@query
+def user_counts_clustered(spark, sf):
+    return layout.user_counts(A.ratings_by_user(spark, sf))
+
+
+@query
+def one_user_history(spark, sf):
+    """One user's ratings: one bucket is read."""
+    return layout.history(A.ratings_by_user(spark, sf), ONE_USER).select("userId", "movieId", "rating", "timestamp")
+
+
+@query
+def one_user_given(spark, sf):
+    """One user's answer by given vectors, from clustered tables."""
+    vectors = A.vectors_by_user(spark, sf, "given", lambda: V.user_factors(spark, sf))
+    answer = recommend.answer_user(
+        vectors, V.item_factors(spark, sf), A.ratings_by_user(spark, sf), A.titles_by_film(spark, sf), ONE_USER)
+    return answer.withColumn("score", F.round("score", 6))
+
+
 @query
 def ranked_list(spark, sf):
     """Remaining picks, renumbered."""
