@@ -98,15 +98,20 @@ def resolve_posters(
     )
 
 
-def upsert_posters(
+def found_posters(
     saved: DataFrame, movies: DataFrame, links: DataFrame, catalogue: DataFrame, base: str = IMAGE_BASE
 ) -> DataFrame:
-    """Saved map plus what can be found for films it lacks; saved entries never change."""
+    """What can be found for films that the saved map lacks."""
     todo = movies.join(saved, "movieId", "left_anti")
     found = resolve_posters(todo, links, catalogue, base).filter(F.col("url").isNotNull())
-    return saved.select("movieId", "url").unionByName(
-        found.select("movieId", saved_size(F.col("url")).alias("url"))
-    )
+    return found.select("movieId", saved_size(F.col("url")).alias("url"))
+
+
+def upsert_posters(
+    saved: DataFrame, movies: DataFrame, links: DataFrame, catalogue: DataFrame, base: str = IMAGE_BASE
+) -> DataFrame:
+    """Saved map plus what can be found for films it lacks; saved entries never change."""
+    return saved.select("movieId", "url").unionByName(found_posters(saved, movies, links, catalogue, base))
 
 
 def missing_posters(movies: DataFrame, posters: DataFrame) -> DataFrame:

@@ -321,6 +321,28 @@ ORACLES = {
     "scan_csv_ratings": "SELECT * FROM ratings",
     "sink_csv_roundtrip": "SELECT * FROM movies",
     "sink_full_refresh": "SELECT count(*) AS n_users, count(DISTINCT zip) AS n_zip FROM users",
+    "refresh_versions": """
+        SELECT 'before' AS version, rating, count(*) AS n FROM ratings GROUP BY rating
+        UNION ALL SELECT 'current', rating, count(*) FROM ratings WHERE rating = 5 GROUP BY rating""",
+    "counts_while_writing": """
+        SELECT table_name, column_name, CAST(n_rows AS BIGINT) AS n_rows, CAST(n_null AS BIGINT) AS n_null FROM (
+        SELECT count(*) AS n_rows, 'ratings' AS table_name, unnest(['userId', 'movieId', 'rating', 'timestamp']) AS column_name,
+               unnest([count(*) - count(userId), count(*) - count(movieId), count(*) - count(rating),
+                       count(*) - count("timestamp")]) AS n_null FROM ratings
+        UNION ALL
+        SELECT count(*), 'movies', unnest(['movieId', 'title', 'genres']),
+               unnest([count(*) - count(movieId), count(*) - count(title), count(*) - count(genres)]) FROM movies
+        UNION ALL
+        SELECT count(*), 'users', unnest(['userId', 'gender', 'age', 'occupation', 'zip']),
+               unnest([count(*) - count(userId), count(*) - count(gender), count(*) - count(age),
+                       count(*) - count(occupation), count(*) - count(zip)]) FROM users
+        UNION ALL
+        SELECT count(*), 'posters', unnest(['movieId', 'title', 'genres', 'url']),
+               unnest([count(*) - count(movieId), count(*) - count(title), count(*) - count(genres),
+                       count(*) - count(url)]) FROM movies LEFT JOIN posters USING (movieId)
+        UNION ALL
+        SELECT count(*), 'links', unnest(['movieId', 'tmdbId']),
+               unnest([count(*) - count(movieId), count(*) - count(tmdbId)]) FROM links)""",
     "links_nonblank": "SELECT * FROM links WHERE tmdbId <> ''",
     "json_map_explode": "SELECT * FROM posters",
     "requests_table": """
@@ -409,6 +431,7 @@ ORACLES = {
                CAST(name_pos AS INTEGER) AS name_pos FROM matched""",
     "poster_resolve": "SELECT * FROM resolved",
     "poster_upsert": "SELECT * FROM upserted",
+    "poster_upsert_slots": "SELECT * FROM upserted",
     "poster_missing": "SELECT movieId, title FROM movies ANTI JOIN upserted USING (movieId)",
     "match_coverage": """
         SELECT n_posters, n_movies, round(100.0::DOUBLE * n_posters / n_movies, 1) AS coverage_pct

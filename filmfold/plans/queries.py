@@ -18,13 +18,14 @@ from filmfold.operators import (
 )
 from filmfold.plans import artifacts as A
 from filmfold.session import materialise, scratch_path
-from filmfold.sources import layout, readers, views as V, writers
+from filmfold.sources import layout, readers, slots, versions, views as V, writers
 
 MIN_SUPPORT = 40
 MIN_FILM_RATINGS = 20
 POOL_MIN = 38
 TIERS = [40, 35, 25]
 ONE_USER = 1
+SLOT_FILMS = 100
 REACH = {"popular": (40, None), "balanced": (30, None), "gems": (20, 35)}
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,12 +209,35 @@ def sink_full_refresh(spark, sf):
     """Load twice; the second load replaces the first, it does not add to it."""
     path = scratch_path(spark, "users")
     users = V.users(spark, sf)
-    writers.full_refresh(users, path)
-    writers.full_refresh(users, path)
-    stored = spark.read.schema(schemas.USERS).parquet(path)
+    versions.refresh(users, path)
+    versions.refresh(users, path)
+    stored = versions.read(spark, path, schemas.USERS)
     return stored.agg(F.count(F.lit(1)).alias("n_users"), F.count_distinct("zip").alias("n_zip"))
 
 
+@query
+def refresh_versions(spark, sf):
+    """Ratings by stars as two loads leave them: the second has those of five stars only, the first is still there."""
+    path = scratch_path(spark, "ratings")
+    ratings = V.ratings(spark, sf)
+    first = versions.refresh(ratings, path)
+    versions.refresh(ratings.filter("rating = 5"), path)
+    tables = {"current": versions.read(spark, path, schemas.RATINGS),
+              "before": spark.read.schema(schemas.RATINGS).parquet(f"{path}/{first.folder}")}
+    return reduce(DataFrame.unionByName, [
+        profile.rating_histogram(df).withColumn("version", F.lit(name)) for name, df in tables.items()])
+
+
+@query
+def counts_while_writing(spark, sf):
+    """Rows and nulls of each column, observed while the tables are written."""
+    tables = _named_tables(spark, sf)
+    tables["posters"] = tables["movies"].join(V.posters(spark, sf), "movieId", "left")
+    tables["links"] = V.links(spark, sf)
+    return versions.column_counts(
+        {name: versions.refresh(df, scratch_path(spark, name)) for name, df in tables.items()}, spark)
+
+
 @query
 def links_nonblank(spark, sf):
     path = scratch_path(spark, "links.csv")
@@ -447,6 +471,16 @@ def poster_upsert(spark, sf):
     return readers.read_json_map(spark, path)
 
 
+@query
+def poster_upsert_slots(spark, sf):
+    """The same map in slots of ids, of which the upsert rewrites those that get an entry."""
+    path, saved = scratch_path(spark, "poster-slots"), V.posters(spark, sf)
+    slots.upsert(saved, path, SLOT_FILMS)
+    found = matching.found_posters(saved, V.movies(spark, sf), V.links(spark, sf), V.external_catalogue(spark, sf))
+    slots.upsert(found, path, SLOT_FILMS)
+    return slots.read(spark, path).select("movieId", "url")
+
+
 @query
 def poster_missing(spark, sf):
     path = scratch_path(spark, "posters-missing.tsv")

@@ -72,6 +72,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of this library, in any file system that Spark reads."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def scale_settings(input_bytes: float, partition_bytes: int = 128 << 20) -> dict[str, str]:
     """Settings that follow the input size: shuffle partitions of about 128 MB,
     merged again by adaptive execution where a stage turns out smaller."""

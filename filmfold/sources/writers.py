@@ -20,11 +20,6 @@ def write_dat(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
     )
 
 
-def full_refresh(df: DataFrame, path: str) -> None:
-    """Replace a table with new rows; count it afterwards from the written file."""
-    df.write.mode("overwrite").parquet(path)
-
-
 def film_line(*, title: str = "title", features: str = "q") -> F.Column:
     """Compact JSON array of one film; numbers stay bare, the title is escaped."""
     quoted = F.to_json(F.array(F.col(title)))

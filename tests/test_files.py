@@ -62,13 +62,6 @@ def test_film_lines_escape_titles(spark):
     assert got[7].features == [i / 1000 for i in range(10)]
 
 
-def test_full_refresh_replaces(spark):
-    path = scratch_path(spark, "t")
-    writers.full_refresh(spark.range(10), path)
-    writers.full_refresh(spark.range(3), path)
-    assert spark.read.parquet(path).count() == 3
-
-
 def test_pick_sinks(spark):
     schema = "userId int, picks array<struct<movieId:int,score:double>>"
     picks = spark.createDataFrame([(2, [(5, 4.5)]), (1, [])], schema)
