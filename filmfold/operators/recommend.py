@@ -72,6 +72,17 @@ def valid_requests(raw_ids: DataFrame, column: str = "raw_id") -> DataFrame:
     )
 
 
+def rejected_requests(raw_ids: DataFrame, column: str = "raw_id") -> DataFrame:
+    """The request ids that :func:`valid_requests` does not accept, and why."""
+    trimmed = F.regexp_replace(F.coalesce(column, F.lit("")), r"^\s+|\s+$", "")
+    reason = (
+        F.when(trimmed == "", F.lit("blank"))
+        .when(~F.rlike(trimmed, F.lit(r"^\d+$")), F.lit("not a number"))
+        .when(~F.rlike(trimmed, F.lit(fixed.USER_ID_PATTERN)), F.lit("too long"))
+    )
+    return raw_ids.select(column, reason.alias("reason")).filter("reason IS NOT NULL")
+
+
 def picks_from_vectors(
     user_factors: DataFrame, item_factors: DataFrame, ratings: DataFrame, k: int = fixed.TOP_N
 ) -> DataFrame:

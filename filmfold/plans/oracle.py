@@ -345,6 +345,43 @@ ORACLES = {
                unnest([count(*) - count(movieId), count(*) - count(tmdbId)]) FROM links)""",
     "links_nonblank": "SELECT * FROM links WHERE tmdbId <> ''",
     "json_map_explode": "SELECT * FROM posters",
+    "ratings_checked": """
+        SELECT userId, movieId, CASE WHEN kind NOT IN (1, 2) THEN rating END AS rating,
+               CASE WHEN kind <> 0 THEN "timestamp" END AS "timestamp",
+               CASE WHEN kind < 4 THEN userId || '::' || movieId || '::'
+                   || CASE kind WHEN 1 THEN 'x' || rating WHEN 2 THEN '' ELSE CAST(rating AS VARCHAR) END
+                   || CASE WHEN kind = 0 THEN '' ELSE '::' || "timestamp" END
+                   || CASE WHEN kind = 3 THEN '::more' ELSE '' END END AS line,
+               CASE WHEN kind IN (0, 3) THEN 'not 4 fields' WHEN kind = 1 THEN 'rating: ''x' || rating || ''' is no int'
+                   WHEN kind = 2 THEN 'rating is missing' END AS reason
+        FROM (SELECT *, movieId % 9 AS kind FROM ratings)""",
+    "movies_checked": """
+        SELECT CASE WHEN movieId % 5 <> 0 THEN movieId END AS movieId,
+               CASE WHEN movieId % 7 <> 0 THEN '"' || title || '", cut' END AS title, genres,
+               CASE WHEN movieId % 5 = 0 OR movieId % 7 = 0 THEN
+                   CASE WHEN movieId % 5 = 0 THEN 'no. ' ELSE '' END || movieId || ','
+                   || CASE WHEN movieId % 7 = 0 THEN '' ELSE '"' || '""' || title || '"", cut"' END || ',' || genres END AS line,
+               CASE WHEN movieId % 5 = 0 THEN 'movieId: ''no. ' || movieId || ''' is no bigint'
+                    WHEN movieId % 7 = 0 THEN 'title is missing' END AS reason
+        FROM movies""",
+    "json_map_checked": """
+        SELECT CASE WHEN movieId % 7 <> 0 AND movieId % 5 <> 0 THEN movieId END AS movieId,
+               CASE WHEN movieId % 7 <> 0 THEN url END AS url,
+               CASE WHEN movieId % 7 = 0 THEN '[' || movieId
+                    WHEN movieId % 5 = 0 THEN '{"film ' || movieId || '":"' || url || '"}' END AS line,
+               CASE WHEN movieId % 7 = 0 THEN 'not a JSON object'
+                    WHEN movieId % 5 = 0 THEN 'key ''film ' || movieId || ''' is no film id' END AS reason
+        FROM posters""",
+    "rejected_ids": r"""
+        SELECT raw_id, reason FROM (
+            SELECT raw_id, CASE WHEN trim(raw_id) = '' THEN 'blank'
+                   WHEN NOT regexp_full_match(trim(raw_id), '\d+') THEN 'not a number'
+                   WHEN length(trim(raw_id)) > 7 THEN 'too long' END AS reason
+            FROM (SELECT '  ' || c_custkey || ' ' AS raw_id FROM customer
+                  UNION ALL SELECT c_name FROM customer
+                  UNION ALL SELECT '12345' || lpad(CAST(c_custkey AS VARCHAR), 5, '0') FROM customer
+                  UNION ALL SELECT c_custkey || '.5' FROM customer))
+        WHERE reason IS NOT NULL""",
     "requests_table": """
         SELECT reqId, mood, coalesce(genres, '') AS genres, era, reach
         FROM requests LEFT JOIN mood_masks USING (mood)""",

@@ -18,7 +18,7 @@ from filmfold.operators import (
 )
 from filmfold.plans import artifacts as A
 from filmfold.session import materialise, scratch_path
-from filmfold.sources import layout, readers, slots, versions, views as V, writers
+from filmfold.sources import layout, readers, rejects, slots, versions, views as V, writers
 
 MIN_SUPPORT = 40
 MIN_FILM_RATINGS = 20
@@ -252,6 +252,45 @@ def json_map_explode(spark, sf):
     return readers.read_json_map(spark, path)
 
 
+def _checked(checked):
+    """Accepted rows and rejects in one table."""
+    return checked.rows.select(
+        *checked.columns, F.when(F.col("reason").isNotNull(), F.col("line")).alias("line"), "reason")
+
+
+@query
+def ratings_checked(spark, sf):
+    """A file of ratings in which some lines are broken: a field missing or too many, no number, no rating."""
+    path, kind = scratch_path(spark, "ratings-broken.dat"), F.col("movieId") % 9
+    stars = F.col("rating").cast("string")
+    line = F.concat_ws(
+        "::", F.col("userId").cast("string"), F.col("movieId").cast("string"),
+        F.when(kind == 1, F.concat(F.lit("x"), stars)).when(kind == 2, F.lit("")).otherwise(stars),
+        F.when(kind != 0, F.col("timestamp").cast("string")), F.when(kind == 3, F.lit("more")))
+    V.ratings(spark, sf).select(line.alias("value")).write.text(path)
+    return _checked(rejects.read_dat_ratings(spark, path))
+
+
+@query
+def movies_checked(spark, sf):
+    """The catalogue as a CSV file with quoted titles; some ids are no numbers, some titles are missing."""
+    path, key = scratch_path(spark, "movies-broken.csv"), F.col("movieId")
+    writers.write_csv(V.movies(spark, sf).select(
+        F.when(key % 5 == 0, F.concat(F.lit("no. "), key)).otherwise(key.cast("string")).alias("movieId"),
+        F.when(key % 7 != 0, F.concat(F.lit('"'), "title", F.lit('", cut'))).alias("title"), "genres"), path)
+    return _checked(rejects.read_csv(spark, path, schemas.MOVIES, ["movieId", "title"]))
+
+
+@query
+def json_map_checked(spark, sf):
+    """Poster addresses as JSON lines, of which some are cut off and some have no film id."""
+    path, key = scratch_path(spark, "posters-broken.json"), F.col("movieId")
+    name = F.when(key % 5 == 0, F.concat(F.lit("film "), key)).otherwise(key.cast("string"))
+    line = F.when(key % 7 == 0, F.concat(F.lit("["), key)).otherwise(F.to_json(F.create_map(name, F.col("url"))))
+    V.posters(spark, sf).select(line.alias("value")).write.text(path)
+    return _checked(rejects.read_json_map(spark, path))
+
+
 @query
 def requests_table(spark, sf):
     return _requests(spark, sf).select("reqId", "mood", F.array_join("genres", "|").alias("genres"), "era", "reach")
@@ -334,8 +373,7 @@ def known_user_flag(spark, sf):
     return recommend.known_users(_customers(spark, sf), V.user_factors(spark, sf))
 
 
-@query
-def validate_ids(spark, sf):
+def _raw_ids(spark, sf):
     customer = V.table(spark, sf, "customer")
     key = F.col("c_custkey").cast("string")
     raw = F.inline(F.array(
@@ -344,7 +382,17 @@ def validate_ids(spark, sf):
         F.struct(F.concat(F.lit("12345"), F.lpad(key, 5, "0")).alias("raw_id")),
         F.struct(F.concat(key, F.lit(".5")).alias("raw_id")),
     ))
-    return recommend.valid_requests(customer.select(raw))
+    return customer.select(raw)
+
+
+@query
+def validate_ids(spark, sf):
+    return recommend.valid_requests(_raw_ids(spark, sf))
+
+
+@query
+def rejected_ids(spark, sf):
+    return recommend.rejected_requests(_raw_ids(spark, sf))
 
 
 @query
