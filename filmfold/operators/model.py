@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from filmfold import fixed
-from filmfold.session import ensure_checkpoint_dir
+from filmfold.session import ensure_checkpoint_dir, materialise
 
 SEED = 42
 BLOCK_ROWS = 2_000_000  # ratings of one block, held by one task
+PARALLEL_FITS = 3  # settings tried side by side
 
 
 def als_input(ratings: DataFrame) -> DataFrame:
@@ -82,16 +85,27 @@ def global_mean_rmse(train_set: DataFrame, test_set: DataFrame) -> DataFrame:
     return rmse(test_set.withColumn("prediction", mean))
 
 
-def tuned_models(train_set: DataFrame, configs=None) -> list[tuple[tuple, ALSModel]]:
-    """A model for every (rank, reg, iterations) setting.
+def tuned_models(train_set: DataFrame, configs=None, parallel: int = PARALLEL_FITS) -> list[tuple[tuple, ALSModel]]:
+    """A model for every (rank, reg, iterations) setting, ``parallel`` of them fitted side by side.
 
-    The settings are a list, not a cross product. The training set is read once
-    per fit, so pass a written or cached table.
+    The settings are a list, not a cross product. The training set is written
+    once and read by all fits; each holds its own blocks, so ``parallel`` bounds
+    their memory.
     """
-    configs = configs or fixed.TUNING_CONFIGS
-    als = estimator(train_set.sparkSession, blocks=block_count(train_set))
+    configs = list(configs or fixed.TUNING_CONFIGS)
+    spark = train_set.sparkSession
+    written = materialise(als_input(train_set), "tuning-set")
+    als = estimator(spark, blocks=block_count(written))
     maps = [{als.rank: r, als.regParam: reg, als.maxIter: n} for r, reg, n in configs]
-    return list(zip(configs, als.fit(als_input(train_set), maps)))
+    fits, models = als.fitMultiple(written, maps), [None] * len(maps)
+
+    def fit_next(_: int) -> None:
+        index, fitted = next(fits)
+        models[index] = fitted
+
+    with ThreadPool(max(1, min(parallel, len(maps)))) as pool:
+        pool.map(inheritable_thread_target(spark)(fit_next), range(len(maps)), chunksize=1)
+    return list(zip(configs, models))
 
 
 def tune(models: list[tuple[tuple, ALSModel]], test_set: DataFrame) -> DataFrame:

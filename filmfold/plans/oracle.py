@@ -143,6 +143,36 @@ VIEWS = {
     "test": "SELECT * FROM split WHERE bucket >= 8",
     "scored_test": """
         SELECT * FROM test WHERE userId IN (SELECT userId FROM train) AND movieId IN (SELECT movieId FROM train)""",
+    # --- quality of lists
+    "test_lists": """
+        SELECT userId, movieId, row_number() OVER (PARTITION BY userId ORDER BY score DESC, movieId) AS rank
+        FROM vector_top_all SEMI JOIN vector_users USING (userId) ANTI JOIN train USING (userId, movieId)""",
+    "list_metrics": """
+        WITH gains AS (
+            SELECT f.relevant_from, t.userId, t.movieId, pow(2.0::DOUBLE, max(t.rating)) - 1 AS gain
+            FROM test t JOIN (SELECT unnest([3, 4, 5]) AS relevant_from) f ON t.rating >= f.relevant_from
+            GROUP BY f.relevant_from, t.userId, t.movieId),
+        ideal AS (
+            SELECT relevant_from, userId, count(*) AS n_relevant, sum(CASE WHEN place <= 10 THEN gain / log2(place + 1) END) AS ideal
+            FROM (SELECT *, row_number() OVER (PARTITION BY relevant_from, userId ORDER BY gain DESC, movieId) AS place FROM gains)
+            GROUP BY relevant_from, userId),
+        hits AS (
+            SELECT g.relevant_from, g.userId, count(*) AS n_hits, sum(g.gain / log2(l.rank + 1)) AS dcg
+            FROM gains g JOIN test_lists l ON l.userId = g.userId AND l.movieId = g.movieId AND l.rank <= 10
+            GROUP BY g.relevant_from, g.userId)
+        SELECT i.relevant_from, i.userId, i.n_relevant, coalesce(h.n_hits, 0) AS n_hits, coalesce(h.n_hits, 0) / 10.0::DOUBLE AS precision,
+               coalesce(h.n_hits, 0)::DOUBLE / i.n_relevant AS recall, coalesce(h.dcg, 0) / i.ideal AS ndcg
+        FROM ideal i LEFT JOIN hits h ON h.relevant_from = i.relevant_from AND h.userId = i.userId""",
+    "film_bits": """
+        SELECT movieId, log2((SELECT count(DISTINCT userId) FROM ratings)::DOUBLE / count(DISTINCT userId)) AS bits
+        FROM ratings GROUP BY movieId""",
+    "event_counts": """
+        SELECT userId, movieId, CAST(sum(w) AS DOUBLE) AS rating FROM (
+            SELECT CAST(user_id AS BIGINT) AS userId, CAST(json_extract_string(props, '$.k') AS BIGINT) AS movieId,
+                   CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 4 END AS w FROM events)
+        WHERE w IS NOT NULL AND userId IS NOT NULL AND movieId IS NOT NULL GROUP BY userId, movieId""",
+    "event_split": """
+        SELECT *, CAST('0x' || substr(md5(userId || ':' || movieId), 1, 7) AS BIGINT) % 10 AS bucket FROM event_counts""",
     # --- films
     "film_table": """
         SELECT c.movieId, m.title, coalesce(y.year, 0) AS year, k.mask, CAST(c.cnt AS INTEGER) AS cnt,
@@ -558,6 +588,40 @@ ORACLES = {
                t.movieId, m.title, m.genres, round_even(t.score, 2) AS predictedRating
         FROM (SELECT * FROM vector_top_all SEMI JOIN customers USING (userId) ANTI JOIN ratings USING (userId, movieId)) t
         LEFT JOIN movies m USING (movieId)""",
+    "ranking_per_user": """
+        SELECT userId, n_relevant, n_hits, round(precision, 6) AS precision, round(recall, 6) AS recall, round(ndcg, 6) AS ndcg
+        FROM list_metrics WHERE relevant_from = 4""",
+    "ranking_summary": """
+        SELECT relevant_from, count(*) AS n_users, count(*) FILTER (n_hits > 0) AS n_users_hit, round(avg(precision), 6) AS precision,
+               round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg
+        FROM list_metrics GROUP BY relevant_from""",
+    "film_self_information": "SELECT movieId, round(bits, 6) AS bits FROM film_bits",
+    "novelty_per_list": """
+        SELECT p.userId, count(*) AS n_films, count(*) - count(bits) AS n_unrated, round(avg(bits), 6) AS novelty
+        FROM vector_picks p LEFT JOIN film_bits USING (movieId) GROUP BY p.userId""",
+    "catalogue_exposure": """
+        SELECT count(*) AS n_films, count(*) FILTER (times > 0) AS n_shown,
+               round(count(*) FILTER (times > 0)::DOUBLE / count(*), 6) AS coverage, CAST(sum(times) AS BIGINT) AS n_slots,
+               round(sum((2 * place - count_all - 1)::DOUBLE * times) / (any_value(count_all) * sum(times)::DOUBLE), 6) AS gini
+        FROM (SELECT times, row_number() OVER (ORDER BY times) AS place, count(*) OVER () AS count_all
+              FROM (SELECT m.movieId, count(p.userId) AS times FROM movies m LEFT JOIN vector_picks p USING (movieId) GROUP BY m.movieId))""",
+    "implicit_confidence": """
+        SELECT userId, movieId, rating, 1 AS preference, 1 + 40.0::DOUBLE * rating AS confidence FROM event_counts""",
+    "implicit_train": """
+        SELECT 'user' AS side, count(DISTINCT userId) AS n_factors, 0 AS n_bad_length, 0 AS n_negative FROM event_split WHERE bucket < 8
+        UNION ALL SELECT 'item', count(DISTINCT movieId), 0, 0 FROM event_split WHERE bucket < 8""",
+    "implicit_compared": """
+        WITH seen AS (SELECT * FROM event_split WHERE bucket < 8), unseen AS (SELECT * FROM event_split WHERE bucket >= 8),
+        best AS (SELECT movieId, sum(rating) AS score FROM seen GROUP BY movieId ORDER BY score DESC, movieId LIMIT 30),
+        lists AS (
+            SELECT u.userId, b.movieId, row_number() OVER (PARTITION BY u.userId ORDER BY b.score DESC, b.movieId) AS rank
+            FROM (SELECT DISTINCT userId FROM seen) u CROSS JOIN best b
+            ANTI JOIN seen s ON s.userId = u.userId AND s.movieId = b.movieId),
+        hits AS (SELECT t.userId, count(*) AS n_relevant, count(l.movieId) AS n_hits
+                 FROM unseen t LEFT JOIN lists l ON l.userId = t.userId AND l.movieId = t.movieId AND l.rank <= 10 GROUP BY t.userId)
+        SELECT 'popular' AS lists, count(*) AS n_users, round(avg(n_hits / 10.0::DOUBLE), 6) AS precision,
+               round(avg(n_hits::DOUBLE / n_relevant), 6) AS recall, true AS within_bounds, sum(n_hits) > 0 AS finds_some FROM hits
+        UNION ALL SELECT 'model', count(DISTINCT userId), NULL, NULL, true, true FROM unseen""",
     "bayesian_average": "SELECT movieId, cnt, mean, round(score, 6) AS score FROM films",
     "rating_pool": """
         SELECT mood, movieId, cnt FROM films f JOIN mood_masks m ON (f.mask & m.mask) <> 0 WHERE cnt >= 38""",

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from filmfold import fixed, schemas
 from filmfold.functions import genres as G, numbers as N, ranges as R, titles as T
 from filmfold.operators import (
-    films as FO, foldin, lists, matching, model, popularity, profile, recommend, scoring,
+    films as FO, foldin, implicit, lists, matching, model, popularity, profile, ranking, recommend, scoring,
 )
 from filmfold.plans import artifacts as A
 from filmfold.session import materialise, scratch_path
@@ -819,6 +819,105 @@ def flagship(spark, sf):
     )
 
 
+# --- quality of lists ----------------------------------------------------------
+
+def _train_free_lists(spark, sf):
+    """Lists by given vectors without the films of the training part, numbered anew."""
+    train, _ = model.hash_split(A.ratings_table(spark, sf))
+    return ranking.renumbered(recommend.exclude_rated(A.vector_top(spark, sf), train))
+
+
+@query
+def ranking_per_user(spark, sf):
+    """Precision, recall and discounted gain of each list against the held-out ratings."""
+    _, test = model.hash_split(A.ratings_table(spark, sf))
+    found = ranking.user_metrics(_train_free_lists(spark, sf), test)
+    return found.select("userId", "n_relevant", "n_hits", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "ndcg")))
+
+
+@query
+def ranking_summary(spark, sf):
+    """Means over users, by how many stars make a film relevant."""
+    _, test = model.hash_split(A.ratings_table(spark, sf))
+    lists = materialise(_train_free_lists(spark, sf), "lists")
+    return reduce(DataFrame.unionByName, [
+        ranking.mean_metrics(ranking.user_metrics(lists, test, relevant_from=stars)).select(
+            F.lit(stars).alias("relevant_from"), "n_users", "n_users_hit",
+            *(F.round(c, 6).alias(c) for c in ("precision", "recall", "ndcg")))
+        for stars in (3, 4, 5)
+    ])
+
+
+@query
+def novelty_per_list(spark, sf):
+    """Mean surprise of each list by given vectors."""
+    found = ranking.list_novelty(A.vector_picks(spark, sf), ranking.self_information(A.ratings_table(spark, sf)))
+    return found.withColumn("novelty", F.round("novelty", 6))
+
+
+@query
+def film_self_information(spark, sf):
+    return ranking.self_information(A.ratings_table(spark, sf)).withColumn("bits", F.round("bits", 6))
+
+
+@query
+def catalogue_exposure(spark, sf):
+    """Share of the catalogue in the lists, and how unequally films are shown."""
+    found = ranking.exposure(A.vector_picks(spark, sf), V.movies(spark, sf))
+    return found.select("n_films", "n_shown", F.round("coverage", 6).alias("coverage"), "n_slots", F.round("gini", 6).alias("gini"))
+
+
+# --- implicit feedback ----------------------------------------------------------
+
+@query
+def implicit_confidence(spark, sf):
+    return implicit.confidence(implicit.counted(V.item_events(spark, sf)))
+
+
+def _implicit_parts(spark, sf):
+    counts = A.written(spark, sf, "event-counts", lambda: implicit.counted(V.item_events(spark, sf)))
+    return model.hash_split(counts)
+
+
+def _implicit_model(spark, sf):
+    def make():
+        path = scratch_path(spark, "implicit-model")
+        model.save(implicit.train(_implicit_parts(spark, sf)[0]), path)
+        return path
+
+    return model.load(A._once(spark, sf, "implicit-model", make))
+
+
+@query
+def implicit_train(spark, sf):
+    return model.factor_summary(_implicit_model(spark, sf))
+
+
+@query
+def implicit_compared(spark, sf):
+    """Held-out items found by lists of the implicit model and by the most popular items: what holds for any model,
+    and the baseline's figures as they are."""
+    train, test = _implicit_parts(spark, sf)
+    fitted = _implicit_model(spark, sf)
+    lists = {"model": recommend.exclude_rated(recommend.picks_from_model(fitted, k=30), train)}
+    popular = train.groupBy("movieId").agg(F.sum("rating").alias("score")).orderBy(F.desc("score"), "movieId").limit(30)
+    users = train.select("userId").distinct()  # thirty rows are joined to each
+    every = users.withColumn("found", popular.agg(F.collect_list(F.struct("movieId", "score"))).scalar())
+    every = every.select("userId", F.inline("found"))
+    lists["popular"] = recommend.exclude_rated(every, train)
+    rows = []
+    for name, picks in lists.items():
+        per_user = ranking.user_metrics(ranking.renumbered(picks), test, relevant_from=1)
+        mean = ranking.mean_metrics(per_user)
+        exact = F.lit(name) == "popular"
+        rows.append(mean.select(
+            F.lit(name).alias("lists"), "n_users",
+            *(F.when(exact, F.round(c, 6)).alias(c) for c in ("precision", "recall")),
+            (F.col("precision").between(0, 1) & F.col("recall").between(0, 1) & F.col("ndcg").between(0, 1)).alias("within_bounds"),
+            (F.col("n_users_hit") > 0).alias("finds_some")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 # --- newcomers ----------------------------------------------------------------
 
 @query

@@ -9,7 +9,7 @@ GIVEN = {
     "part": "p_partkey bigint, p_name string, p_size int",
     "embeddings": "vec_id bigint, embedding array<float>",
     "pages": "page_id bigint, url string",
-    "events": "user_id bigint",
+    "events": "user_id bigint, event_type string, props string",
 }
 
 RATINGS = T.StructType([

@@ -154,3 +154,11 @@ def request_reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("seen"))
         .alias("reaction"),
     )
+
+
+def item_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users did with an item, whose number stands in the event's properties."""
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("bigint").alias("userId"),
+        F.get_json_object("props", "$.k").cast("bigint").alias("movieId"), "event_type",
+    )
