@@ -89,13 +89,16 @@ def _unsettled(members: DataFrame, groups: DataFrame) -> DataFrame:
         .filter("low <> high").select("key", "id", "n", "grp")
 
 
-def neighbour_pairs(members: DataFrame, groups: DataFrame, percent: int, reach: int = 4) -> DataFrame:
+def neighbour_pairs(members: DataFrame, groups: DataFrame, percent: int, reach: int = 4, few: bool = False) -> DataFrame:
     """Distinct (a, b) of each item and the next few of its bucket, in an order of the bucket's own, across groups.
 
     In a group of copies that are mostly, not always, like each other this
     links nearly all that the hubs did not, in steps that grow with the rows.
+    With ``few`` all buckets have one order, so that items which share very many
+    keys meet the same few neighbours in each.
     """
-    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "id"), "id")
+    turn = F.xxhash64("id") if few else F.xxhash64("key", "id")
+    order = Window.partitionBy("key").orderBy(turn, "id")
     rows = _unsettled(members, groups).withColumn("own", F.struct("id", "n", "grp"))
     ahead = [F.lead("own", k).over(order) for k in range(1, reach + 1)]
     rows = rows.withColumn("ahead", F.array_compact(F.array(*ahead))).withColumn("other", F.explode("ahead"))

@@ -115,9 +115,9 @@ def near_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: who is linked, directly or through others, by a Jaccard index of 0.75.
 
     Documents with equal shingle sets are one item from the start. Items are
-    bucketed by the shingles of their prefix, so no link is missed; hubs link
-    large groups, and tiles of bitmaps settle the rest of a bucket, see
-    ``buckets``. Only pairs that pass both bounds have their sets compared.
+    bucketed by the shingles of their prefix, so no link is missed; hubs and then
+    neighbours link large groups, and tiles of bitmaps settle the rest of a
+    bucket, see ``buckets``. Only pairs that pass both bounds have their sets compared.
 
     Null and empty texts have no shingles, link with nothing and are their own
     component. Rows that share a doc_id are one node and link what any of them
@@ -137,6 +137,9 @@ def near_documents(docs: DataFrame) -> DataFrame:
     members = written(buckets.shared(keys), "members")
     links = _links(docs, buckets.hub_pairs(members, PERCENT), items)
     groups = written(components(links), "groups")
+    near = written(buckets.neighbour_pairs(members, groups, PERCENT, few=True), "neighbour-pairs")
+    links = links.union(_links(docs, near, items))
+    groups = written(components(links), "groups")
     cross = written(buckets.cross_pairs(members, groups, items, PERCENT), "cross-pairs")
     more = _links(docs, cross, items)
     groups = written(components(links.union(more)), "groups")
