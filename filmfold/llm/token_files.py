@@ -19,7 +19,7 @@ from filmfold.llm.common import CLEANUP, texts, written
 
 #: Appended to each document.
 END = 2
-#: Pieces and words remembered by one worker.
+#: Parts of a kind remembered by one worker, and as many from before.
 MEMO = 150_000
 _SPACE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Runs of anything but Unicode white space, where the vocabulary's own split never joins text.
@@ -66,28 +66,33 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class _Memo(dict):
+    """Ids of parts met lately; when full, what it holds becomes the older generation, and what is met again comes back."""
+
     def __init__(self, encoder: WordEncoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.older = encoder, {}
 
     def __missing__(self, part: str) -> bytes:
         if len(self) >= MEMO:
+            self.older = dict(self)
             self.clear()
-        found = _packed(self.ids(part))
+        found = self.older.get(part)
+        if found is None:
+            found = self.ids(part)
         if len(part) <= 64:
             self[part] = found
         return found
 
 
 class _Pieces(_Memo):
-    def ids(self, piece: str) -> list[int]:
+    def ids(self, piece: str) -> bytes:
         letters = piece.encode().decode("latin-1").translate(_LETTER_OF)
-        return [t.id for t in self.encoder.model.tokenize(letters)]
+        return _packed([t.id for t in self.encoder.model.tokenize(letters)])
 
 
 class _Words(_Memo):
-    def ids(self, word: str) -> list[int]:
-        return self.encoder.tokenizer.encode(word, add_special_tokens=False).ids
+    def ids(self, word: str) -> bytes:
+        return _packed(self.encoder.tokenizer.encode(word, add_special_tokens=False).ids)
 
 
 @functools.cache
@@ -170,7 +175,10 @@ def checksums(tokens: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = [zlib.crc32(np.asarray(x.values.to_numpy(), "<i4").tobytes()) for x in batch["ids"]]
+            lists = batch["ids"]
+            flat = memoryview(np.ascontiguousarray(lists.values.to_numpy(), "<i4")).cast("B")
+            ends = lists.offsets.to_numpy().astype(np.int64) * 4
+            sums = [zlib.crc32(flat[a:b]) for a, b in zip(ends, ends[1:])]
             yield batch.drop_columns(["ids"]).append_column("ids_crc32", pa.array(sums, pa.int64()))
 
     return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(
