@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from filmfold import fixed
@@ -12,6 +13,10 @@ from filmfold.sources import layout
 
 KEYS = ["userId", "movieId"]
 
+#: A single user's answer.
+ANSWER = pa.schema([("userId", pa.int64()), ("movieId", pa.int64()), ("score", pa.float64()), ("title", pa.string()),
+                    ("genres", pa.string())])
+
 
 def rated_pairs(ratings: DataFrame) -> DataFrame:
     """Distinct (userId, movieId), kept in long form: a list of films per user
@@ -151,24 +156,23 @@ def answer_user(
     them call by call takes longer than the jobs.
     """
     spark, user_id = vectors.sparkSession, int(user_id)
-    schema = "userId bigint, movieId bigint, score double, title string, genres string"
     mine = vectors.filter(f"userId = {user_id}").select("features").head(1)
     if not mine:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame(ANSWER.empty_table())
     vector = ", ".join(f"{float(x)!r}D" for x in mine[0]["features"])
     score = (f"aggregate(zip_with(features, array({vector}), (a, b) -> cast(a AS double) * b), 0D, (s, x) -> s + x)")
     picks = item_factors.selectExpr("id AS movieId", f"{score} AS score").filter("score IS NOT NULL") \
         .orderBy("score", "movieId", ascending=[False, True]).limit(k).collect()
     if not picks:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame(ANSWER.empty_table())
     among = f"movieId IN ({', '.join(str(p.movieId) for p in picks)})"
     seen = layout.history(ratings, user_id).filter(among).selectExpr("movieId", "true AS seen", "NULL AS title", "NULL AS genres")
     found = seen.union(movies.filter(among).selectExpr("movieId", "false", "title", "genres")).collect()
     gone = {r.movieId for r in found if r.seen}
     titles = {r.movieId: (r.title, r.genres) for r in found if not r.seen}
-    return spark.createDataFrame([
-        (user_id, p.movieId, p.score, *titles.get(p.movieId, (None, None))) for p in picks if p.movieId not in gone
-    ], schema)
+    rows = [(user_id, p.movieId, p.score, *titles.get(p.movieId, (None, None))) for p in picks if p.movieId not in gone]
+    columns = [list(c) for c in zip(*rows)] or [[]] * len(ANSWER)
+    return spark.createDataFrame(pa.table(columns, schema=ANSWER))  # from Arrow: rows need no Python worker later
 
 
 def nested_picks(picks: DataFrame, users: DataFrame) -> DataFrame:
