@@ -54,6 +54,10 @@ def targets(sizes: DataFrame) -> DataFrame:
         .select("source", "source_size", "target")
 
 
+def order_key(doc_id: Column, weight: Column) -> Column:
+    return -F.log(uniform(F.coalesce(doc_id, F.lit(-1)))) / weight
+
+
 def plan(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, epochs, taken of (doc_id, source, size, weight).
 
@@ -69,11 +73,11 @@ def plan(docs: DataFrame) -> DataFrame:
     from those sums; whether a document is taken follows from comparing with
     it, row by row.
 
-    Null sources are one source. Rows alike in doc_id and source share a key and are
-    taken together. A source of size 0 has target 0 and nothing to take. No
+    Null sources are one source. Rows alike in doc_id, source and weight share a
+    key and are taken together. A source of size 0 has target 0 and nothing to take. No
     rows give none.
     """
-    key = -F.log(uniform(F.coalesce(F.col("doc_id"), F.lit(-1)))) / F.col("weight")
+    key = order_key(F.col("doc_id"), F.col("weight"))
     rows = written(docs.select("doc_id", "source", "size", key.alias("key")), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     dealt = targets(sizes).withColumn("epochs", F.when(
@@ -106,7 +110,7 @@ def plan(docs: DataFrame) -> DataFrame:
     picked = (F.col("part") < F.col("in")) | ((F.col("part") == F.col("in")) & in_part)
     times = F.col("epochs") + F.when(F.coalesce(picked, F.lit(False)), 1).otherwise(0)
     return joined.select("doc_id", "source", "size", "source_size", "target", "epochs",
-                         (times * F.col("size")).alias("taken"), times.alias("times"))
+                         (times * F.col("size")).alias("taken"), times.alias("times"), "key")
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -116,8 +120,17 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken, all columns as they are."""
-    of, times, copy = unused(docs, "of", "times", "copy")
-    picked = plan(sized(docs)).filter("times > 0").select(F.col("doc_id").alias(of), F.col("times").alias(times)).distinct()
-    out = docs.join(written(picked, "mix-picked"), F.col("doc_id").eqNullSafe(F.col(of)))
+    """The mix itself: each document as often as it is taken, all columns as they are.
+
+    A row meets its plan by doc_id, source and key, so rows that share a doc_id
+    but not the source or the text's quality are each taken as often as their
+    own plan says. Null texts have no words, but may come with the documents of
+    their source. No rows give none.
+    """
+    own, of, name, at, times, copy = unused(docs, "own", "of", "name", "at", "times", "copy")
+    picked = plan(sized(docs)).filter("times > 0").select(
+        F.col("doc_id").alias(of), F.col("source").alias(name), F.col("key").alias(at), F.col("times").alias(times)).distinct()
+    key = order_key(F.col("doc_id").cast("long"), quality(F.coalesce(F.col("text"), F.lit(""))))
+    out = docs.withColumn(own, key).join(written(picked, "mix-picked"), F.col("doc_id").eqNullSafe(F.col(of))
+                                         & F.col("source").eqNullSafe(F.col(name)) & (F.col(own) == F.col(at)))
     return out.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(docs.columns)
