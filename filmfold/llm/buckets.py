@@ -60,19 +60,41 @@ def bitmap_filter(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            sizes = zip(batch["n_a"].to_pylist(), batch["n_b"].to_pylist())
-            for i, (x, y, (n_a, n_b)) in enumerate(zip(batch["w_a"], batch["w_b"], sizes)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                width = min(len(x), len(y))
-                differ = np.bitwise_count(folded(x, width) ^ folded(y, width)).sum(dtype=np.int64)
-                keep[i] = _room(differ, n_a, n_b, percent)
+            differ = _differing(batch["w_a"], batch["w_b"])
+            keep = _room(differ, batch["n_a"].to_numpy(), batch["n_b"].to_numpy(), percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "w_a", "w_b") \
         .mapInArrow(check, "a long, b long")
 
 
+#: 64-bit words of bitmaps that are laid side by side at once.
+WORDS_AT_ONCE = 1 << 19
+
+
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A column of binaries of whole words: all words, and where each value starts and how many it has."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64) // 8
+    words = np.frombuffer(data, np.uint64, count=ends[-1]) if data is not None and ends[-1] else np.empty(0, np.uint64)
+    return words, ends[:-1], np.diff(ends)
+
+
+def _differing(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """Bits in which the parity bitmaps of each row differ, those of one pair of widths together."""
+    (x, x_at, x_wide), (y, y_at, y_wide) = _words(left), _words(right)
+    differ = np.zeros(len(left), np.int64)
+    for a, b in np.unique(np.column_stack([x_wide, y_wide]), axis=0):
+        alike = np.flatnonzero((x_wide == a) & (y_wide == b))
+        step = max(1, WORDS_AT_ONCE // max(1, int(a + b)))
+        for start in range(0, len(alike), step):
+            rows = alike[start:start + step]
+            one = folded(x[x_at[rows] + np.arange(a)[:, None]], min(a, b))
+            two = folded(y[y_at[rows] + np.arange(b)[:, None]], min(a, b))
+            differ[rows] = np.bitwise_count(one ^ two).sum(axis=0, dtype=np.int64)
+    return differ
+
+
 def _room(differ, n_a, n_b, percent: int):
     """100 * overlap >= percent * union is possible: overlap is at most (n_a + n_b - bits that differ) / 2."""
     total = n_a + n_b
@@ -80,7 +102,7 @@ def _room(differ, n_a, n_b, percent: int):
     return 100 * overlap >= percent * (total - overlap)
 
 
-def _unsettled(members: DataFrame, groups: DataFrame) -> DataFrame:
+def unsettled(members: DataFrame, groups: DataFrame) -> DataFrame:
     """(key, id, n, grp) of the buckets that still hold items of more than one group."""
     known = members.select("key", "id", "n").join(groups, F.col("id") == F.col("node"), "left") \
         .select("key", "id", "n", F.coalesce("component", "id").alias("grp"))
@@ -99,7 +121,7 @@ def neighbour_pairs(members: DataFrame, groups: DataFrame, percent: int, reach:
     """
     turn = F.xxhash64("id") if few else F.xxhash64("key", "id")
     order = Window.partitionBy("key").orderBy(turn, "id")
-    rows = _unsettled(members, groups).withColumn("own", F.struct("id", "n", "grp"))
+    rows = unsettled(members, groups).withColumn("own", F.struct("id", "n", "grp"))
     ahead = [F.lead("own", k).over(order) for k in range(1, reach + 1)]
     rows = rows.withColumn("ahead", F.array_compact(F.array(*ahead))).withColumn("other", F.explode("ahead"))
     n, other_n = F.col("n"), F.col("other.n")
@@ -117,7 +139,7 @@ def cross_pairs(members: DataFrame, groups: DataFrame, items: DataFrame, percent
     overlap, so each task holds two blocks whatever the bucket's size.
     """
     by_size = Window.partitionBy("key").orderBy("n", "id")
-    placed = _unsettled(members, groups).withColumn("block", F.floor((F.row_number().over(by_size) - 1) / BLOCK).cast("int")) \
+    placed = unsettled(members, groups).withColumn("block", F.floor((F.row_number().over(by_size) - 1) / BLOCK).cast("int")) \
         .select("key", "id", "n", "grp", "block")
     blocks = placed.groupBy("key", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     other = blocks.select("key", F.col("block").alias("other"), F.col("least").alias("o_least"))

@@ -43,3 +43,20 @@ def components(edges: DataFrame) -> DataFrame:
             roots.node, F.coalesce("to", "root").alias("root")), "cc-roots")
     lowest = roots.groupBy("root").agg(F.min("node").alias("component"))
     return roots.join(lowest, "root").select("node", "component")
+
+
+def extended(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The groups (node, component) after further links (a, b), again with the smallest node as component.
+
+    Links are moved to the groups they join and only those are contracted, so
+    the work follows the new links. No links leave the groups as they are.
+    """
+    if links.isEmpty():
+        return groups
+    ends = [groups.select(F.col("node").alias(e), F.col("component").alias(f"{e}_of")) for e in ("a", "b")]
+    moved = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(
+        F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b"))
+    over = written(components(moved), "cc-over")
+    known = groups.join(over.select(F.col("node").alias("component"), F.col("component").alias("onward")), "component",
+                        "left").select("node", F.coalesce("onward", "component").alias("component"))
+    return written(known.union(over.join(groups, "node", "left_anti").select("node", "component")), "cc-groups")

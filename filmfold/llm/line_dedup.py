@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from filmfold.llm import buckets
 from filmfold.llm.common import mixed, parity_bitmap, signed, texts, unused, wide_bits, written
-from filmfold.llm.components import components
+from filmfold.llm.components import components, extended
 
 #: Characters of a line, once normalised, from which it is an item; blank lines alone are none. A line shorter than a
 #: shingle repeats only lines equal to it, which its id tells.
@@ -28,8 +28,8 @@ ROWS, BANDS = 4, 12
 BITS = 4096
 #: Bits at least of the bitmaps that travel with a pair, which have about one to a shingle.
 LEAST_BITS = 512
-#: Characters hashed at once.
-BLOCK_CHARS = 1 << 20
+#: Characters hashed at once, and lines that leave a task together.
+BLOCK_CHARS, BLOCK_LINES = 1 << 20, 1 << 16
 
 _WEIGHTS = mixed(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 _FACTORS = (mixed(np.arange(101, 101 + ROWS * BANDS, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -40,9 +40,13 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def line_id(line: str) -> int:
-    """A 64-bit hash of the normalised line; equal lines are one item."""
-    return xxhash.xxh3_64_intdigest(line.encode("utf-8")) - (1 << 63)
+def line_id(line: str) -> tuple[int, int]:
+    """Two longs, 127 bits of one hash of the normalised line: its id, and a check by which lines that share an id differ.
+
+    The check is odd, so zero is free to stand for "as its id says".
+    """
+    high, low = divmod(xxhash.xxh3_128_intdigest(line.encode("utf-8")), 1 << 64)
+    return high - (1 << 63), (low | 1) - (1 << 63)
 
 
 def _windows(codes: np.ndarray) -> np.ndarray:
@@ -93,75 +97,128 @@ def _members(line: pa.StringScalar) -> np.ndarray:
     return shingles(line.as_py())
 
 
+class _Lines:
+    """Columns of lines on their way out of a task; ``new`` are those met for the first time, at rows ``at``."""
+
+    def __init__(self):
+        self.doc, self.owner, self.place, self.id, self.check = [], [], [], [], []
+        self.new: list[str] = []
+        self.at: list[int] = []
+        self.chars = 0
+
+    def full(self) -> bool:
+        return self.chars >= BLOCK_CHARS or len(self.id) >= BLOCK_LINES
+
+    def batch(self) -> pa.RecordBatch:
+        rows = len(self.id)
+        lengths = np.zeros(rows, np.int64)
+        lengths[self.at] = BANDS
+        flat = signed(signatures(self.new).reshape(-1)) if self.new else np.empty(0, np.int64)
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        lines: list[str | None] = [None] * rows
+        for i, line in zip(self.at, self.new):
+            lines[i] = line
+        longs = [pa.array(x, pa.int64()) for x in (self.doc, self.owner, self.id, self.check)]
+        return pa.RecordBatch.from_arrays(
+            [*longs, pa.array(self.place, pa.int32()), pa.array(lines, pa.string()),
+             pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+            names=["doc_id", "owner", "id", "check", "place", "line", "bands"])
+
+
 def _line_table(docs: DataFrame) -> DataFrame:
-    """Each eligible line: doc_id, place, id; its band keys, if it has a shingle, where it is first met in a batch."""
+    """Each eligible line: doc_id, owner, id, check, place; where it is first met in a batch and has a shingle, also the
+    normalised line and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[int] = set()
-            rows: list[tuple[int, int, int]] = []
-            new: list[str] = []
-            at: list[int] = []
-            chars = 0
-            for doc, text in zip(texts(batch["doc_id"]), texts(batch["text"])):
+            seen: set[tuple[int, int]] = set()
+            out = _Lines()
+            for doc, owner, text in zip(texts(batch["doc_id"]), texts(batch["owner"]), texts(batch["text"])):
                 for place, line in _eligible(text):
                     found = line_id(line)
                     if len(line) >= SHINGLE and found not in seen:
                         seen.add(found)
-                        new.append(line)
-                        at.append(len(rows))
-                        chars += len(line)
-                    rows.append((doc, place, found))
-                if chars >= BLOCK_CHARS:
-                    yield _rows(rows, new, at)
-                    rows, new, at, chars = [], [], [], 0
-            if rows:
-                yield _rows(rows, new, at)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, place int, id long, bands array<long>")
-
-
-def _rows(rows: list, new: list[str], at: list[int]) -> pa.RecordBatch:
-    lengths = np.zeros(len(rows), np.int64)
-    lengths[at] = BANDS
-    flat = signed(signatures(new).reshape(-1)) if new else np.empty(0, np.int64)
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-    doc, place, ids = (list(x) for x in zip(*rows))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc, pa.int64()), pa.array(place, pa.int32()), pa.array(ids, pa.int64()), bands],
-        names=["doc_id", "place", "id", "bands"])
-
-
-def _line_sets(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, n, bitmaps and members of the wanted lines, each read from one document that holds it.
-
-    The members travel as the line itself, an eighth of its array.
+                        out.new.append(line)
+                        out.at.append(len(out.id))
+                        out.chars += len(line)
+                    out.doc.append(doc)
+                    out.owner.append(owner)
+                    out.place.append(place)
+                    out.id.append(found[0])
+                    out.check.append(found[1])
+                    if out.full():
+                        yield out.batch()
+                        out = _Lines()
+            if out.id:
+                yield out.batch()
+
+    return docs.select("doc_id", "owner", "text").mapInArrow(
+        run, "doc_id long, owner long, id long, check long, place int, line string, bands array<long>")
+
+
+def _line_sets(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, check, n, bitmaps and members of the wanted lines.
+
+    The members travel as the line itself, an eighth of its array. Should
+    several lines share an id, the one with the smallest check has it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, lines_here, bitmaps, wide = [], [], [], [], []
-            for text, places in zip(texts(batch["text"]), batch["places"]):
-                wanted_here = set(places.as_py())
-                for place, line in _eligible(text):
-                    if place in wanted_here:
-                        values = shingles(line)
-                        ids.append(line_id(line))
-                        wide.append(parity_bitmap(values, wide_bits(len(values), LEAST_BITS)))
-                        bitmaps.append(parity_bitmap(values, BITS))
-                        sizes.append(len(values))
-                        lines_here.append(line)
+            sizes, bitmaps, wide = [], [], []
+            for line in texts(batch["members"]):
+                values = shingles(line)
+                sizes.append(len(values))
+                bitmaps.append(parity_bitmap(values, BITS))
+                wide.append(parity_bitmap(values, wide_bits(len(values), LEAST_BITS)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bitmaps, pa.binary()),
-                 pa.array(wide, pa.binary()), pa.array(lines_here, pa.string())],
-                names=["id", "n", "bitmap", "wide", "members"])
+                [batch["id"], batch["check"], pa.array(sizes, pa.int64()), pa.array(bitmaps, pa.binary()),
+                 pa.array(wide, pa.binary()), batch["members"]],
+                names=["id", "check", "n", "bitmap", "wide", "members"])
+
+    one = lines.filter("line is not null").select("id", "check", "line").join(wanted, "id", "left_semi") \
+        .groupBy("id").agg(F.min(F.struct("check", "line")).alias("of"))
+    return one.select("id", F.col("of.check").alias("check"), F.col("of.line").alias("members")).mapInArrow(
+        run, "id long, check long, n long, bitmap binary, wide binary, members string")
+
+
+def _owned(docs: DataFrame, owner: str = "owner") -> DataFrame:
+    """Documents with a hash of the text, which tells rows of one doc_id apart."""
+    return docs.withColumn(owner, F.xxhash64("text"))
+
+
+def _drops(docs: DataFrame) -> DataFrame:
+    """(doc_id, owner, place, id) of the lines to drop from documents with an owner."""
+    lines = written(_line_table(docs), "lines")
+    # Key and id alone are shuffled; what orders a bucket is worked out behind the shuffle.
+    keys = lines.select(F.explode("bands").alias("key"), "id").repartition("key").withColumn("n", F.lit(1))
+    members = written(buckets.shared(keys, few_hubs=False), "line-members")
+    sets = written(_line_sets(lines, members.select("id")), "line-sets")
+    sized = members.select("key", "id", "hub").join(sets.select("id", "n"), "id")
 
-    one = lines.join(wanted, "id").groupBy("id").agg(F.min(F.struct("doc_id", "place")).alias("at"))
-    places = one.groupBy("at.doc_id").agg(F.collect_set("at.place").alias("places"))
-    places = places.withColumnRenamed("doc_id", "holder")  # a line may be first met under a null doc_id
-    return docs.join(places, F.col("doc_id").eqNullSafe(F.col("holder"))).select("text", "places").mapInArrow(
-        run, "id long, n long, bitmap binary, wide binary, members string").dropDuplicates(["id"])
+    def linked(pairs: DataFrame) -> DataFrame:
+        near = buckets.bitmap_filter(pairs, sets, PERCENT)
+        return written(buckets.verified(near, sets, PERCENT, _members), "line-links")
+
+    groups = written(components(linked(buckets.hub_pairs(members, PERCENT))), "line-groups")
+    # Groups only grow, so a bucket that is settled once needs no further look.
+    unsettled = written(buckets.unsettled(sized, groups), "line-unsettled").drop("grp")
+    for pairs in (lambda: buckets.neighbour_pairs(unsettled, groups, PERCENT),
+                  lambda: buckets.cross_pairs(unsettled, groups, sets, PERCENT)):
+        if unsettled.isEmpty():
+            break
+        groups = extended(groups, linked(pairs()))
+
+    marks = groups.join(sets.select(F.col("id").alias("node"), F.col("check").alias("of")), "node")
+    named = written(lines.select("doc_id", "owner", "place", "id", "check").join(
+        marks, F.col("id") == F.col("node"), "left").select(
+        "doc_id", "owner", "place", "id", F.coalesce("component", "id").alias("item"),
+        F.when(F.col("of") == F.col("check"), 0).otherwise(F.col("check")).alias("mark")), "line-items")
+    kept = named.groupBy("item", "mark").agg(
+        F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("c"))
+    kept = written(kept.filter("c > 1").select("item", "mark", "first"), "line-kept")
+    return named.join(kept, ["item", "mark"]).filter(F.struct("doc_id", "place") != F.col("first")) \
+        .select("doc_id", "owner", "place", "id")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -174,59 +231,30 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no lines, blank lines are kept. Lines shorter than
     a shingle are compared for equality only.
-    Rows alike in doc_id and text lose the same lines; of rows that share a
+    Equality is that of 127 bits of a hash. Of different lines that share the
+    64 bits of an id, one is compared with others, the rest repeat only lines
+    equal to them. Rows alike in doc_id and text lose the same lines; of rows that share a
     doc_id but not the text, each loses only lines of its own, by their ids. A
     null doc_id's lines count as the first. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = written(_line_table(docs), "lines")
-    keys = lines.select(F.explode("bands").alias("key"), "id", F.lit(1).alias("n"))
-    members = written(buckets.shared(keys, few_hubs=False), "line-members")
-    sets = written(_line_sets(docs, lines.select("id", "doc_id", "place"), members.select("id").distinct()), "line-sets")
-    sized = members.select("key", "id", "hub").join(sets.select("id", "n"), "id")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        near = buckets.bitmap_filter(pairs, sets, PERCENT)
-        return written(buckets.verified(near, sets, PERCENT, _members), "line-links")
-
-    links = linked(buckets.hub_pairs(members, PERCENT))
-    groups = written(components(links), "line-groups")
-    links = links.union(linked(buckets.neighbour_pairs(sized, groups, PERCENT)))
-    groups = written(components(links), "line-groups")
-    links = links.union(linked(buckets.cross_pairs(sized, groups, sets, PERCENT)))
-    groups = written(components(links), "line-groups")
-
-    named = lines.select("doc_id", "place", "id").join(groups, F.col("id") == F.col("node"), "left").select(
-        "doc_id", "place", "id", F.coalesce("component", "id").alias("item"))
-    kept = named.groupBy("item").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("c"))
-    kept = written(kept.filter("c > 1").select("item", "first"), "line-kept")
-    return named.join(kept, "item").filter(F.struct("doc_id", "place") != F.col("first")).select("doc_id", "place", "id")
-
-
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def _places_in(text: pa.Array, gone: pa.Array) -> pa.Array:
-    """Of lines to drop under a doc_id (place, id), the places where this text has that line."""
-    found: list[list[int] | None] = []
-    for value, drops in zip(texts(text), gone):
-        if value is None or not drops.is_valid:
-            found.append(None)
-            continue
-        here = value.split("\n")
-        found.append(sorted({d["place"] for d in drops.as_py()
-                             if d["place"] < len(here) and line_id(normal(here[d["place"]])) == d["id"]}) or None)
-    return pa.array(found, pa.list_(pa.int32()))
+    return _drops(_owned(docs)).select("doc_id", "place", "id")
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """The documents with ``text`` (and ``n_chars``, if there) after line removal, and a column ``lines_dropped``.
 
     Every document stays, also when no line of it does; its text is then empty.
+    Drops meet their document by doc_id and text, so rows with a null doc_id
+    are as many keys as they have texts, and a key has no more drops than its
+    text has lines.
     """
-    of, gone = unused(docs, "of", "gone")
-    drops = repeated_lines(docs).groupBy(F.col("doc_id").alias(of)).agg(
-        F.collect_set(F.struct("place", "id")).alias(gone))
-    out = docs.join(written(drops, "line-drops"), F.col("doc_id").eqNullSafe(F.col(of)), "left")
-    out = out.withColumn(gone, _places_in(F.when(F.col(gone).isNotNull(), F.col("text")), F.col(gone)))
+    of, whose, gone, owner = unused(docs, "of", "whose", "gone", "owner")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    drops = _drops(_owned(ids)).groupBy(F.col("doc_id").alias(of), F.col("owner").alias(whose)).agg(
+        F.collect_set("place").alias(gone))
+    out = _owned(docs, owner).join(
+        written(drops, "line-drops"), F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(owner) == F.col(whose)), "left")
     whole = F.col(gone).isNull()
     left = F.filter(F.split("text", "\n", -1), lambda line, place: ~F.array_contains(gone, place))
     out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(left, "\n"))) \
@@ -234,4 +262,4 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(whole, F.col("n_chars"))
                              .otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.drop(of, gone)
+    return out.drop(of, whose, gone, owner)

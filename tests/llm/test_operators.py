@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from filmfold.llm import (
     bpe, exact_dedup, htmltext, line_dedup, merkle, mixing, ngram_join, pii, token_files, toxicity,
 )
-from filmfold.llm.components import components
+from filmfold.llm.components import components, extended
 from filmfold.session import scratch_path
 
 BYTES, WORDS = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -62,6 +62,15 @@ def test_components(spark):
     assert components(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long")).count() == 0
 
 
+def test_components_grow_by_new_links(spark):
+    old = spark.createDataFrame([(5, 3), (9, 8), (20, 21)], "a long, b long")
+    new = spark.createDataFrame([(9, 5), (40, 41), (41, 2), (21, 50)], "a long, b long")
+    groups = components(old)
+    grown = {r["node"]: r["component"] for r in extended(groups, new).collect()}
+    assert grown == {r["node"]: r["component"] for r in components(old.union(new)).collect()}
+    assert extended(groups, new.limit(0)).count() == groups.count()
+
+
 def test_bpe_round_trip(spark, odd):
     docs, rows = odd
     library = Tokenizer.from_file(BYTES)
@@ -233,6 +242,14 @@ def test_short_lines_that_repeat_are_removed(spark):
                       "doc_id", "text")) == {1: near[0][1], 2: ""}
 
 
+def test_lines_that_share_an_id_are_told_apart(spark, monkeypatch):
+    real = line_dedup.line_id
+    monkeypatch.setattr(line_dedup, "line_id", lambda line: (7, real(line)[1]))
+    docs = spark.createDataFrame([(1, "the first of all lines\nabc"), (2, "something else is said"), (3, "abc")],
+                                 "doc_id long, text string")
+    assert [(r["doc_id"], r["place"]) for r in line_dedup.repeated_lines(docs).collect()] == [(3, 0)]
+
+
 def test_lines_of_rows_that_share_a_doc_id(spark):
     rows = [(1, LINE), (2, f"{LINE}\nfirst text of two"), (2, "something else altogether, which repeats nothing\nsecond")]
     got = line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
