@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -124,11 +125,14 @@ def candidates(text: str, base: list[Span]) -> list[Span]:
             found.append(Span("card", m.start(), m.end()))
     found += [Span("phone", m.start(), m.end()) for m in _LOCAL_PHONE.finditer(text)]
     found += [Span("ip", m.start(), m.end()) for m in _DOTTED.finditer(text) if m.group().count(".") == 3]
-    kept, taken = [], []
+    kept, starts, ends = [], [], []
     for span in dict.fromkeys(found):  # base first: nothing else may overlap it
-        if not any(span.start < end and start < span.end for start, end in taken):
-            kept.append(span)
-            taken.append((span.start, span.end))
+        at = bisect_right(starts, span.start)  # those taken are apart, so only the two beside it can overlap
+        if (at and ends[at - 1] > span.start) or (at < len(starts) and starts[at] < span.end):
+            continue
+        kept.append(span)
+        starts.insert(at, span.start)
+        ends.insert(at, span.end)
     return kept
 
 
