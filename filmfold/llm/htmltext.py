@@ -25,12 +25,13 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 _TOKEN = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
-#: Elements whose content is not text of the page, or is not markup.
-_RAW = frozenset("script style title textarea noscript template iframe svg math select button".split())
+#: Elements whose content is no markup: scripts, styles, the page's title, form input and what stands in for a frame.
+_RAW = frozenset("script style title textarea iframe".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements inside a block; they neither begin nor end one.
 _INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike "
-                    "strong sub sup time tt u var".split())
+                    "strong sub sup time tt u var math mi mn mo ms mrow mtext msup msub msubsup mfrac msqrt mroot mstyle "
+                    "semantics".split())
 TAGS = ("p", "h1", "li", "ul", "div", "section", "article", "main", "nav", "aside", "footer", "header", "form", "table",
         "td", "blockquote", "pre", "figure", "body", "h", "other")
 _TAG_NUMBER = {t: i for i, t in enumerate(TAGS)} | {f"h{i}": 19 for i in range(2, 7)} | {"ol": 3, "dl": 3, "dd": 2,
@@ -54,6 +55,7 @@ class Page:
         self.parent, self.tag, self.good, self.bad, self.links = [-1], [_TAG_NUMBER["#root"]], [0], [0], [0]
         self.inner = [0]  # elements of any kind directly or indirectly inside a block, inline ones included
         self.pieces: list[tuple[int, str]] = []
+        self.loose = 0  # blocks made of loose text
 
     def add(self, parent: int, tag: str, attributes: str) -> int:
         good = bad = 0
@@ -73,19 +75,30 @@ class Page:
 
 
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}, "tr": {"tr", "td", "th", "p"},
-           "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
+           "td": {"td", "th", "p"}, "th": {"td", "th", "p"},
+           **dict.fromkeys("button noscript template svg select option".split(), frozenset())}  # may stand in a paragraph
 
 
 def parse(source: str, page: Page | None = None) -> Page:
-    """A tolerant reader: unclosed and stray tags never fail, a new block closes an open paragraph."""
+    """A tolerant reader: unclosed and stray tags never fail, a new block closes an open paragraph.
+
+    Text outside any block, up to the next one, is a paragraph of its own. A
+    block that is not closed ends with its parent.
+    """
     page = page or Page()
-    names, nodes, in_link, place = ["#root"], [0], 0, 0
+    names, nodes, in_link, place, loose = ["#root"], [0], 0, 0, 0
 
     def text(part: str) -> None:
-        if part:
-            page.pieces.append((nodes[-1], part))
-            if in_link:
-                page.links[nodes[-1]] += len(part)
+        nonlocal loose
+        if not part:
+            return
+        if len(nodes) == 1 and not loose and not part.isspace():
+            loose = page.add(0, "p", "")
+            page.loose += 1
+        node = nodes[-1] or loose
+        page.pieces.append((node, part))
+        if in_link:
+            page.links[node] += len(part)
 
     while True:
         found = _TAG.search(source, place)
@@ -112,18 +125,21 @@ def parse(source: str, page: Page | None = None) -> Page:
             continue
         if name in _VOID:
             if name in ("br", "hr"):
-                page.pieces.append((nodes[-1], "\n"))
-            page.inner[nodes[-1]] += 1
+                page.pieces.append((nodes[-1] or loose, "\n"))
+            page.inner[nodes[-1] or loose] += 1
             continue
         if name in _INLINE:
-            page.inner[nodes[-1]] += 1
+            page.inner[nodes[-1] or loose] += 1
             in_link += name == "a"
             continue
+        if attributes.endswith("/") and (name == "svg" or "svg" in names):
+            page.inner[nodes[-1] or loose] += 1  # closed at once, as shapes in a drawing are
+            continue
         closes = _CLOSES.get(name, {"p"})
         while len(names) > 1 and names[-1] in closes:
             names.pop()
             nodes.pop()
-        in_link = 0
+        in_link = loose = 0
         nodes.append(page.add(nodes[-1], name, attributes))
         names.append(name)
 
@@ -281,7 +297,7 @@ def joined(page: Page, keep: np.ndarray) -> str:
     """Text of the kept blocks: one space for white space inside a block and between blocks, in page order."""
     runs: list[list] = []
     for node, text in page.pieces:
-        if keep[node] and (node or len(keep) == 1):  # loose text counts only on a page without any block
+        if keep[node]:
             if runs and runs[-1][0] == node:
                 runs[-1][1].append(text)
             else:
@@ -304,7 +320,14 @@ def main_texts(sources: list[str | None], trees: Trees) -> list[str]:
         return []
     scores = predict(trees, np.concatenate([features(p) for p in pages]))
     parts = np.split(scores, np.cumsum([len(p.parent) for p in pages])[:-1])
-    return [joined(p, decode(p.parent, score, own_sizes(p))) for p, score in zip(pages, parts)]
+    return [joined(p, _kept(p, score)) for p, score in zip(pages, parts)]
+
+
+def _kept(page: Page, score: np.ndarray) -> np.ndarray:
+    """A page of plain text is all kept; any other as its blocks score."""
+    if page.loose == len(page.parent) - 1:
+        return np.ones(len(page.parent), bool)
+    return decode(page.parent, score, own_sizes(page))
 
 
 # --- training pages -------------------------------------------------------------------------------------------------
@@ -355,19 +378,23 @@ def training_rows(sources: list[str], seed: int = 7) -> tuple[np.ndarray, np.nda
     variant these may be plain ``div`` elements with or without a telling class,
     and boilerplate of all kinds, filled with the sample's words, is put before,
     after and inside; since we put it there, its labels are known. So the trees
-    learn from structure and text, not from one element's name.
+    learn from structure and text, not from one element's name. A page that marks
+    no article gives variants around paragraphs of the sample's words.
     """
     rng = random.Random(seed)
     pool = sorted({w for s in sources for w in re.sub(r"<[^>]*>", " ", s).split()[:400] if w.isalpha()})[:20_000] or ["a"]
     rows, labels = [], []
     for source in sources:
         found = re.search(r"<(article|main)\b[^>]*>(.*)</\1>", source, re.S | re.I)
-        if not found:
-            continue
-        for variant in range(1 + VARIANTS):
-            head, body, tail = source[:found.start()], found[2], source[found.end():]
+        for variant in range(0 if found else 1, 1 + VARIANTS):
+            if found:
+                head, body, tail = source[:found.start()], found[2], source[found.end():]
+            else:
+                head, tail = "<html><body>", "</body></html>"
+                body = "".join(f"<p>{' '.join(rng.choice(pool) for _ in range(rng.randint(12, 120)))}.</p>"
+                               for _ in range(rng.randint(2, 9)))
             if variant:
-                if rng.random() < 0.5:
+                if found and rng.random() < 0.5:
                     head, tail = '<html><body>', "</body></html>"
                 extra = [_boilerplate(k, rng, pool) for k in _BOILER_KINDS if rng.random() < 0.5]
                 rng.shuffle(extra)
@@ -382,10 +409,13 @@ def training_rows(sources: list[str], seed: int = 7) -> tuple[np.ndarray, np.nda
                 tail = "".join(f"<boiler>{x}</boiler>" for x in extra[cut:]) + tail
                 opener, closer = rng.choice([("<article>", "</article>"), ("<main>", "</main>"), (
                     f'<div class="{rng.choice(["content", "post", "entry-content", "story", "main-text", "c1", "x"])}">',
-                    "</div>"), ("<div>", "</div>"), (f'<div id="{rng.choice(["main", "content", "p"])}"><article>',
+                    "</div>"), ("<div>", "</div>"), ("", ""), (f'<div id="{rng.choice(["main", "content", "p"])}"><article>',
                                                      "</article></div>")])
             else:
                 opener, closer = f"<{found[1]}>", f"</{found[1]}>"
+            if not opener and rng.random() < 0.5:  # short paragraphs without anything around them
+                body = "".join(f"<p>{' '.join(rng.choice(pool) for _ in range(rng.randint(1, 12)))}</p>"
+                               for _ in range(rng.randint(1, 3)))
             middle = f"<content>{opener}{body}{closer}</content>"
             if variant and rng.random() < 0.4:
                 beside = [f"<boiler>{_boilerplate(k, rng, pool)}</boiler>"
@@ -439,7 +469,7 @@ def _labelled(source: str) -> tuple[Page, np.ndarray]:
 
 
 def train(pages: DataFrame) -> Trees:
-    """Fit the trees on a bounded sample of pages; without a page that marks its article, they keep every block."""
+    """Fit the trees on a bounded sample of pages; without any page there is nothing to judge and they keep every block."""
     order = F.xxhash64("page_id", F.lit("sample"))
     rows = pages.filter("html is not null").select("page_id", "html").orderBy(order, "page_id").limit(TRAINING_PAGES)
     x, y = training_rows([r["html"] for r in rows.select("html").collect()])

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -128,6 +129,12 @@ def test_neighbours_the_rules_miss_are_candidates():
     assert {("phone", "+1 (269) 555-3296"), ("card", "4524132264652876")} <= found
 
 
+def test_candidates_of_a_long_text_are_apart():
+    text = " ".join(f"mail{i}@example.org +1 555 {i:07d}" for i in range(20_000))
+    found = sorted(pii.candidates(text, pii.base_spans(text)), key=lambda s: s.start)
+    assert len(found) >= 40_000 and all(x.end <= y.start for x, y in zip(found, found[1:]))
+
+
 def test_reliabilities_find_the_careless_labeler():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.3
@@ -193,6 +200,46 @@ def test_odd_markup_is_read():
         assert htmltext.features(htmltext.parse(source)).shape[1] == len(htmltext.FEATURES)
 
 
+def _trees(pages):
+    x, y = htmltext.training_rows(pages)
+    assert 0 < y.mean() < 1
+    return htmltext.boost(x, y)
+
+
+def _article(i: int, opener: str, closer: str) -> str:
+    body = "".join(f"<p>Sentence {i} of part {k}, long enough to say that rivers, hills and towns of the region "
+                   f"were visited by many people in the year {1900 + k}.</p>" for k in range(4))
+    return (f"<html><body><nav class=menu><ul><li><a href=/a>Home</a></li><li><a href=/b>About</a></li></ul></nav>"
+            f"{opener}{body}{closer}<footer class=footer>All rights reserved</footer></body></html>")
+
+
+def test_nothing_of_an_article_is_dropped_unasked():
+    trees = _trees([r["html"] for r in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])
+                    .slice(0, 120).to_pylist()])
+    cases = {
+        "<html><body><article><p>Let <math><mi>x</mi></math> be 3 in this sentence, and go on.</p></article></body></html>":
+            "Let x be 3 in this sentence, and go on.",
+        "<p>One sentence of some length, said here.</p><svg><p>Two sentences of some length, said there.":
+            "One sentence of some length, said here. Two sentences of some length, said there.",
+        "Loose article text, of some length, that goes on for a while<br>and more of it, too.<div class=footer>foot</div>":
+            "Loose article text, of some length, that goes on for a while and more of it, too.",
+        "only text & no block": "only text & no block",
+        "": "",
+    }
+    assert dict(zip(cases, htmltext.main_texts(list(cases), trees))) == cases
+    page = htmltext.parse("<p>a<svg/>b <button>c</button> d</p>")
+    assert [t for n, t in page.pieces if n == 1] == ["a", "b ", " d"]
+
+
+def test_pages_that_mark_no_article():
+    """Neither the sample nor the pages have the element, by which a pattern would find it."""
+    plain = [_article(i, "<div>", "</div>") for i in range(40)]
+    for trees in (_trees(plain), _trees([_article(i, "<article>", "</article>") for i in range(40)])):
+        for source, text in zip(plain, htmltext.main_texts(plain, trees)):
+            assert "All rights" not in text and "About" not in text
+            assert text.count("were visited by many people") == 4
+
+
 def test_boosting_learns_a_rule():
     rng = np.random.default_rng(5)
     x = rng.random((3000, 4)).astype(np.float32)
