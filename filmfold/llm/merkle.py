@@ -86,47 +86,70 @@ def changed_sections(left: Column, right: Column) -> Column:
     return F.filter(F.transform(a, lambda x, i: F.when(~F.array_contains(b, x), i)), lambda i: i.isNotNull())
 
 
-def next_ids(docs: DataFrame) -> DataFrame:
-    """(doc_id, next_id, quarter) of each different doc_id in ascending order; after the last comes the first.
-
-    Ids alone are range partitioned and numbered inside their range; a range's
-    last id goes on with the first of the next range, one row a range. No task
-    has more than a range. ``quarter`` is floor(n / 4) of the id's longest text.
+def next_ids(docs: DataFrame, share: int) -> DataFrame:
+    """One row for each different doc_id: doc_id, shares, quarter, next_id, next_shares, in ascending order of ids.
+
+    After the last comes the first. Ids alone are range partitioned and numbered
+    inside their range; a range's last id goes on with the first of the next
+    range, one row a range. No task has more than a range. ``quarter`` is
+    floor(n / 4) of the id's longest text; ``shares`` says in how many parts
+    of at most about ``share`` rows the id's rows are dealt.
     """
     length = F.char_length(F.coalesce("text", F.lit("")))
-    ids = docs.groupBy("doc_id").agg(F.max(F.floor(length / 4).cast("int")).alias("quarter"))
+    ids = docs.groupBy("doc_id").agg(F.max(F.floor(length / 4).cast("int")).alias("quarter"),
+                                     F.ceil(F.count("*") / share).cast("int").alias("shares"))
     ranged = written(ids.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()), "ranged-ids")
+    here = F.struct("doc_id", "shares")
     by_part = Window.orderBy("part")
-    firsts = ranged.groupBy("part").agg(F.min("doc_id").alias("first"))
+    firsts = ranged.groupBy("part").agg(F.min(F.when(F.col("doc_id").isNotNull(), here)).alias("first"))
     firsts = firsts.select("part", F.coalesce(
         F.lead("first").over(by_part), F.min("first").over(Window.partitionBy())).alias("onward"))
     inside = Window.partitionBy("part").orderBy("doc_id")
-    return ranged.withColumn("inside", F.lead("doc_id").over(inside)).join(firsts, "part").select(
-        "doc_id", F.coalesce("inside", "onward").alias("next_id"), "quarter")
+    found = ranged.withColumn("inside", F.lead(here).over(inside)).join(firsts, "part")
+    after = F.coalesce("inside", "onward")
+    return found.select("doc_id", "shares", "quarter", after["doc_id"].alias("next_id"),
+                        F.coalesce(after["shares"], F.lit(1)).alias("next_shares"))
+
 
+def _keys(doc_id: Column, shares: Column) -> list[Column]:
+    """Columns key, none and salt, none of them null: a row for each share of the id."""
+    return [F.coalesce(doc_id, F.lit(0)).alias("key"), doc_id.isNull().alias("none"),
+            F.explode(F.sequence(F.lit(0), shares - 1)).alias("salt")]
 
-def edited_pairs(docs: DataFrame) -> DataFrame:
+
+def edited_pairs(docs: DataFrame, share: int = 100_000) -> DataFrame:
     """Fingerprints of every text and of an edit of it.
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next. In the edit the last quarter of the text gives way
-    to as many first characters (or all) of the next document's. A text crosses
-    the network without its fingerprint, which is worked out again after;
-    its neighbour gets the fingerprint and a quarter's length of the text.
+    to as many first characters (or all) of the next document's.
+
+    Texts are shuffled once, by id: the same shuffle gives a text to the join
+    that tells it its predecessor and to the one that brings it its successor.
+    What a predecessor gets is a quarter's length of the text and the
+    fingerprint. An id with more than ``share`` rows is dealt over several
+    tasks by the place of its rows in the input.
 
     Null texts count as empty. Among rows that share a doc_id the next document
     is the one whose first characters are smallest; each row has its own
-    result. A null doc_id is followed by the smallest id and follows none. A
-    document alone is its own next. No rows give none; other columns are
-    ignored.
+    result. A null doc_id is followed by the smallest id and follows none,
+    unless all are null: then they are their own next. A document alone is its
+    own next. No rows give none; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    links = written(next_ids(docs), "next-ids")
-    ahead = links.select(F.col("doc_id").alias("before"), F.col("next_id").alias("doc_id"), "quarter")
-    heads = with_fingerprint(docs.join(ahead, "doc_id")).select(
-        "before", F.expr("substring(text, 1, quarter)").alias("head"), F.col("fingerprint").alias("next_fingerprint"))
-    heads = heads.groupBy("before").agg(F.min(F.struct("head", "next_fingerprint")).alias("next"))
-    out = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("before")), "left")
+    links = written(next_ids(docs, share), "next-ids")
+    shared = written(links.filter("shares > 1").select(F.col("doc_id").alias("shared_id"), "shares"), "shared-ids")
+    placed = docs.withColumn("place", F.monotonically_increasing_id())
+    texts = placed.join(shared, F.col("doc_id").eqNullSafe(F.col("shared_id")), "left").select(
+        F.coalesce("doc_id", F.lit(0)).alias("key"), F.col("doc_id").isNull().alias("none"),
+        F.pmod("place", F.coalesce("shares", F.lit(1))).cast("int").alias("salt"), "text")
+    ahead = links.select(F.col("doc_id").alias("before"), "shares", "quarter",
+                         *_keys(F.col("next_id"), F.col("next_shares")))
+    heads = with_fingerprint(texts.join(ahead, ["key", "none", "salt"])).select(
+        *_keys(F.col("before"), F.col("shares")), F.expr("substring(text, 1, quarter)").alias("head"),
+        F.col("fingerprint").alias("next_fingerprint"))
+    heads = heads.groupBy("key", "none", "salt").agg(F.min(F.struct("head", "next_fingerprint")).alias("next"))
+    out = texts.join(heads, ["key", "none", "salt"], "left")
     out = out.withColumn("n_chars", F.char_length("text").cast("long")) \
         .withColumn("cut", F.floor(F.col("n_chars") / 4).cast("int"))
     out = out.withColumn("edited", F.expr(
@@ -134,6 +157,7 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     out = with_fingerprint(with_fingerprint(out), "edited", "edited_fingerprint")
     empty = F.concat(_hash(F.lit("")), F.lit("/"))
     return out.select(
-        "doc_id", "n_chars", _hash(F.col("edited")).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        F.when(~F.col("none"), F.col("key")).alias("doc_id"), "n_chars",
+        _hash(F.col("edited")).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.coalesce("next.next_fingerprint", empty)).alias("near_next"))
