@@ -126,7 +126,8 @@ def edited_pairs(docs: DataFrame, share: int = 100_000) -> DataFrame:
 
     Texts are shuffled once, by id: the same shuffle gives a text to the join
     that tells it its predecessor and to the one that brings it its successor.
-    What a predecessor gets is a quarter's length of the text and the
+    (The join columns are never null, so neither join filters its input and
+    both inputs are one.) What a predecessor gets is a quarter's length of the text and the
     fingerprint. An id with more than ``share`` rows is dealt over several
     tasks by the place of its rows in the input.
 
@@ -142,7 +143,7 @@ def edited_pairs(docs: DataFrame, share: int = 100_000) -> DataFrame:
     placed = docs.withColumn("place", F.monotonically_increasing_id())
     texts = placed.join(shared, F.col("doc_id").eqNullSafe(F.col("shared_id")), "left").select(
         F.coalesce("doc_id", F.lit(0)).alias("key"), F.col("doc_id").isNull().alias("none"),
-        F.pmod("place", F.coalesce("shares", F.lit(1))).cast("int").alias("salt"), "text")
+        F.coalesce(F.pmod("place", F.coalesce("shares", F.lit(1))).cast("int"), F.lit(0)).alias("salt"), "text")
     ahead = links.select(F.col("doc_id").alias("before"), "shares", "quarter",
                          *_keys(F.col("next_id"), F.col("next_shares")))
     heads = with_fingerprint(texts.join(ahead, ["key", "none", "salt"])).select(
