@@ -65,18 +65,30 @@ def _leaves_of(branches: Column) -> Column:
         branches, lambda b: F.split(F.regexp_replace(b, r"^[^:]*:|[^|,=:]*=", ""), "[|,]", -1))))
 
 
+def _once(value: Column, body) -> Column:
+    """The body of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def likeness(left: Column, right: Column) -> Column:
     """0 to 1: the share of different leaves that two fingerprints have in common, twice those over both counts.
 
     Equal roots end it; equal sections are counted as they are; only leaves of
     sections that differ are compared.
     """
-    a, b = _branches(left), _branches(right)
-    same = F.array_intersect(a, b)
-    rest_a, rest_b = _leaves_of(F.array_except(a, same)), _leaves_of(F.array_except(b, same))
-    alike = F.size(_leaves_of(same))
-    common = alike + F.size(F.array_intersect(rest_a, rest_b))
-    value = 2 * common / (2 * alike + F.size(rest_a) + F.size(rest_b)).cast("double")
+    def leaves(s: Column) -> Column:
+        return F.struct(F.size(_leaves_of(s["same"])).alias("alike"),
+                        _leaves_of(F.array_except(s["a"], s["same"])).alias("a"),
+                        _leaves_of(F.array_except(s["b"], s["same"])).alias("b"))
+
+    def share(s: Column) -> Column:
+        common = s["alike"] + F.size(F.array_intersect(s["a"], s["b"]))
+        return 2 * common / (2 * s["alike"] + F.size(s["a"]) + F.size(s["b"])).cast("double")
+
+    both = F.struct(_branches(left).alias("a"), _branches(right).alias("b"))
+    value = _once(both, lambda s: _once(
+        F.struct(s["a"].alias("a"), s["b"].alias("b"), F.array_intersect(s["a"], s["b"]).alias("same")),
+        lambda t: _once(leaves(t), share)))
     return F.when(left == right, 1.0).otherwise(value)
 
 
