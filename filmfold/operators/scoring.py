@@ -18,7 +18,8 @@ from filmfold import fixed
 from filmfold.functions import numbers as N
 
 CHUNK_ROWS = 250_000  # users per chunk
-BLOCK_ROWS = 65536  # films per block
+BLOCK_ROWS = 1 << 20  # films per block
+SLICE = 4096  # films of a block scored side by side
 CELLS = 4_000_000   # scores held at once inside a task
 
 FILTER_COLUMNS = ["wanted", "year_from", "year_to", "cnt_min", "cnt_max", "affinity"]
@@ -60,11 +61,15 @@ def _block_scorer(k: int, filtered: bool, bonus: float):
         return table.column(name).to_numpy()
 
     def film_arrays(films):
-        """Film columns in tie order: more ratings first, then the lower id."""
+        """Film columns, longest vectors first; ``tie`` is the place among equals: more ratings first, then the lower id."""
         ids = numbers(films, "id")
         cnt = numbers(films, "cnt") if filtered else np.zeros(len(ids), dtype=np.int32)
-        order = np.lexsort((ids, -cnt))
-        out = {"id": ids[order], "cnt": cnt[order], "vector": matrix(films, "vector")[order]}
+        vectors = matrix(films, "vector")
+        tie = np.empty(len(ids), dtype=np.int64)
+        tie[np.lexsort((ids, -cnt))] = np.arange(len(ids))
+        length = np.sqrt((vectors * vectors).sum(axis=1))
+        order = np.argsort(-length, kind="stable")
+        out = {"id": ids[order], "cnt": cnt[order], "vector": vectors[order], "tie": tie[order], "length": length[order]}
         if filtered:
             out |= {"mask": numbers(films, "mask")[order], "year": numbers(films, "year")[order]}
         return out
@@ -95,6 +100,63 @@ def _block_scorer(k: int, filtered: bool, bonus: float):
             best = np.where(member[:, bit], np.maximum(best, taste[:, bit, None]), best)
         return (best + taste @ member.T / member.sum(axis=1)) / 2  # a mask that passed is not empty
 
+    def best_of(u, g, v32, largest, fit, mask_no, pairs):
+        """(row, col, value, ranking) of the k best films of every row of ``u``, but for the excluded ``pairs`` (row, col).
+
+        Films come in slices, longest vectors first. Each row's k-th best so far
+        is the bar for the next slice, and a row whose product with the longest
+        vector left cannot reach its bar is through. Single precision finds
+        candidates, with its error bound as slack; exact sums in a fixed order
+        decide among them.
+        """
+        v, n, dims = g["vector"], len(g["id"]), u.shape[1]
+        extra = abs(bonus) * np.abs(fit).max(axis=1) if fit is not None else np.zeros(len(u))
+        slack = 4 * 1.2e-7 * (dims + 4) * (np.abs(u).sum(axis=1) * largest + extra)
+        u32, u_length = u.astype(np.float32), np.sqrt((u * u).sum(axis=1))
+        bar = np.full(len(u), -np.inf)
+        kept = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0)
+        if pairs is not None:
+            order = np.argsort(pairs[1], kind="stable")
+            out_row, out_col = pairs[0][order], pairs[1][order]
+        live = np.arange(len(u))
+        for start in range(0, n, SLICE):
+            end = min(n, start + SLICE)
+            live = live[u_length[live] * (g["length"][start] * (1 + 1e-9)) + extra[live] >= bar[live] - slack[live]]
+            if not live.size:
+                break
+            estimate = u32[live] @ v32[:, start:end]
+            if fit is not None:
+                estimate += (bonus * fit[live]).astype(np.float32)[:, mask_no[start:end]]
+            if pairs is not None:
+                here = slice(*np.searchsorted(out_col, [start, end]))
+                at = np.minimum(np.searchsorted(live, out_row[here]), live.size - 1)
+                met = live[at] == out_row[here]
+                estimate[at[met], out_col[here][met] - start] = -np.inf
+            bound = bar[live] - slack[live]
+            fresh = np.flatnonzero(bound == -np.inf)  # rows without k films yet
+            if fresh.size:
+                kth = end - start - min(k, end - start)
+                bound[fresh] = np.partition(estimate[fresh], kth, axis=1)[:, kth] - slack[live[fresh]]
+            close = estimate >= bound[:, None].astype(np.float32)
+            if fresh.size:
+                close &= estimate > -np.inf
+            row, col = np.divmod(np.flatnonzero(close), end - start)
+            if not row.size:
+                continue
+            row, col = live[row], col + start
+            value = np.zeros(len(row))
+            for d in range(dims):
+                value += u[row, d] * v[col, d]
+            ranking = value if fit is None else value + bonus * fit[row, mask_no[col]]
+            row, col, value, ranking = (np.concatenate(c) for c in zip(kept, (row, col, value, ranking)))
+            order = np.lexsort((g["tie"][col], -ranking, row))
+            place = np.arange(len(row)) - np.searchsorted(row[order], row[order])
+            top = order[place < k]
+            kept = row[top], col[top], value[top], ranking[top]
+            full = order[place == k - 1]
+            bar[row[full]] = ranking[full]
+        return kept
+
     def score(queries: pa.Table, films: pa.Table) -> pa.Table:
         out = []
         if films.num_rows and queries.num_rows:
@@ -106,48 +168,27 @@ def _block_scorer(k: int, filtered: bool, bonus: float):
             gone = excluded.flatten().to_numpy(zero_copy_only=False)
             gone_from = np.cumsum(n_gone) - n_gone
             for rows, g in groups(queries, f):
-                v, n = g["vector"], len(g["id"])
-                v32, largest = v.T.astype(np.float32), np.abs(v).max()
-                by_id = np.argsort(g["id"])
-                sorted_ids = g["id"][by_id]
+                v32, largest = g["vector"].T.astype(np.float32), np.abs(g["vector"]).max()
+                masks = mask_no = sorted_ids = None
+                if gone.size:
+                    by_id = np.argsort(g["id"])
+                    sorted_ids = g["id"][by_id]
                 if filtered:
                     masks, mask_no = np.unique(g["mask"], return_inverse=True)
-                tile = max(1, cells // n)
+                tile = max(1, cells // min(SLICE, len(g["id"])))
                 for start in range(0, len(rows), tile):
                     part = rows[start:start + tile]
-                    u = vectors[part]
-                    estimate = u.astype(np.float32) @ v32
                     fit = genre_fits(affinity[part], masks) if filtered else None
-                    if filtered:
-                        estimate += (bonus * fit).astype(np.float32)[:, mask_no]
-                    lengths = n_gone[part]
+                    pairs, lengths = None, n_gone[part]
                     if lengths.any():
                         row = np.repeat(np.arange(len(part)), lengths)
                         within = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                         ids = gone[np.repeat(gone_from[part], lengths) + within]
-                        at = np.minimum(np.searchsorted(sorted_ids, ids), n - 1)
+                        at = np.minimum(np.searchsorted(sorted_ids, ids), len(sorted_ids) - 1)
                         known = sorted_ids[at] == ids
-                        estimate[row[known], by_id[at[known]]] = -np.inf
-
-                    # single precision finds candidates, with its error bound as slack;
-                    # exact sums in a fixed order decide among them
-                    size = np.abs(u).sum(axis=1) * largest
-                    if filtered:
-                        size = size + abs(bonus) * np.abs(fit).max(axis=1)
-                    slack = 1.2e-7 * (u.shape[1] + 4) * size
-                    kth = n - min(k, n)
-                    bound = np.partition(estimate, kth, axis=1)[:, kth] - 4 * slack
-                    row, col = np.nonzero((estimate >= bound[:, None].astype(np.float32)) & (estimate > -np.inf))
-                    value = np.zeros(len(row))
-                    for d in range(v.shape[1]):
-                        value += u[row, d] * v[col, d]
-                    ranking = value if fit is None else value + bonus * fit[row, mask_no[col]]
-                    order = np.lexsort((col, -ranking, row))
-                    place = np.arange(len(row)) - np.searchsorted(row[order], row[order])
-                    top = order[place < k]
-                    out.append((
-                        qid[part][row[top]], g["id"][col[top]], g["cnt"][col[top]], value[top], ranking[top]
-                    ))
+                        pairs = row[known], by_id[at[known]]
+                    row, col, value, ranking = best_of(vectors[part], g, v32, largest, fit, mask_no, pairs)
+                    out.append((qid[part][row], g["id"][col], g["cnt"][col], value, ranking))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [[]] * len(names)
         return pa.table({n: pa.array(c, type=t) for n, c, t in zip(names, columns, types)})
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from filmfold.operators import scoring
@@ -87,3 +88,19 @@ def test_model_blocks_follow_the_ratings(spark, monkeypatch):
     assert model.block_count(spark.range(10)) == cores
     monkeypatch.setattr(model, "BLOCK_ROWS", 100)
     assert model.block_count(spark.range(100 * (cores + 3))) == cores + 3
+
+
+def test_only_films_that_can_reach_a_list_are_ranked(monkeypatch):
+    """Past the first slice, films meet each user's bar and no order of all of them is made."""
+    rng = np.random.default_rng(3)
+    users, items = rng.random((50, 6)), rng.random((20_000, 6))
+    items[:10_000] = items[10_000:]  # ties across slices
+    vectors = [pa.array(m.tolist(), pa.list_(pa.float64())) for m in (users, items)]
+    queries = pa.table({"qid": np.arange(50) * 3, "vector": vectors[0], "excluded": pa.nulls(50, pa.list_(pa.int64()))})
+    films = pa.table({"id": np.arange(20_000) * 3, "vector": vectors[1]})
+    cells, partition = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *args, **kwargs: cells.append(a.size) or partition(a, *args, **kwargs))
+    got = scoring._block_scorer(7, False, 1.0)(queries, films).to_pylist()
+    assert sum(cells) <= 50 * 4096
+    want = {(u, i, s) for u, _, i, s in _brute(users, items, 7)}
+    assert len(got) == 350 and {(r["qid"], r["id"], round(r["score"], 9)) for r in got} == want
