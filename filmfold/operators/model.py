@@ -14,6 +14,7 @@ from filmfold.session import ensure_checkpoint_dir, materialise
 
 SEED = 42
 BLOCK_ROWS = 2_000_000  # ratings of one block, held by one task
+CHECKPOINT = 2  # iterations whose shuffle files lie on disk together
 PARALLEL_FITS = 3  # settings tried side by side
 
 
@@ -58,7 +59,7 @@ def estimator(
         rank=rank, regParam=reg_param, maxIter=max_iter,
         userCol="userId", itemCol="movieId", ratingCol="rating",
         coldStartStrategy="drop", nonnegative=True, seed=SEED,
-        numUserBlocks=blocks, numItemBlocks=blocks, checkpointInterval=10,
+        numUserBlocks=blocks, numItemBlocks=blocks, checkpointInterval=CHECKPOINT,
     )
 
 

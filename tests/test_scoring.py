@@ -90,6 +90,12 @@ def test_model_blocks_follow_the_ratings(spark, monkeypatch):
     assert model.block_count(spark.range(100 * (cores + 3))) == cores + 3
 
 
+def test_shuffle_files_of_few_iterations_lie_on_disk(spark):
+    from filmfold.operators import model
+
+    assert model.estimator(spark).getCheckpointInterval() <= 2
+
+
 def test_only_films_that_can_reach_a_list_are_ranked(monkeypatch):
     """Past the first slice, films meet each user's bar and no order of all of them is made."""
     rng = np.random.default_rng(3)
