@@ -46,7 +46,7 @@ def film_table(spark: SparkSession, sf_dir: str, min_ratings: int) -> DataFrame:
     return written(
         spark, sf_dir, f"films-{min_ratings}",
         lambda: films.film_table(
-            views.ratings(spark, sf_dir), views.movies(spark, sf_dir),
+            ratings_table(spark, sf_dir), views.movies(spark, sf_dir),
             views.item_factors(spark, sf_dir), min_ratings,
         ),
     )
@@ -76,6 +76,12 @@ def ratings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(spark, sf_dir, "ratings", lambda: views.ratings(spark, sf_dir))
 
 
+def reactions_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reactions as a written table: the films that count and the pairs to fit both start from them."""
+    return written(spark, sf_dir, "reactions",
+                   lambda: views.request_reactions(spark, sf_dir, ratings_table(spark, sf_dir)))
+
+
 def ratings_by_user(spark: SparkSession, sf_dir: str) -> layout.UserTable:
     """Ratings clustered by user."""
     return _once(spark, sf_dir, "ratings-by-user", lambda: layout.cluster(ratings_table(spark, sf_dir)))

@@ -55,7 +55,7 @@ def _prepared(spark, sf):
 
 def _rated(spark, sf):
     return A.written(
-        spark, sf, "rated", lambda: foldin.rated_films(V.request_reactions(spark, sf), _films(spark, sf))
+        spark, sf, "rated", lambda: foldin.rated_films(A.reactions_table(spark, sf), _films(spark, sf))
     )
 
 
@@ -704,7 +704,7 @@ def als_train(spark, sf):
 
 @query
 def als_predict(spark, sf):
-    _, test = model.hash_split(V.ratings(spark, sf))
+    _, test = model.hash_split(A.ratings_table(spark, sf))
     predicted = model.predict(A.trained_model(spark, sf), model.als_input(test))
     return predicted.agg(
         F.count(F.lit(1)).alias("n_predicted"),
@@ -993,7 +993,7 @@ def genre_affinity(spark, sf):
 
 @query
 def genre_fit(spark, sf):
-    pairs = V.request_reactions(spark, sf).select("reqId", "movieId")
+    pairs = A.reactions_table(spark, sf).select("reqId", "movieId")
     fit = foldin.genre_fit(_equations(spark, sf), pairs, _films(spark, sf))
     return fit.withColumn("fit", F.round("fit", 6))
 

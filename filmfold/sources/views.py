@@ -135,13 +135,14 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def request_reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def request_reactions(spark: SparkSession, sf_dir: str, rated: DataFrame | None = None) -> DataFrame:
     """Reactions sent with the requests, in long form: each user's latest rating
-    of every film they rated. Three stars and one star carry no known reaction."""
+    of every film they rated. Three stars and one star carry no known reaction.
+    ``rated`` may be the ratings as a written table."""
+    rated = ratings(spark, sf_dir) if rated is None else rated
     # time and stars in one number: a plain long keeps the aggregation hash-based
     latest = (
-        ratings(spark, sf_dir)
-        .groupBy("userId", "movieId")
+        rated.groupBy("userId", "movieId")
         .agg(F.max(F.col("timestamp") * 10 + F.col("rating")).alias("latest"))
     )
     stars = F.pmod(F.col("latest"), F.lit(10))

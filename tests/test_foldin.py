@@ -218,3 +218,16 @@ def test_film_table_needs_ratings_and_a_vector(spark):
     row, = films_op.film_table(ratings, movies, factors).collect()
     # mean 4.48 is kept as 45 tenths, 1.5 thousandths go to the even neighbour
     assert (row.movieId, row.year, row.mask, row.cnt, row.mean10, row.q) == (1, 1990, 1 << 7, 25, 45, [2] * 10)
+
+
+def test_reactions_are_worked_out_once(spark, monkeypatch):
+    """Films that count and pairs to fit start from one written table of reactions."""
+    import __spark_entry__ as entry
+    from conftest import SF_DIR
+    from filmfold.plans import artifacts, queries
+
+    calls, build = [], queries.V.request_reactions
+    monkeypatch.setattr(queries.V, "request_reactions", lambda *args: calls.append(1) or build(*args))
+    monkeypatch.setattr(artifacts, "_DONE", {})
+    assert entry.queries()["genre_fit"](spark, SF_DIR).count() > 0
+    assert len(calls) == 1
