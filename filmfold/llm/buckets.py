@@ -6,7 +6,8 @@ its first item in one global order. Comparing items with their hubs links large
 groups of copies in as many steps as they have members. What the hubs did not
 bring together is compared in ``cross_pairs``: buckets are cut by size into
 blocks, blocks whose sizes can still match form a tile, and a tile's pairs pass
-only if their bitmaps allow the overlap.
+only if their bitmaps allow the overlap. Of buckets with the same items
+``distinct_buckets`` keeps one.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from filmfold.llm.common import binary_matrix, folded
+from filmfold.llm.common import folded
 
-#: Items in a block; two blocks are one tile, held in memory by one task.
-BLOCK = 512
+#: Items in a block; two blocks are one tile, held in memory by one task. An item of more elements counts once for
+#: each so many, as its bitmap is wider.
+BLOCK, BLOCK_ELEMENTS = 512, 1 << 15
 
 
 def shared(rows: DataFrame, few_hubs: bool = True) -> DataFrame:
@@ -111,6 +113,23 @@ def unsettled(members: DataFrame, groups: DataFrame) -> DataFrame:
         .filter("low <> high").select("key", "id", "n", "grp")
 
 
+def distinct_buckets(rows: DataFrame) -> DataFrame:
+    """Rows (key, id, ...) of one of all buckets that hold the very same ids: the others bring the same pairs again.
+
+    Items that share a passage share a bucket for each of its shingles. Buckets
+    are told apart by their number of rows and 128 bits of hashes of their ids,
+    added up in halves, so that no sum overflows.
+    """
+    halves = []
+    for seed in range(2):
+        hashed = F.xxhash64("id", F.lit(seed))
+        halves += [hashed.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(hashed, 32)]
+    held = rows.groupBy("key").agg(
+        F.count(F.lit(1)).alias("rows"), *[F.sum(h).alias(f"half_{i}") for i, h in enumerate(halves)])
+    kept = held.groupBy(*[c for c in held.columns if c != "key"]).agg(F.min("key").alias("key")).select("key")
+    return rows.join(kept, "key", "left_semi")
+
+
 def neighbour_pairs(members: DataFrame, groups: DataFrame, percent: int, reach: int = 4, few: bool = False) -> DataFrame:
     """Distinct (a, b) of each item and the next few of its bucket, in an order of the bucket's own, across groups.
 
@@ -137,9 +156,14 @@ def cross_pairs(members: DataFrame, groups: DataFrame, items: DataFrame, percent
     row is its own group. Buckets of one group need no look. Large buckets are
     cut into blocks in order of size; a tile is a pair of blocks whose sizes
     overlap, so each task holds two blocks whatever the bucket's size.
+
+    ``items`` has id and bitmap. Bitmaps may differ in width; with about a bit
+    per element they tell unlike sets of any size apart, while those of a fixed
+    width are full of large sets and let all their pairs pass.
     """
-    by_size = Window.partitionBy("key").orderBy("n", "id")
-    placed = unsettled(members, groups).withColumn("block", F.floor((F.row_number().over(by_size) - 1) / BLOCK).cast("int")) \
+    by_size = Window.partitionBy("key").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    room = F.sum(F.ceil(F.col("n") / BLOCK_ELEMENTS)).over(by_size)
+    placed = unsettled(members, groups).withColumn("block", F.floor((room - 1) / BLOCK).cast("int")) \
         .select("key", "id", "n", "grp", "block")
     blocks = placed.groupBy("key", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     other = blocks.select("key", F.col("block").alias("other"), F.col("least").alias("o_least"))
@@ -198,8 +222,8 @@ def _pairs(rows: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
     ends = np.repeat(np.append(starts[1:], rows.num_rows), np.diff(np.append(starts, rows.num_rows)))
     ids, n, group, side = (_column(rows, c) for c in ("id", "n", "grp", "of"))
     one_block = _column(rows, "block") == _column(rows, "other")
-    first = rows["bitmap"][0].as_py()
-    bitmap = binary_matrix(rows["bitmap"].combine_chunks(), len(first))
+    words, at, wide = _words(rows["bitmap"].combine_chunks())
+    by_width = {width: _folded_to(int(width), words, at, wide) for width in np.unique(wide)}
     here = np.arange(rows.num_rows)
     distance = 0
     while True:
@@ -213,7 +237,14 @@ def _pairs(rows: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
         wanted = (group[here] != group[there]) & (one_block[here] | (side[here] != side[there]))
         i, j = here[wanted], there[wanted]
         if i.size:
-            differ = np.bitwise_count(bitmap[i] ^ bitmap[j]).sum(axis=1, dtype=np.int64)
+            differ = np.zeros(i.size, np.int64)
+            common = np.minimum(wide[i], wide[j])
+            for width, (bitmap, place) in by_width.items():
+                alike = np.flatnonzero(common == width)
+                step = max(1, WORDS_AT_ONCE // int(width))
+                for start in range(0, alike.size, step):
+                    some = alike[start:start + step]
+                    differ[some] = np.bitwise_count(bitmap[place[i[some]]] ^ bitmap[place[j[some]]]).sum(axis=1, dtype=np.int64)
             keep = _room(differ, n[i].astype(np.int64), n[j].astype(np.int64), percent)
             a, b = ids[i[keep]], ids[j[keep]]
             if a.size:
@@ -221,6 +252,19 @@ def _pairs(rows: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
                     [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
+def _folded_to(width: int, words: np.ndarray, at: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bitmaps of ``width`` words or more, folded to that width, as rows of a matrix; and the row of each."""
+    place = np.cumsum(wide >= width) - 1
+    matrix = np.empty((place[-1] + 1, width), np.uint64)
+    for own in np.unique(wide[wide >= width]):
+        alike = np.flatnonzero(wide == own)
+        step = max(1, WORDS_AT_ONCE // int(own))
+        for start in range(0, alike.size, step):
+            some = alike[start:start + step]
+            matrix[place[some]] = folded(words[at[some] + np.arange(own)[:, None]], width).T
+    return matrix, place
+
+
 def sorted_array(value: pa.ListScalar) -> np.ndarray:
     return value.values.to_numpy()
 

@@ -101,12 +101,6 @@ def folded(bitmap: np.ndarray, width: int) -> np.ndarray:
     return bitmap
 
 
-def binary_matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Equal-length binary values as rows of 64-bit words."""
-    joined = b"".join(column.to_pylist())
-    return np.frombuffer(joined, np.uint64).reshape(-1, width // 8)
-
-
 def long_lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(arrays) + 1, np.int32)
     np.cumsum([len(a) for a in arrays], out=offsets[1:])

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from filmfold.llm import buckets
-from filmfold.llm.common import hashes, folded, long_lists, mixed, parity_bitmap, signed, texts, wide_bits, \
+from filmfold.llm.common import hashes, long_lists, mixed, parity_bitmap, signed, texts, wide_bits, \
     words, written
 from filmfold.llm.components import components
 
@@ -72,25 +72,24 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """doc_id, set size, a 128-bit digest of the set, its prefix and its bitmaps, one of BITS and one of about n bits."""
+    """doc_id, set size, a 128-bit digest of the set, its prefix and its bitmap, of BITS or about n bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, firsts, bitmaps, wide = [], [], [], [], []
+            sizes, digests, firsts, wide = [], [], [], []
             for text in texts(batch["text"]):
                 values = shingles(text)
                 sizes.append(len(values))
                 digests.append(xxhash.xxh3_128_digest(values.tobytes()))
                 firsts.append(signed(prefix(values, common)) if len(values) else np.empty(0, np.int64))
                 wide.append(parity_bitmap(values, wide_bits(len(values), BITS)))
-                bitmaps.append(folded(np.frombuffer(wide[-1], np.uint64), BITS // 64).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), long_lists(firsts),
-                 pa.array(bitmaps, pa.binary()), pa.array(wide, pa.binary())],
-                names=["doc_id", "n", "digest", "prefix", "bitmap", "wide"])
+                 pa.array(wide, pa.binary())],
+                names=["doc_id", "n", "digest", "prefix", "wide"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n long, digest binary, prefix array<long>, bitmap binary, wide binary")
+        run, "doc_id long, n long, digest binary, prefix array<long>, wide binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -132,15 +131,19 @@ def near_documents(docs: DataFrame) -> DataFrame:
                      "equal-sets")
     one = full.join(firsts.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"]) \
         .withColumnRenamed("doc_id", "id")
-    items = written(one.select("id", "n", "bitmap", "wide"), "items")
+    items = written(one.select("id", "n", "wide"), "items")
     keys = one.select(F.explode("prefix").alias("key"), "id", F.col("n").cast("int").alias("n"))
     members = written(buckets.shared(keys), "members")
     links = _links(docs, buckets.hub_pairs(members, PERCENT), items)
     groups = written(components(links), "groups")
-    near = written(buckets.neighbour_pairs(members, groups, PERCENT, few=True), "neighbour-pairs")
+    # Groups only grow, so a bucket that is settled once needs no further look, nor does one with the items of another.
+    unsettled = written(buckets.unsettled(members, groups).drop("grp"), "unsettled")
+    unsettled = written(buckets.distinct_buckets(unsettled), "buckets")
+    near = written(buckets.neighbour_pairs(unsettled, groups, PERCENT, few=True), "neighbour-pairs")
     links = links.union(_links(docs, near, items))
     groups = written(components(links), "groups")
-    cross = written(buckets.cross_pairs(members, groups, items, PERCENT), "cross-pairs")
+    bitmaps = items.select("id", F.col("wide").alias("bitmap"))
+    cross = written(buckets.cross_pairs(unsettled, groups, bitmaps, PERCENT), "cross-pairs")
     more = _links(docs, cross, items)
     groups = written(components(links.union(more)), "groups")
 

@@ -182,6 +182,36 @@ def test_near_documents_against_all_pairs(spark, monkeypatch):
         ((d, len(sets[d]), classes[d]) for d in sets), key=repr)
 
 
+def test_long_texts_that_share_a_passage_are_no_candidates(spark, monkeypatch):
+    """Tiles tell long sets apart, and buckets that hold the same texts are compared once."""
+    from filmfold.llm import buckets
+
+    monkeypatch.setattr(ngram_join, "ORDER_LEAST", 30)  # so that the passage is no common one
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(d, " ".join(f"w{d}-{i}" for i in range(2500 + 10 * d)) + " " + passage) for d in range(12)]
+    found, held, tiles = [], [], buckets.cross_pairs
+
+    def kept(members, *rest):
+        held.append(members)
+        found.append(tiles(members, *rest))
+        return found[-1]
+
+    monkeypatch.setattr(buckets, "cross_pairs", kept)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ngram_join.near_documents(docs).filter("component_id <> doc_id").count() == 0
+    assert held[0].count() > 1 and found[0].count() == 0
+    buckets_of = held[0].groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids")
+    assert buckets_of.count() == buckets_of.distinct().count()
+
+
+def test_one_of_equal_buckets_is_kept(spark):
+    from filmfold.llm import buckets
+
+    rows = [(1, 5), (1, 6), (2, 6), (2, 5), (3, 5), (3, 5), (3, 6), (4, 5), (4, 6), (4, 6), (5, 5), (5, 7)]
+    kept = buckets.distinct_buckets(spark.createDataFrame(rows, "key long, id long"))
+    assert sorted(tuple(r) for r in kept.collect()) == sorted(r for r in rows if r[0] != 2)
+
+
 def _plain_lines(rows):
     """What line removal leaves of (doc_id, text), by plain comparison of all lines."""
     places = sorted({(d, i, line_dedup.normal(x)) for d, t in rows for i, x in enumerate((t or "").split("\n"))

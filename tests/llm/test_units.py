@@ -12,7 +12,7 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from filmfold.llm import bpe, buckets, exact_dedup, htmltext, line_dedup, ngram_join, pii, token_files, toxicity
-from filmfold.llm.common import folded, parity_bitmap
+from filmfold.llm.common import folded, parity_bitmap, wide_bits
 
 BYTES, WORDS = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 PARTS = ["a", "b", "th", "ing", " ", "  ", "\n", "\t", "'", "'s", "'ll", "é", "ñ", "1", "22", "!", "...", "<|endoftext|>",
@@ -328,3 +328,30 @@ def test_tiles_give_all_pairs_that_fit():
                 if 100 * overlap >= 75 * (r[5] + s[5] - overlap):
                     expected.add((min(r[4], s[4]), max(r[4], s[4])))
     assert got == expected
+
+
+def test_tiles_compare_bitmaps_of_different_widths():
+    rng = np.random.default_rng(9)
+    rows = []
+    for key in range(12):
+        core = rng.integers(0, 2**63, 300).astype(np.uint64)
+        for _ in range(14):
+            own = rng.integers(0, 2**63, int(rng.integers(1, 40))).astype(np.uint64)
+            values = np.concatenate([core[:int(rng.integers(1, 300))], own])
+            rows.append((key, 0, 0, 0, len(rows), len(values), len(rows), parity_bitmap(values, wide_bits(len(values), 64))))
+    rows.sort(key=lambda r: (r[0], r[5], r[4]))
+    names = ["key", "block", "other", "of", "id", "n", "grp", "bitmap"]
+    table = pa.table({n: [r[i] for r in rows] for i, n in enumerate(names)})
+    got = {(a, b) for batch in buckets._tile_pairs(75)(iter(table.to_batches(max_chunksize=31)))
+           for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist())}
+    expected = set()
+    for i, r in enumerate(rows):
+        for s in rows[i + 1:]:
+            if r[0] == s[0] and 100 * r[5] >= 75 * s[5]:
+                x, y = (np.frombuffer(z[7], np.uint64) for z in (r, s))
+                width = min(len(x), len(y))
+                differ = int(np.bitwise_count(folded(x, width) ^ folded(y, width)).sum())
+                overlap = min((r[5] + s[5] - differ) // 2, r[5], s[5])
+                if 100 * overlap >= 75 * (r[5] + s[5] - overlap):
+                    expected.add((min(r[4], s[4]), max(r[4], s[4])))
+    assert got == expected and len({len(r[7]) for r in rows}) > 2
