@@ -10,6 +10,7 @@ from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from filmfold import fixed
+from filmfold.operators import als as blocked
 from filmfold.session import ensure_checkpoint_dir, materialise
 
 SEED = 42
@@ -18,6 +19,7 @@ FEW_BLOCKS = 4  # blocks that any large input has
 COPIES = 150_000_000  # blocks times ratings, up to which there are as many blocks as cores
 CHECKPOINT = 2  # iterations whose shuffle files lie on disk together
 PARALLEL_FITS = 3  # settings tried side by side
+MLLIB_ROWS = 16_000_000  # ratings up to which MLlib fits; beyond, it takes either few cores or much shuffling
 
 
 def als_input(ratings: DataFrame) -> DataFrame:
@@ -71,9 +73,23 @@ def estimator(
     )
 
 
+def _model(als: ALS, rank: int, factors: tuple[DataFrame, DataFrame]) -> ALSModel:
+    """A model of given vectors with the columns and settings of the estimator."""
+    users, items = factors
+    made = users.sparkSession.sparkContext._jvm.org.apache.spark.ml.recommendation.ALSModel(als.uid, rank, users._jdf, items._jdf)
+    return als._copyValues(ALSModel(made))
+
+
 def train(train_set: DataFrame, **params) -> ALSModel:
-    params.setdefault("blocks", block_count(train_set))
-    return estimator(train_set.sparkSession, **params).fit(als_input(train_set))
+    """Explicit, non-negative ALS: by MLlib for few ratings or a given number of blocks, else by ``operators.als``."""
+    if "blocks" in params or train_set.count() <= MLLIB_ROWS:
+        params.setdefault("blocks", block_count(train_set))
+        return estimator(train_set.sparkSession, **params).fit(als_input(train_set))
+    als = estimator(train_set.sparkSession, **params)
+    sides = blocked.prepare(als_input(train_set))
+    fitted = _model(als, als.getRank(), blocked.fit(*sides, als.getRank(), als.getRegParam(), als.getMaxIter(), SEED))
+    blocked.release(*sides)
+    return fitted
 
 
 def predict(model: ALSModel, pairs: DataFrame) -> DataFrame:
@@ -98,12 +114,24 @@ def tuned_models(train_set: DataFrame, configs=None, parallel: int = PARALLEL_FI
     """A model for every (rank, reg, iterations) setting, ``parallel`` of them fitted side by side.
 
     The settings are a list, not a cross product. The training set is written
-    once and read by all fits; each holds its own blocks, so ``parallel`` bounds
-    their memory.
+    once and read by all fits. Of MLlib's fits each holds its own blocks, so
+    ``parallel`` bounds their memory; the others read the same packed blocks
+    and hold no more than their running tasks do.
     """
     configs = list(configs or fixed.TUNING_CONFIGS)
     spark = train_set.sparkSession
     written = materialise(als_input(train_set), "tuning-set")
+    if written.count() > MLLIB_ROWS:
+        sides = blocked.prepare(written)
+
+        def fit(config: tuple) -> ALSModel:
+            r, reg, n = config
+            return _model(estimator(spark, r, reg, n), r, blocked.fit(*sides, r, reg, n, SEED))
+
+        with ThreadPool(max(1, min(parallel, len(configs)))) as pool:
+            models = pool.map(inheritable_thread_target(spark)(fit), configs, chunksize=1)
+        blocked.release(*sides)
+        return list(zip(configs, models))
     als = estimator(spark, blocks=block_count(written))
     maps = [{als.rank: r, als.regParam: reg, als.maxIter: n} for r, reg, n in configs]
     fits, models = als.fitMultiple(written, maps), [None] * len(maps)
