@@ -6,6 +6,10 @@ blocks of bounded size, Spark shuffles each (chunk, block) together, one
 matrix product scores it and only the best k films per user leave the task.
 A window keeps the best k over all blocks. Both cuts come from row counts, so
 tasks grow with the tables and no side has to fit into one task or the driver.
+
+Of many films without filters the longest vectors are scored first. A user
+whose k-th score among these is more than the user's length times that of any
+vector left is through, and only the others meet the rest.
 """
 
 from __future__ import annotations
@@ -16,11 +20,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from filmfold import fixed
 from filmfold.functions import numbers as N
+from filmfold.session import materialise
 
 CHUNK_ROWS = 250_000  # users per chunk
 BLOCK_ROWS = 1 << 20  # films per block
 SLICE = 4096  # films of a block scored side by side
-CELLS = 4_000_000   # scores held at once inside a task
+CELLS = 500_000   # scores held at once inside a task
+HEAD_ROWS = 1 << 18  # films with the longest vectors, scored before the rest
 
 FILTER_COLUMNS = ["wanted", "year_from", "year_to", "cnt_min", "cnt_max", "affinity"]
 FILM_COLUMNS = ["mask", "year", "cnt"]
@@ -100,12 +106,13 @@ def _block_scorer(k: int, filtered: bool, bonus: float):
             best = np.where(member[:, bit], np.maximum(best, taste[:, bit, None]), best)
         return (best + taste @ member.T / member.sum(axis=1)) / 2  # a mask that passed is not empty
 
-    def best_of(u, g, v32, largest, fit, mask_no, pairs):
+    def best_of(u, g, v32, largest, fit, mask_no, pairs, floor):
         """(row, col, value, ranking) of the k best films of every row of ``u``, but for the excluded ``pairs`` (row, col).
 
         Films come in slices, longest vectors first. Each row's k-th best so far
         is the bar for the next slice, and a row whose product with the longest
-        vector left cannot reach its bar is through. Single precision finds
+        vector left cannot reach its bar is through. ``floor`` is the bar to begin
+        with, known from k other films, or minus infinity. Single precision finds
         candidates, with its error bound as slack; exact sums in a fixed order
         decide among them.
         """
@@ -113,7 +120,7 @@ def _block_scorer(k: int, filtered: bool, bonus: float):
         extra = abs(bonus) * np.abs(fit).max(axis=1) if fit is not None else np.zeros(len(u))
         slack = 4 * 1.2e-7 * (dims + 4) * (np.abs(u).sum(axis=1) * largest + extra)
         u32, u_length = u.astype(np.float32), np.sqrt((u * u).sum(axis=1))
-        bar = np.full(len(u), -np.inf)
+        bar = floor.copy()
         kept = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0)
         if pairs is not None:
             order = np.argsort(pairs[1], kind="stable")
@@ -154,7 +161,7 @@ def _block_scorer(k: int, filtered: bool, bonus: float):
             top = order[place < k]
             kept = row[top], col[top], value[top], ranking[top]
             full = order[place == k - 1]
-            bar[row[full]] = ranking[full]
+            bar[row[full]] = np.maximum(bar[row[full]], ranking[full])
         return kept
 
     def score(queries: pa.Table, films: pa.Table) -> pa.Table:
@@ -163,6 +170,7 @@ def _block_scorer(k: int, filtered: bool, bonus: float):
             f = film_arrays(films)
             qid, vectors = numbers(queries, "qid"), matrix(queries, "vector")
             affinity = matrix(queries, "affinity") if filtered else None
+            floor = numbers(queries, "floor") if "floor" in queries.column_names else np.full(len(qid), -np.inf)
             excluded = queries.column("excluded").combine_chunks()
             n_gone = np.asarray(excluded.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             gone = excluded.flatten().to_numpy(zero_copy_only=False)
@@ -187,7 +195,7 @@ def _block_scorer(k: int, filtered: bool, bonus: float):
                         at = np.minimum(np.searchsorted(sorted_ids, ids), len(sorted_ids) - 1)
                         known = sorted_ids[at] == ids
                         pairs = row[known], by_id[at[known]]
-                    row, col, value, ranking = best_of(vectors[part], g, v32, largest, fit, mask_no, pairs)
+                    row, col, value, ranking = best_of(vectors[part], g, v32, largest, fit, mask_no, pairs, floor[part])
                     out.append((qid[part][row], g["id"][col], g["cnt"][col], value, ranking))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [[]] * len(names)
         return pa.table({n: pa.array(c, type=t) for n, c, t in zip(names, columns, types)})
@@ -195,37 +203,43 @@ def _block_scorer(k: int, filtered: bool, bonus: float):
     return score
 
 
-def top_k(
-    queries: DataFrame,
-    items: DataFrame,
-    k: int = fixed.TOP_N,
-    *,
-    excluded: DataFrame | None = None,
-    filtered: bool = False,
-    bonus: float = fixed.GENRE_BONUS,
-    chunk_rows: int = CHUNK_ROWS,
-    block_rows: int = BLOCK_ROWS,
-    counted: DataFrame | None = None,
-) -> DataFrame:
-    """Best k items per query: (qid, id, cnt, score, rank_score, rank).
+def slot_keys(n: int) -> list[int]:
+    """A key for each of n partitions that Spark's hash deals to it, so that n groups lie in n tasks, not several in one."""
+    found, start = {}, 0
+    while len(found) < n:
+        x = np.arange(start, start + 4 * n + 64, dtype=np.uint32)
+        with np.errstate(over="ignore"):
+            h = x * np.uint32(0xCC9E2D51)
+            h = ((h << np.uint32(15)) | (h >> np.uint32(17))) * np.uint32(0x1B873593) ^ np.uint32(42)
+            h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+            h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+            h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+            h ^= h >> np.uint32(16)
+        for key, slot in zip(x.tolist(), (h.view(np.int32).astype(np.int64) % n).tolist()):
+            found.setdefault(slot, key)
+        start += len(x)
+    return [found[slot] for slot in range(n)]
 
-    ``queries`` has (qid, vector), ``items`` (id, vector). With ``filtered``
-    the queries also carry a wanted genre mask, year and count ranges and a
-    genre affinity, the items mask, year and count; ranking then adds the
-    genre fit. ``excluded`` (qid, id) pairs never enter a list: they travel
-    with their (query, block), so the array is no longer than a block.
-    Ties go to the higher count, then the lower id. ``counted`` may name a
-    cheaper table with as many rows as ``queries``.
-    """
+
+def _scored(
+    queries: DataFrame, items: DataFrame, k: int, excluded: DataFrame | None, filtered: bool, bonus: float,
+    chunk_rows: int, block_rows: int, counted: DataFrame | None,
+) -> DataFrame:
+    """The best k of every block for each query."""
     cores = queries.sparkSession.sparkContext.defaultParallelism
     blocks = pieces(items, block_rows)
     chunks = pieces(counted if counted is not None else queries, chunk_rows, 4 * cores)
     tasks = blocks * chunks  # one task a (chunk, block) at any size
     n_blocks, n_chunks = F.lit(blocks), F.lit(chunks)
+    keys = F.array(*[F.lit(key) for key in slot_keys(tasks)])
 
     def block_of(col: str) -> Column:
         return F.pmod(F.xxhash64(col), F.col("n_blocks")).cast("int")
 
+    def dealt(df: DataFrame) -> DataFrame:
+        slot = F.element_at(keys, F.col("chunk") * n_blocks + F.col("block") + 1)
+        return df.withColumn("slot", slot).drop("chunk", "block").repartition(tasks, "slot")
+
     left = queries.withColumn("chunk", F.pmod(F.xxhash64("qid"), n_chunks).cast("int")).withColumn(
         "block", F.explode(F.sequence(F.lit(0), n_blocks - 1))
     )
@@ -246,16 +260,70 @@ def top_k(
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), n_chunks - 1)))
     )
     # fixed partitions: merging them by size would put few bytes but much scoring into one task
-    cut = ["chunk", "block"]
-    best = (
-        left.repartition(tasks, *cut).groupBy(*cut)
-        .cogroup(right.repartition(tasks, *cut).groupBy(*cut))
+    return (
+        dealt(left).groupBy("slot")
+        .cogroup(dealt(right).groupBy("slot"))
         .applyInArrow(_block_scorer(k, filtered, bonus), OUTPUT)
     )
+
+
+def _ranked(best: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("qid").orderBy(F.desc("rank_score"), F.desc("cnt"), "id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _length(vector: str) -> Column:
+    return F.sqrt(N.dot(F.col(vector), F.col(vector)))
+
+
+def _longest_first(queries: DataFrame, items: DataFrame, k: int, n_items: int, head_rows: int, cut: dict) -> DataFrame:
+    """Ranked lists from the longest ``head_rows`` vectors or so, and from the rest for queries these do not settle."""
+    items = items.withColumn("length", _length("vector"))
+    least = items.agg(F.percentile_approx("length", 1 - head_rows / n_items, 10_000)).first()[0]
+    in_head = F.coalesce(F.col("length") >= F.lit(least), F.lit(False))
+    head, rest = (items.filter(c).drop("length") for c in (in_head, ~in_head))
+    settled = materialise(_ranked(_scored(queries, head, k, None, False, 0.0, **cut), k), "longest-picks")
+    floors = settled.filter(F.col("rank") == k).select("qid", F.col("rank_score").alias("floor"))
+    reach = _length("vector") * F.lit(least) * (1 + 1e-9)
+    left = materialise(
+        queries.join(floors, "qid", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        .filter(F.coalesce(reach >= F.col("floor"), F.lit(True))), "unsettled")
+    if left.isEmpty():
+        return settled
+    more = _scored(left, rest, k, None, False, 0.0, **(cut | {"counted": None}))
+    return _ranked(settled.drop("rank").unionByName(more), k)
+
+
+def top_k(
+    queries: DataFrame,
+    items: DataFrame,
+    k: int = fixed.TOP_N,
+    *,
+    excluded: DataFrame | None = None,
+    filtered: bool = False,
+    bonus: float = fixed.GENRE_BONUS,
+    chunk_rows: int = CHUNK_ROWS,
+    block_rows: int = BLOCK_ROWS,
+    counted: DataFrame | None = None,
+    head_rows: int = HEAD_ROWS,
+) -> DataFrame:
+    """Best k items per query: (qid, id, cnt, score, rank_score, rank).
+
+    ``queries`` has (qid, vector), ``items`` (id, vector). With ``filtered``
+    the queries also carry a wanted genre mask, year and count ranges and a
+    genre affinity, the items mask, year and count; ranking then adds the
+    genre fit. ``excluded`` (qid, id) pairs never enter a list: they travel
+    with their (query, block), so the array is no longer than a block.
+    Ties go to the higher count, then the lower id. ``counted`` may name a
+    cheaper table with as many rows as ``queries``. More than twice
+    ``head_rows`` items, neither filtered nor excluded, are scored longest first.
+    """
+    cut = {"chunk_rows": chunk_rows, "block_rows": block_rows, "counted": counted}
+    if excluded is None and not filtered and (n_items := items.count()) > 2 * head_rows:
+        return _longest_first(queries, items, k, n_items, head_rows, cut)
+    return _ranked(_scored(queries, items, k, excluded, filtered, bonus, **cut), k)
+
+
 def top_k_per_user(
     user_factors: DataFrame, item_factors: DataFrame, k: int = fixed.TOP_N,
     excluded: DataFrame | None = None, **kwargs,

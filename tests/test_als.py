@@ -84,6 +84,7 @@ def test_many_ratings_are_fitted_in_blocks_with_as_small_an_error(spark, monkeyp
     small = model.train(ratings, rank=4, max_iter=6)
     monkeypatch.setattr(model, "MLLIB_ROWS", 0)
     monkeypatch.setattr(model, "block_count", None)  # MLlib's blocks are not asked for
+    monkeypatch.setattr(als, "block_count", lambda cores, rows: 2)
     many = model.train(ratings, rank=4, max_iter=6)
     errors = [model.rmse(model.predict(m, ratings)).first().rmse for m in (small, many)]
     assert errors[1] <= 1.05 * errors[0]

@@ -120,3 +120,41 @@ def test_only_films_that_can_reach_a_list_are_ranked(monkeypatch):
     assert sum(cells) <= 50 * 4096
     want = {(u, i, s) for u, _, i, s in _brute(users, items, 7)}
     assert len(got) == 350 and {(r["qid"], r["id"], round(r["score"], 9)) for r in got} == want
+
+
+def test_each_group_has_a_task_of_its_own(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 7, 24, 336):
+        keys = scoring.slot_keys(n)
+        table = spark.createDataFrame([(k,) for k in keys], "k int")
+        assert [r[0] for r in table.select(F.pmod(F.hash("k"), F.lit(n))).collect()] == list(range(n))
+
+
+@pytest.mark.parametrize("spread", [0.0, 6.0])
+def test_longest_vectors_settle_most_lists(spark, monkeypatch, spread):
+    """With lengths that differ much, few users or none meet the rest of the films; lists are those of all pairs."""
+    rng = np.random.default_rng(5)
+    users, items = rng.normal(size=(60, 5)), rng.normal(size=(400, 5))
+    if spread > 2:
+        users, items = np.abs(users), np.abs(items)
+    users[1] = 0  # ties with every film
+    items /= np.sqrt((items * items).sum(axis=1))[:, None]
+    items *= np.exp(spread * rng.random((400, 1)))
+    items[200:] = items[:200]
+    def frame(m):
+        return spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(m)], "id int, features array<double>")
+    pairs, scored = [], scoring._scored
+    monkeypatch.setattr(scoring, "_scored", lambda q, i, *a, **kw: pairs.append(q.count() * i.count()) or scored(q, i, *a, **kw))
+    got = scoring.top_k_per_user(frame(users), frame(items), 6, head_rows=150, chunk_rows=40, block_rows=250)
+    assert _rows(got) == _brute(users, items, 6)
+    if spread > 2:
+        assert sum(pairs) < 0.6 * 60 * 400
+
+
+def test_longest_first_with_repeated_ids_and_few_films(spark):
+    users, items, uf, vf = _tables(spark, 12, 30)
+    for k in (4, 40):
+        both = [scoring.top_k_per_user(uf.union(uf.filter("id < 9")), vf.union(vf.filter("id > 60")), k, **cut)
+                for cut in ({"head_rows": 5}, {})]
+        assert both[0].exceptAll(both[1]).isEmpty() and both[0].count() == both[1].count()
