@@ -763,9 +763,9 @@ def _list_check(top, kept):
 @query
 def recommend_all(spark, sf):
     """Every user of the model: ten picks, those already rated removed."""
-    ratings = V.ratings(spark, sf)
+    ratings = A.ratings_table(spark, sf)
     top = A.model_top(spark, sf)
-    kept = recommend.exclude_rated(top, ratings)
+    kept = materialise(recommend.exclude_rated(top, ratings), "kept")  # counted and checked
     rated = recommend.rated_pairs(ratings).join(kept, ["userId", "movieId"], "left_semi")
     n_rated = rated.groupBy("userId").agg(F.count(F.lit(1)).alias("n_rated"))
     return _list_check(top, kept).join(n_rated, "userId", "left").select(
