@@ -717,6 +717,7 @@ def als_predict(spark, sf):
 def als_grid(spark, sf):
     """Every setting's error, checked against one from the model's vectors, and the mark of the lowest."""
     train, test = model.hash_split(A.ratings_table(spark, sf))
+    test = materialise(test, "grid-test")  # read twice for every setting
     models = model.tuned_models(train)
     again = reduce(DataFrame.unionByName, [
         model.rmse(scoring.score_pairs(test, m.userFactors, m.itemFactors), prediction="score").select(

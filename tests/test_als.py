@@ -94,8 +94,10 @@ def test_many_ratings_are_fitted_in_blocks_with_as_small_an_error(spark, monkeyp
     assert (again.rank, again.getOrDefault("coldStartStrategy"), again.getUserCol()) == (4, "drop", "userId")
     assert {r.side: (r.n_factors, r.n_bad_length, r.n_negative) for r in model.factor_summary(again).collect()} == {
         "user": (60, 0, 0), "item": (50, 0, 0)}
-    configs = [(2, 0.1, 1), (3, 0.1, 1)]
+    configs, packed, prepare = [(2, 0.1, 1), (3, 0.1, 1)], [], als.prepare
+    monkeypatch.setattr(als, "prepare", lambda *a: packed.append(prepare(*a)) or packed[-1])
     tuned = model.tuned_models(ratings, configs)
+    assert len(packed) == 1  # settings share the blocks, in files
     assert [(c, m.rank) for c, m in tuned] == [(c, c[0]) for c in configs]
     assert [r.is_best for r in model.tune(tuned, ratings).collect()].count(True) == 1
 
